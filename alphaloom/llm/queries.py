@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import exact_dedup
+from alphaloom.llm import exact_dedup, language_id, toxicity
 from alphaloom.llm.shared import crc_mod
 
 
@@ -15,11 +15,27 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    train = docs.where(crc_mod(F.col("doc_id"), 5) != 0)
+    model = language_id.fit(train, train.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")))
+    return language_id.predict(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(_read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    learn = labels.where(crc_mod(F.col("doc_id"), 3) != 1).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    model = toxicity.fit(docs, learn)
+    return toxicity.predict(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 3) == 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
