@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import exact_dedup, language_id, toxicity
+from alphaloom.llm import bpe, exact_dedup, language_id, packing, toxicity
 from alphaloom.llm.shared import crc_mod
 
 
@@ -26,6 +27,17 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(_read(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = bpe.encode(_read(spark, sf_dir, "documents"), path, decoded=True)
+    return rows.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     learn = labels.where(crc_mod(F.col("doc_id"), 3) != 1).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
@@ -33,9 +45,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 3) == 1)
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_bpe": op5_bpe,
     "op8_toxicity": op8_toxicity,
+    "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
