@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import bpe, exact_dedup, language_id, minhash, packing, suffix_dedup, toxicity
+from alphaloom.llm import ann, bpe, exact_dedup, language_id, minhash, packing, quality, suffix_dedup, toxicity, warc
 from alphaloom.llm.shared import crc_mod
 from alphaloom.session import ship
 
@@ -55,6 +55,22 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(_read(spark, sf_dir, "pages")))
+    return records.select(
+        "page_id",
+        F.coalesce(F.octet_length("payload").cast("long"), "stated_bytes").alias("payload_bytes"),
+        F.coalesce(F.sha2("payload", 256), "stated_digest").alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     learn = labels.where(crc_mod(F.col("doc_id"), 3) != 1).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
@@ -62,6 +78,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 3) == 1)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    ratio = quality.fit(docs, labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label")))
+    return quality.resample(docs, ratio, share=0.5)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
@@ -73,7 +95,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bpe": op5_bpe,
+    "op6_warc": op6_warc,
+    "op7_ann": op7_ann,
     "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL}
