@@ -8,6 +8,7 @@ proportion to their weights. Noise comes from a hash of the id, so that a run ca
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,7 +115,7 @@ def resample(docs: DataFrame, ratio: np.ndarray, share: float = 0.5, text: str =
     """
     rows = cut(weigh(docs, ratio, text, doc_id, seed))
     n = rows.count()
-    k = -(-int(n * share * 1_000_000) // 1_000_000)
+    k = min(n, math.ceil(n * share - 1e-9))
     if k <= 0:
         return rows.withColumn("selected", F.lit(False))
     edge, more = largest(rows, "noisy", k)
