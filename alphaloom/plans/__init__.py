@@ -1 +1,12 @@
+"""Registered queries; importing a module of this package registers its queries."""
 
+from __future__ import annotations
+
+import importlib
+
+MODULES = ["relational", "factors"]
+
+
+def load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"alphaloom.plans.{name}")
