@@ -130,14 +130,14 @@ def embedded_json(text: Column) -> Column:
 def short_amount(x: Column) -> Column:
     """Money as text: hundreds of millions and tens of thousands abbreviated (units 亿 and 万), else two digits."""
     return (
-        F.when(F.abs(x) >= 1e8, F.concat(F.format_number(F.bround(x / 1e8, 2), "0.00"), F.lit("亿")))
-        .when(F.abs(x) >= 1e4, F.concat(F.format_number(F.bround(x / 1e4, 2), "0.00"), F.lit("万")))
-        .otherwise(F.format_number(F.bround(x, 2), "0.00"))
+        F.when(F.abs(x) >= 1e8, F.concat(F.format_string("%.2f", F.bround(x / 1e8, 2)), F.lit("亿")))
+        .when(F.abs(x) >= 1e4, F.concat(F.format_string("%.2f", F.bround(x / 1e4, 2)), F.lit("万")))
+        .otherwise(F.format_string("%.2f", F.bround(x, 2)))
     )
 
 
 def signed_percent(x: Column) -> Column:
-    return F.concat(F.when(x > 0, "+").otherwise(""), F.format_number(F.bround(x * 100, 2), "0.00"), F.lit("%"))
+    return F.concat(F.when(x > 0, "+").otherwise(""), F.format_string("%.2f", F.bround(x * 100, 2)), F.lit("%"))
 
 
 def order_statistic(x: Column, alpha: float) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["relational", "factors"]
+MODULES = ["crosssection", "relational", "aggregates", "factors", "validation"]
 
 
 def load() -> None:
