@@ -7,10 +7,12 @@ scale. Registers of a union are the larger of the parts', and those of similar s
 1. Sets that are equal (by a 128-bit cryptographic digest and size) become one vertex, whatever their number.
 2. The registers of each band make a key. Vertices that share a key are candidates: each with the smallest of the key
    first, which for a group of n takes n pairs. Linked vertices become components.
-3. Then only keys whose vertices still lie in different components matter; from those come the pairs across
-   components. Pairs within a component need no test, as a further link would not change any result.
-4. A pair is tested on its full sets when the likelihood of its equal, smaller and larger registers puts the estimate
-   within `slack` of the threshold; at the defaults a pair of similarity 0.8 falls below it less than once in a million.
+   A pair is tested on its full sets when the likelihood of its equal, smaller and larger registers puts the estimate
+   within `slack` of the threshold; at the defaults a pair of similarity 0.8 falls below it about once in a million.
+3. Then only keys whose vertices still lie in different components matter. Their members are dealt into blocks, and
+   every two blocks of a key meet in one task, which compares the full sets of members of different components, all
+   pairs of them at once, and returns links that join components: fewer than members, however many pairs there are.
+   Pairs within a component need no test, as a further link would not change any result.
 
 The driver sees counts only; what grows with the documents is joined, aggregated and kept in the shared folder.
 """
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from alphaloom.llm.shared import cut, mix, spans, utf8, with_columns_of, words
 
 BASE, SCALE, TOP = 1.001, 20.0, (1 << 16) - 1
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 30, 5
+#: Members of a key that are compared with one another at once.
+MEMBERS = 256
 _BLOCK = 1 << 14
 
 
@@ -102,7 +106,7 @@ def registers(values: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, text: Column, doc_id: Column, size: int, n: int, full: bool) -> DataFrame:
-    """id, n, digest; with full the set itself (binary), else its registers (binary) and band keys."""
+    """id, n, digest; with full the set itself (binary), else its registers (binary, those of a band side by side)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,16 +124,13 @@ def _sets(docs: DataFrame, text: Column, doc_id: Column, size: int, n: int, full
                 else:
                     filled = np.flatnonzero(counts)
                     r = registers(values, counts[filled], n)
-                    regs, keys = [None] * (j - i), [None] * (j - i)
-                    x = np.tile(np.arange(BANDS, dtype=np.uint64), (len(filled), 1))
-                    for k in range(ROWS):
-                        x = mix(x * np.uint64(0x9E3779B97F4A7C15) + r[:, k * BANDS : (k + 1) * BANDS].astype(np.uint64))
+                    regs = [None] * (j - i)
                     for k, f in enumerate(filled):
-                        regs[f], keys[f] = r[k].astype("<u2").tobytes(), x[k].view(np.int64)
-                    out += [pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(out, names=["id", "n", "digest", *(["items"] if full else ["regs", "keys"])])
+                        regs[f] = r[k].astype("<u2").tobytes()
+                    out.append(pa.array(regs, pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names=["id", "n", "digest", "items" if full else "regs"])
 
-    return docs.select(doc_id.cast("long").alias("id"), text.cast("string").alias("text")).mapInArrow(run, "id long, n long, digest binary, " + ("items binary" if full else "regs binary, keys array<long>"))
+    return docs.select(doc_id.cast("long").alias("id"), text.cast("string").alias("text")).mapInArrow(run, "id long, n long, digest binary, " + ("items binary" if full else "regs binary"))
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -199,19 +200,96 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _full_sets(docs: DataFrame, needed: DataFrame, text: Column, doc_id: Column, size: int) -> DataFrame:
+    """id, items of the documents with the needed ids (a column `need`), from their texts anew."""
+    own = docs.select(doc_id.cast("long").alias("_id"), text.cast("string").alias("_text")).join(needed.distinct(), F.col("_id") == F.col("need"), "left_semi")
+    return _sets(own, F.col("_text"), F.col("_id"), size, BANDS * ROWS, full=True).where("n > 0").select("id", "items").distinct()
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, text: Column, doc_id: Column, size: int, percent: int, slack: float) -> DataFrame:
     """Of candidate pairs (a, b) those that are linked, kept in the shared folder."""
     side = lambda df, columns, end: df.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
     known = pairs.join(side(sketches, ["n", "regs"], "a"), "a").join(side(sketches, ["n", "regs"], "b"), "b")
     fitting = known.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     likely = cut(_likely(fitting, percent / 100, slack))
-    needed = likely.select(F.col("a").alias("need")).union(likely.select("b")).distinct()
-    own = docs.select(doc_id.cast("long").alias("_id"), text.cast("string").alias("_text")).join(needed, F.col("_id") == F.col("need"), "left_semi")
-    full = cut(_sets(own, F.col("_text"), F.col("_id"), size, BANDS * ROWS, full=True).where("n > 0").select("id", "items").distinct())
+    full = cut(_full_sets(docs, likely.select(F.col("a").alias("need")).union(likely.select("b")), text, doc_id, size))
     return cut(_linked(likely.join(side(full, ["items"], "a"), "a").join(side(full, ["items"], "b"), "b"), percent).distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", slack: float = 0.14) -> DataFrame:
+def joining_links(ids: list[int], labels: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different labels, as many as join what the links connect; no pair is left untested.
+
+    Shingles of one member only count in no intersection; the others make a matrix whose product with itself has the
+    intersections of all pairs, some thousand shingles at a time.
+    """
+    m = len(ids)
+    lengths = np.array([len(x) for x in sets], np.int64)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(m), lengths)
+    _, code, n = np.unique(values, return_inverse=True, return_counts=True)
+    shared = n[code] > 1
+    column, owner = (np.cumsum(n > 1) - 1)[code[shared]], owner[shared]
+    both = np.zeros((m, m), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    width = int(column[-1]) + 1 if len(column) else 0
+    for lo in range(0, width, 4096):
+        x, y = np.searchsorted(column, [lo, lo + 4096])
+        part = np.zeros((m, min(4096, width - lo)), np.float32)
+        part[owner[x:y], column[x:y] - lo] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    linked = 100 * both >= percent * (lengths[:, None] + lengths[None, :] - both)
+    parent = {x: x for x in labels}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+        a, b = find(labels[i]), find(labels[j])
+        if a != b:
+            parent[a] = b
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members (key, id, label) of one key that have different labels."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = dealt.select("key", "id", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("key", "id", "label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    place = ["key", "lo", "hi"]
+
+    def flush(held: list[tuple]) -> list[tuple[int, int]]:
+        if len({h[1] for h in held}) < 2:
+            return []
+        return joining_links([h[0] for h in held], [h[1] for h in held], [np.frombuffer(h[2], "<u8") for h in held], percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256).to_pydict()
+                for k, lo, hi, x, label, items in zip(*(part[c] for c in [*place, "id", "label", "items"])):
+                    if (k, lo, hi) != last:
+                        found += flush(held)
+                        held, last = [], (k, lo, hi)
+                    held.append((x, label, items))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+        if found := flush(held):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    rows = met.join(sets, "id").select(*place, "id", "label", "items")
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", slack: float = 0.16) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs.
 
     Words are what stands between ASCII white space, with A-Z lower-cased; a set holds the distinct shingles of `size`
@@ -228,20 +306,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     first = usable.groupBy("digest", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     # Every copy of a set is an edge to the first; only firsts are compared.
     copies = usable.select("id", "digest", "n").join(first.where("copies > 1"), ["digest", "n"]).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    heads = cut(usable.join(first.select("digest", "n", F.col("first").alias("id")), ["digest", "n", "id"]).dropDuplicates(["digest", "n", "id"]).select("id", "n", "regs", "keys"))
-    bands = cut(heads.select("id", F.posexplode("keys").alias("band", "key")))
-    shared = bands.groupBy("band", "key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z")
-    shared = cut(bands.join(shared, ["band", "key"]))
+    heads = cut(usable.join(first.select("digest", "n", F.col("first").alias("id")), ["digest", "n", "id"]).dropDuplicates(["digest", "n", "id"]).select("id", "n", "regs"))
+    band = lambda k: F.xxhash64(F.lit(k), F.substring("regs", 2 * ROWS * k + 1, 2 * ROWS))
+    bands = heads.select("id", F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("key"))
+    shared = bands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z")
+    shared = cut(bands.join(shared, "key"))
     stars = shared.where("a < id").select("a", F.col("id").alias("b")).distinct()
     edges = _verified(stars, heads, docs, t, i, size, percent, slack)
     labels = components(edges)
-    named = shared.join(labels, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label"))
-    open_keys = named.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("band", "key")
-    left = cut(named.join(open_keys, ["band", "key"]))
-    x, y = left.select("band", "key", F.col("id").alias("a"), F.col("label").alias("l")), left.select("band", "key", F.col("id").alias("b"), F.col("label").alias("h"))
-    across = x.join(y, ["band", "key"]).where("l <> h AND a < b").select("a", "b").distinct()
-    across = across.join(stars, ["a", "b"], "left_anti")
-    more = _verified(across, heads, docs, t, i, size, percent, slack)
+    named = shared.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    open_keys = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m")).where("l < h AND m > 2").select("key")
+    left = cut(named.join(open_keys, "key"))
+    sets = cut(_full_sets(docs, left.select(F.col("id").alias("need")), t, i, size))
+    more = cut(_across(left, sets, percent))
     labels = components(edges.union(more).union(copies))
     rows = sketches.select("id", "n")
     out = rows.join(labels, "id", "left").select("id", "n", F.coalesce("label", "id").alias("component_id"))
