@@ -16,9 +16,5 @@ def labelled(docs: DataFrame, labels: DataFrame, per_label: int, text: str = "te
     chosen = labels.select("id", "label").where("id IS NOT NULL AND label IS NOT NULL").distinct()
     chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where((F.octet_length("text") > 0) & (F.octet_length("text") <= max_bytes))
-    found: dict[tuple, tuple] = {}
-    for r in texts.join(F.broadcast(chosen), "id").select("label", "rank", "id", "text").toLocalIterator():
-        k = (str(r.label), r["rank"])
-        if k not in found or r.text < found[k][1]:
-            found[k] = (r.label, r.text)
-    return [found[k] for k in sorted(found)]
+    found = texts.join(F.broadcast(chosen), "id").groupBy("label", "rank").agg(F.min("text").alias("text")).collect()
+    return [(r.label, r.text) for r in sorted(found, key=lambda r: (str(r.label), r["rank"]))]
