@@ -60,7 +60,7 @@ def incomplete_beta(x: float, a: float, b: float) -> float:
         f *= c * d
         if abs(1 - c * d) < 1e-14:
             break
-    return front * f
+    return front * (f - 1)
 
 
 def t_cdf(x: float, nu: float) -> float:
@@ -103,27 +103,20 @@ def gpd_mle(x: np.ndarray, quantile: float = 0.90) -> dict[str, float]:
     losses = np.sort(-x)
     u = losses[int(len(losses) * quantile) - 1]
     e = losses[losses > u] - u
-    best = (-np.inf, 0.0, 1.0)
-    centre, width = 0.0, 2.0
-    for _ in range(6):
-        for theta in np.linspace(centre - width, centre + width, 41):
-            t = theta / e.max()
-            if t * e.max() <= -0.999:
-                continue
-            if abs(theta) < 1e-9:
-                xi, beta = 0.0, e.mean()
-                ll = -len(e) * (math.log(beta) + 1)
-            else:
-                xi = float(np.log1p(t * e).mean())
-                if xi / t <= 0:
-                    continue
-                beta = xi / t
-                ll = -len(e) * (math.log(beta) + xi + 1)
-            if ll > best[0]:
-                best = (ll, xi, beta)
-                centre = theta
-        width /= 4
-    ll, xi, beta = best
+    # With t = xi / beta given, the likeliest xi is the mean of log(1 + t e): one dimension is searched, ever finer.
+    grid = np.concatenate([np.linspace(-0.99 / e.max(), -1e-6 / e.mean(), 30), np.logspace(-6, 2, 60) / e.mean()])
+
+    def fitted(t: float) -> tuple[float, float, float]:
+        xi = float(np.log1p(t * e).mean())
+        beta = xi / t
+        return (-len(e) * (math.log(beta) + xi + 1), xi, beta) if beta > 0 else (-np.inf, 0.0, 1.0)
+
+    for _ in range(4):
+        found = [fitted(t) for t in grid]
+        k = max(range(len(grid)), key=lambda i: found[i][0])
+        grid = np.linspace(grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)], 21)
+        grid = grid[np.abs(grid * e.mean()) > 1e-9]
+    ll, xi, beta = found[k]
     p = len(losses) / len(e) * 0.01
     var = u - beta * math.log(p) if abs(xi) < 1e-9 else u + beta / xi * (p**-xi - 1)
     return {"threshold": u, "xi": xi, "beta": beta, "loglik": ll, "var_99": var, "se_xi": (1 + xi) / math.sqrt(len(e))}
