@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Labels are classes: with more, what a sample brings to the driver would grow with the table.
+MAX_LABELS = 1000
+
+
+def lowest_share(hashed: Column, wanted: int, total: Column) -> Column:
+    """Whether a 64-bit hash is among the share of lowest ones that should hold four times as many rows as are wanted.
+
+    So few rows then need ranking, in whatever number of partitions the table has.
+    """
+    share = F.least(F.lit(1.0), 4.0 * wanted / F.greatest(total, F.lit(1)).cast("double"))
+    return F.shiftrightunsigned(hashed, 11).cast("double") <= share * float(1 << 53)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, per_label: int, text: str = "text", doc_id: str = "doc_id", max_bytes: int = 1 << 16) -> list[tuple[object, str]]:
     """At most per_label (label, text) pairs of each label, in a fixed order: the rows whose hashed ids are smallest.
 
@@ -13,7 +26,12 @@ def labelled(docs: DataFrame, labels: DataFrame, per_label: int, text: str = "te
     than max_bytes are left out, so that what reaches the driver has a bound. An id that repeats counts once.
     """
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = labels.select("id", "label").where("id IS NOT NULL AND label IS NOT NULL").distinct()
+    known = labels.select("id", "label").where("id IS NOT NULL AND label IS NOT NULL")
+    sizes = known.groupBy("label").agg(F.count("*").alias("total"))
+    if sizes.limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        raise ValueError(f"over {MAX_LABELS} labels: a sample of each has no useful bound")
+    sizes = F.broadcast(sizes)
+    chosen = known.join(sizes, "label").where(lowest_share(F.xxhash64("id"), per_label, F.col("total"))).select("id", "label").distinct()
     chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where((F.octet_length("text") > 0) & (F.octet_length("text") <= max_bytes))
     found = texts.join(F.broadcast(chosen), "id").groupBy("label", "rank").agg(F.min("text").alias("text")).collect()
