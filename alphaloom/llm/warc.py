@@ -19,9 +19,10 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from alphaloom.llm.sample import lowest_share
 from alphaloom.llm.shared import cut, shared_dir
 
 SKIPPABLE = 0x184D2A5D
@@ -66,7 +67,14 @@ def assign(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
 def train(pages: DataFrame, date: str, samples: int = 400, sample_bytes: int = 1 << 15, size: int = 1 << 16) -> bytes:
     """A dictionary from at most `samples` records of at most sample_bytes payload; empty if there are too few to train on."""
     fit = pages.where((F.octet_length("payload") > 0) & (F.octet_length("payload") <= sample_bytes))
-    rows = fit.orderBy(F.xxhash64("page_id", "digest"), "page_id").limit(samples).collect()
+    # ids first: payloads of the chosen ones only leave their tasks
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("hash", "page_id", "digest"))
+    ids = fit.select("page_id", "digest").withColumn("hash", F.xxhash64("page_id", "digest"))
+    ids = ids.where(lowest_share(F.col("hash"), samples, F.lit(fit.count()))).distinct().withColumn("rank", rank).where(F.col("rank") <= samples).drop("hash")
+    chosen = F.broadcast(ids.select(F.col("page_id").alias("_i"), F.col("digest").alias("_d"), "rank"))
+    found = fit.join(chosen, F.col("page_id").eqNullSafe(F.col("_i")) & (F.col("digest") == F.col("_d")))
+    rows = found.groupBy("rank", "page_id", "digest").agg(F.min("url").alias("url"), F.min("payload").alias("payload")).collect()
+    rows.sort(key=lambda r: r["rank"])
     texts = [record(r.page_id, r.url, bytes(r.payload), r.digest, None, date) for r in rows]
     try:
         return zstandard.train_dictionary(min(size, sum(map(len, texts)) // 4), texts).as_bytes() if len(texts) >= 8 else b""
