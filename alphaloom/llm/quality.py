@@ -31,9 +31,13 @@ def buckets(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _tally(texts: list[str]) -> np.ndarray:
+    total = np.zeros(BUCKETS)
     encoded = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(e) for e in encoded])]).astype(np.int64)
-    return np.bincount(buckets(offsets, np.frombuffer(b"".join(encoded), np.uint8))[0], minlength=BUCKETS) if texts else np.zeros(BUCKETS)
+    for i, j in spans(offsets):
+        data = np.frombuffer(b"".join(encoded[i:j]), np.uint8)
+        total += np.bincount(buckets(offsets[i : j + 1] - offsets[i], data)[0], minlength=BUCKETS)
+    return total
 
 
 def raw_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
