@@ -50,12 +50,16 @@ def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: i
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: int = 16) -> DataFrame:
     """The rows of docs that stay, with their columns. Of repeated rows that differ in other columns, any one stays."""
     keys = ["_d", "_n", "_x"]
+    ids = _keyed(docs, text, F.col(doc_id).alias("_id")).drop("_t").groupBy("_id", *keys).agg((F.count("*") > 1).alias("_many"))
     stay = groups(docs, text, doc_id, salts).withColumnRenamed("keep_id", "_keep").drop("group_size")
+    same = lambda x, y: (x["_d"] == y["_d"]) & (x["_n"] == y["_n"]) & (x["_x"] == y["_x"])
+    stay = stay.join(ids, same(stay, ids) & stay["_keep"].eqNullSafe(ids["_id"])).select(stay["_d"], stay["_n"], stay["_x"], "_keep", "_many")
     mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     keyed = _keyed(mine, "_text", "_row", "_id").drop("_t")
-    found = keyed.join(stay, (keyed["_d"] == stay["_d"]) & (keyed["_n"] == stay["_n"]) & (keyed["_x"] == stay["_x"]) & keyed["_id"].eqNullSafe(stay["_keep"])).select("_row", "_id", keyed["_d"].alias("_k"))
-    single = found.groupBy("_id", "_k").agg(F.first("_row").alias("_row"))
-    return with_columns_of(single.select("_row.*"), docs.columns)
+    found = keyed.join(stay, same(keyed, stay) & keyed["_id"].eqNullSafe(stay["_keep"])).select("_row", "_id", keyed["_d"].alias("_k"), "_many")
+    # only rows that repeat are brought together; the others stay where the join left them
+    single = found.where("_many").groupBy("_id", "_k").agg(F.first("_row").alias("_row"))
+    return with_columns_of(found.where("NOT _many").select("_row").union(single.select("_row")).select("_row.*"), docs.columns)
 
 
 ORACLE_SQL = f"""
