@@ -253,7 +253,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", text:
                 )
 
     found = keyed.select("id", "text", "version").mapInArrow(run, "id long, version long, first long, last long, anchor long, whole long")
-    repeated = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # kept, so that the join deals both sides anew and can split an anchor with many occurrences
+    repeated = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     found = cut(found.join(repeated, "anchor"))
     place = F.struct(F.col("id").isNotNull().alias("named"), "id", "version", "first", "last")
     distinct = cut(found.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(place).alias("head")))
