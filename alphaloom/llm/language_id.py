@@ -23,7 +23,7 @@ from alphaloom.llm.shared import with_columns_of
 
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
-#: Bytes of a piece, of the longest text that follows each of the LEADS lead texts, and of a lead text.
+#: Bytes of a piece, of the longest text that follows each of the LEADS lead texts, and of a lead text of a full sample.
 PIECE, SHORT, LEAD, LEADS = 8192, 512, 8192, 4
 Model = tuple[tuple[str, bytes], ...]
 
@@ -38,15 +38,21 @@ def fit(docs: DataFrame, labels: DataFrame, texts_per_language: int = 160, dicti
 
 @lru_cache(maxsize=4)
 def _compressors(model: Model) -> list[tuple[zstandard.ZstdCompressor, list[tuple[bytes, int]]]]:
-    """For each language a compressor with its dictionary, and lead texts of the language with their compressed sizes."""
+    """For each language a compressor with its dictionary, and LEADS lead texts of it with their compressed sizes.
+
+    Sizes are summed over the lead texts, so every language has as many; a small sample gives half its bytes to them and
+    half to the dictionary.
+    """
     out = []
     for _, content in model:
-        content, rest = content[: -LEADS * LEAD], content[-LEADS * LEAD :]
+        lead = min(LEAD, len(content) // (2 * LEADS))
+        cut = len(content) - LEADS * lead
+        content, rest = content[:cut], content[cut:]
         params = zstandard.ZstdCompressionParameters.from_level(3, dict_size=len(content), source_size=LEAD + PIECE, min_match=4, write_content_size=0)
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=params)
         c = zstandard.ZstdCompressor(compression_params=params, dict_data=d)
-        leads = [rest[i : i + LEAD] for i in range(0, len(rest), LEAD)]
+        leads = [rest[i * lead : (i + 1) * lead] for i in range(LEADS)]
         out.append((c, [(x, len(c.compress(x))) for x in leads]))
     return out
 

@@ -361,6 +361,20 @@ def test_language(spark):
     assert {x.lang_pred for x in language_id.predict(docs, none).collect()} == {"und"} and language_id.predict(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("rare_bytes", [0, 5, 1_500, 6_000, 20_000, 40_000])
+def test_language_of_a_small_sample(rare_bytes):
+    """A language with few sampled bytes has as many lead texts as the others, and wins no short texts of theirs."""
+    r = random.Random(4)
+    words = {k: ["".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(400)] for k, letters in {"aa": "etaoinshr", "bb": "eniasrtdu", "cc": "eaosnrild"}.items()}
+    make = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    model = tuple((k, make(k, 40_000).encode()[: rare_bytes if k == "cc" else 160_000]) for k in words)
+    assert {len(leads) for _, leads in language_id._compressors(model)} == {language_id.LEADS}
+    shorts = [(k, make(k, n)) for k in ("aa", "bb") for n in range(5, 45)]
+    assert np.mean([language_id.judge(t, model, 0.004)[0] == k for k, t in shorts]) > 0.95
+    if rare_bytes >= 1_500:
+        assert np.mean([language_id.judge(make("cc", 30), model, 0.004)[0] == "cc" for _ in range(40)]) > 0.9
+
+
 def test_toxicity(spark):
     r = random.Random(6)
     words = ["".join(r.choice("aeiourstlm") for _ in range(r.randint(2, 8))) for _ in range(400)]
