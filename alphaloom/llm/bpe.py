@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,8 +37,8 @@ def _characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _model(path: str) -> tuple[dict[bytes, int], dict[int, int]]:
-    """Tokens and merges of a tokenizers file, without its special tokens."""
+def _model(path: str) -> tuple[dict[bytes, int], dict[int, int], list[dict[str, int]]]:
+    """Tokens and merges of a tokenizers file, without its added tokens, and these in the order in which they are matched."""
     with open(path, encoding="utf-8") as f:
         whole = json.load(f)
     of, special = _characters(), {t["content"] for t in whole["added_tokens"]}
@@ -51,26 +52,34 @@ def _model(path: str) -> tuple[dict[bytes, int], dict[int, int]]:
             raise ValueError("the order of merges is not the order of ids")
         least = new
         merges[vocabulary[a] << 20 | vocabulary[b]] = new
-    return {plain(t): i for t, i in vocabulary.items() if t not in special}, merges
+    if any(t.get(k) for t in whole["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that look at their neighbours are not supported")
+    added = [{t["content"]: t["id"] for t in whole["added_tokens"] if t["content"] and bool(t.get("normalized")) == late} for late in (False, True)]
+    return {plain(t): i for t, i in vocabulary.items() if t not in special}, merges, [a for a in added if a]
 
 
 class Ranks:
     """The tokens of a file and the merges that they allow, named by the id of the merged token.
 
-    In a rank file two tokens merge if their bytes together are a token; a tokenizers file lists its merges.
+    In a rank file two tokens merge if their bytes together are a token; a tokenizers file lists its merges. Its added
+    tokens take part in no merge: texts are cut at them first, at the leftmost and there at the longest.
     """
 
     def __init__(self, path: str) -> None:
-        listed = None
+        listed, added = None, []
         if path.endswith(".json"):
-            self.tokens, listed = _model(path)
+            self.tokens, listed, added = _model(path)
         else:
             with open(path, "rb") as lines:
                 self.tokens = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-        self.size = max(self.tokens.values()) + 1
+        self.added = {t: i for a in added for t, i in a.items()}
+        self.cuts = [re.compile("(" + "|".join(map(re.escape, sorted(a, key=len, reverse=True))) + ")") for a in added]
+        self.size = max([*self.tokens.values(), *self.added.values()]) + 1
         self.bytes = [b""] * self.size
         for token, rank in self.tokens.items():
             self.bytes[rank] = token
+        for token, i in self.added.items():
+            self.bytes[i] = token.encode()
         self.single = np.array([self.tokens[bytes([i])] for i in range(256)], np.int32)
         self.merges: dict[int, int] = {} if listed is None else listed
         for token, rank in self.tokens.items() if listed is None else ():
@@ -86,6 +95,13 @@ class Ranks:
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.places = np.cumsum(self.lengths) - self.lengths
 
+    def cut(self, text: str) -> list[str]:
+        """Ordinary text (which may be empty) and added tokens by turns, the first and last ordinary."""
+        out = [text]
+        for c in self.cuts:
+            out = [x for i, y in enumerate(out) for x in ([y] if i % 2 else c.split(y))]
+        return out
+
 
 @lru_cache(maxsize=4)
 def ranks(path: str) -> Ranks:
@@ -191,6 +207,19 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has."""
+        r = self.ranks
+        if not any(c.search(t) for c in r.cuts for t in texts):
+            return self._ordinary(texts)
+        pieces = [r.cut(t) for t in texts]
+        ids, counts = self._ordinary([p for x in pieces for p in x[::2]])
+        parts = np.array([len(x[::2]) for x in pieces])
+        last = np.cumsum(parts) - 1
+        ends, between = np.cumsum(counts), np.ones(len(counts), bool)
+        between[last] = False
+        ids = np.insert(ids, ends[between], [r.added[p] for x in pieces for p in x[1::2]])
+        return ids, np.diff(ends[last], prepend=0) + parts - 1
+
+    def _ordinary(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes, begin, end, tokens = pretokens.split(texts)
         if len(begin) == 0:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
@@ -269,9 +298,10 @@ def binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", decoded: bool = False) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit), and with `decoded` bytes (what the ids decode to).
 
-    A row for each row of docs. A null or empty text has no ids. Special tokens are ordinary text. Ids of documents may
-    be null or repeat, and are passed on; no other column is read. An empty table gives no rows. path: a rank file, or a
-    byte-level BPE model of the tokenizers library (.json), that every executor can read at that place.
+    A row for each row of docs. A null or empty text has no ids. A rank file's special tokens are ordinary text; texts
+    are cut at the added tokens of a tokenizers file, as that library does by default. Ids of documents may be null or
+    repeat, and are passed on; no other column is read. An empty table gives no rows. path: a rank file, or a byte-level
+    BPE model of the tokenizers library (.json), that every executor can read at that place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -242,6 +242,28 @@ def test_pretokens_keep_every_character():
     assert counts.sum() == len(begin) and (end - begin).sum() == sum(map(len, rows))
 
 
+END = "<|endoftext|>"
+
+
+def test_added_tokens_of_a_model(spark):
+    from tokenizers import Tokenizer
+
+    t, e, r = Tokenizer.from_file(MODEL), bpe.Encoder(MODEL), random.Random(6)
+    rows = ["", f"a {END} b", END, END * 3, f" {END} ", f"x{END}{END}\n", "<|endoftext|", f"<|{END}|>", "plain text", "<|ENDOFTEXT|>"]
+    rows += ["".join(r.choice([END, "<|", "|>", " ", "word", "é", "'s", "\n"]) for _ in range(r.randint(0, 12))) for _ in range(200)]
+    ids, counts = e.encode(rows)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    want = [t.encode(x, add_special_tokens=False).ids for x in rows]
+    assert want[1] == [64, 220, 50256, 275] and len(ids) == at[-1]
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(rows))] == want
+    assert bpe.decode(ids, bpe.ranks(MODEL)).tobytes() == "".join(rows).encode()
+    got = defaultdict(dict)
+    for p in packing.pack(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), MODEL).collect():
+        got[p.doc_id][p.start] = np.frombuffer(p.ids, "<u4").tolist()
+    assert [[i for s in sorted(got[k]) for i in got[k][s]] for k in range(len(rows))] == [w + [0] for w in want]
+    assert bpe.Encoder(RANKS).encode([END])[0].tolist() != [50256]
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
