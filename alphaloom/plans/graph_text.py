@@ -87,6 +87,28 @@ def _(t):
     return out.select("id", rounded(F.col("features")[0]).alias("o0"), rounded(F.col("features")[2]).alias("o2"))
 
 
+def _whole(t):
+    """The graph of the ten nearest of every row, its whole vectors, and their width."""
+    x = t.read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
+    return graph.knn_edges(x, 10), x, x.agg(F.max(F.size("features"))).first()[0] or 0
+
+
+@query("q04_gcn_forward_all")
+def _(t):
+    """q04_gcn_forward over all rows and features."""
+    e, x, n = _whole(t)
+    out = graph.gcn(e, x, _weights(n, 3), np.full(3, 0.1), _weights(3, 3), np.zeros(3))
+    return out.select("id", rounded(F.col("features")[0]).alias("o0"), rounded(F.col("features")[1]).alias("o1"))
+
+
+@query("q05_gat_forward_all")
+def _(t):
+    """q05_gat_forward over all rows and features."""
+    e, x, n = _whole(t)
+    out = graph.gat(e, x, _weights(n, 3), np.array([0.5, -0.25, 1.0]), np.array([1.0, -0.5, 0.75]))
+    return out.select("id", rounded(F.col("features")[0]).alias("o0"), rounded(F.col("features")[2]).alias("o2"))
+
+
 @query("q08_remove_nodes", f"WITH {_E} SELECT src, dst FROM e WHERE src % 10 <> 0 AND (dst - 100000) % 10 <> 0")
 def _(t):
     e = edges(t)
