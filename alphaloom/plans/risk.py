@@ -202,6 +202,27 @@ def cov(t):
     return risk.covariances(monthly(t).where("code <= 20"))
 
 
+def equilibrium(pairs, w):
+    s = risk.symmetric(pairs.select("a", "b", "cov"))
+    return s.join(w, s["b"] == w["code"]).groupBy(s["a"].alias("code")).agg(rounded(2.5 * F.sum(F.col("cov") * F.col("w"))).alias("pi"))
+
+
+def attribution(pairs, w):
+    s = risk.symmetric(pairs.select("a", "b", "cov")).join(w.select(F.col("code").alias("a"), F.col("w").alias("wa")), "a").join(w.select(F.col("code").alias("b"), F.col("w").alias("wb")), "b")
+    c = s.groupBy(F.col("a").alias("code")).agg(F.max("wa").alias("w"), F.sum(F.col("cov") * F.col("wb")).alias("sw"))
+    m = risk.Z[0.99] * F.col("sw") / F.sqrt(F.sum(F.col("w") * F.col("sw")).over(Window.partitionBy(F.lit(1))))
+    return c.select("code", rounded(m).alias("marginal"), rounded(m * F.col("w")).alias("component"))
+
+
+def held(codes):
+    """Weights by balance, of the codes given."""
+    return codes.select("code", (F.col("acctbal") / F.sum("acctbal").over(Window.partitionBy(F.lit(1)))).alias("w"))
+
+
+def equal(codes):
+    return codes.select("code", (F.lit(1.0) / F.count("*").over(Window.partitionBy(F.lit(1)))).alias("w"))
+
+
 @query("n01_covariance", f"WITH {_COV} SELECT a, b, {r('cov')} AS cov, {r('corr')} AS corr, n FROM v")
 def _(t):
     return shown(cov(t), "cov", "corr")
@@ -209,9 +230,19 @@ def _(t):
 
 @query("n02_equilibrium_returns", f"WITH {_COV}, s AS (SELECT a, b, cov FROM v UNION ALL SELECT b, a, cov FROM v WHERE a <> b), w AS (SELECT code, acctbal / sum(acctbal) OVER () AS w FROM industry WHERE code <= 20) SELECT a AS code, {r('2.5 * sum(cov * w)')} AS pi FROM s JOIN w ON s.b = w.code GROUP BY 1")
 def _(t):
-    w = t.industry.where("code <= 20").select("code", (F.col("acctbal") / F.sum("acctbal").over(Window.partitionBy(F.lit(1)))).alias("w"))
-    s = risk.symmetric(cov(t).select("a", "b", "cov"))
-    return s.join(w, s["b"] == w["code"]).groupBy(s["a"].alias("code")).agg(rounded(2.5 * F.sum(F.col("cov") * F.col("w"))).alias("pi"))
+    return equilibrium(cov(t), held(t.industry.where("code <= 20")))
+
+
+@query("n01_covariance_all")
+def _(t):
+    """n01_covariance over all codes: its rows grow with their square."""
+    return shown(risk.covariances(monthly(t)), "cov", "corr")
+
+
+@query("n02_equilibrium_returns_all")
+def _(t):
+    """n02_equilibrium_returns over all codes."""
+    return equilibrium(risk.covariances(monthly(t)), held(t.industry))
 
 
 _TARGET = "t AS (SELECT code, 0.05 AS weight FROM industry WHERE code <= 20), c AS (SELECT code, (code % 7) * 0.01 AS weight FROM industry WHERE code BETWEEN 10 AND 30)"
@@ -224,6 +255,13 @@ def _(t):
     return shown(shown(risk.rebalance(target, current, 1_000_000.0), "change"), "amount", digits=2)
 
 
+@query("n08_rebalance_all")
+def _(t):
+    """From weights by balance to equal ones, over all codes."""
+    target, current = (f(t.industry).withColumnRenamed("w", "weight") for f in (equal, held))
+    return shown(shown(risk.rebalance(target, current, 1_000_000.0), "change"), "amount", digits=2)
+
+
 @query("n09_benchmark", f"SELECT code, {r('avg(ret - mkt) * 252')} AS excess, {r('(avg(ret) * 252 - 0.03) / (stddev_pop(ret) * sqrt(252.0))')} AS sharpe FROM daily_returns JOIN market ON daily_returns.trade_date = market.trade_date GROUP BY 1 HAVING count(*) >= 20")
 def _(t):
     j = t.daily_returns.join(t.market, "trade_date").groupBy("code").agg(F.count("*").alias("n"), rounded(F.avg(F.col("ret") - F.col("mkt")) * 252).alias("excess"), rounded((F.avg("ret") * 252 - 0.03) / (F.stddev_pop("ret") * 252**0.5)).alias("sharpe"))
@@ -264,11 +302,13 @@ def _(t):
 
 @query("o09_risk_attribution", f"WITH {_COV}, s AS (SELECT a, b, cov FROM v UNION ALL SELECT b, a, cov FROM v WHERE a <> b), w AS (SELECT code, 1.0 / count(*) OVER () AS w FROM industry WHERE code <= 20), c AS (SELECT a, max(x.w) AS w, sum(cov * y.w) AS sw FROM s JOIN w x ON s.a = x.code JOIN w y ON s.b = y.code GROUP BY 1) SELECT a AS code, {r('2.326 * sw / sqrt(sum(w * sw) OVER ())')} AS marginal, {r('2.326 * w * sw / sqrt(sum(w * sw) OVER ())')} AS component FROM c")
 def _(t):
-    w = t.industry.where("code <= 20").select("code", (F.lit(1.0) / F.count("*").over(Window.partitionBy(F.lit(1)))).alias("w"))
-    s = risk.symmetric(cov(t).select("a", "b", "cov")).join(w.select(F.col("code").alias("a"), F.col("w").alias("wa")), "a").join(w.select(F.col("code").alias("b"), F.col("w").alias("wb")), "b")
-    c = s.groupBy(F.col("a").alias("code")).agg(F.max("wa").alias("w"), F.sum(F.col("cov") * F.col("wb")).alias("sw"))
-    m = risk.Z[0.99] * F.col("sw") / F.sqrt(F.sum(F.col("w") * F.col("sw")).over(Window.partitionBy(F.lit(1))))
-    return c.select("code", rounded(m).alias("marginal"), rounded(m * F.col("w")).alias("component"))
+    return attribution(cov(t), equal(t.industry.where("code <= 20")))
+
+
+@query("o09_risk_attribution_all")
+def _(t):
+    """o09_risk_attribution over all codes."""
+    return attribution(risk.covariances(monthly(t)), equal(t.industry))
 
 
 def _folds(purge: int, expanding: bool) -> str:
