@@ -323,6 +323,13 @@ def _(t):
     return e.select("code", F.explode(F.sequence("a", "z")).alias("d"))
 
 
+@query("h17_date_sequence_all")
+def _(t):
+    """Every day from the first bar of a code to its last."""
+    e = t.bars.groupBy("code").agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("z"))
+    return e.select("code", F.explode(F.sequence("a", "z")).alias("d"))
+
+
 @query("h18_report_label", "SELECT code, report_date, CASE month(report_date) WHEN 3 THEN 'Q1' WHEN 6 THEN 'Q2' WHEN 9 THEN 'Q3' ELSE 'Q4' END AS q FROM financials")
 def _(t):
     return t.financials.select("code", "report_date", sc.report_label(F.col("report_date")).alias("q"))

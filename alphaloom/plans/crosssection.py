@@ -71,6 +71,14 @@ def _(t):
     return out(xs.fill_missing(m.where("code % 7 <> 0"), grid, ["trade_date"], ["trade_date", "code"]))
 
 
+@query("k03_fill_missing_all")
+def _(t):
+    """k03_fill_missing over all values; missing are those of codes without enough months before."""
+    m = momentum(t)
+    grid = m.select("trade_date").distinct().join(rel.small(t.monthly.select("code").distinct()), how="cross")
+    return out(xs.fill_missing(m, grid, ["trade_date"], ["trade_date", "code"]))
+
+
 @query("k04_standardize", f"WITH {_V} SELECT trade_date, code, {r(f'CASE WHEN count(*) OVER ({_W}) >= 5 THEN CASE WHEN stddev_pop(value) OVER ({_W}) > 1e-12 THEN (value - avg(value) OVER ({_W})) / stddev_pop(value) OVER ({_W}) ELSE 0 END ELSE value END')} AS value FROM v")
 def _(t):
     return out(xs.standardize(momentum(t), ["trade_date"]))

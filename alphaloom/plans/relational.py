@@ -187,6 +187,18 @@ def _(t):
     return nested.select("code", F.explode("m").alias("trade_date", "close"))
 
 
+@query("b12_flatten_map_all")
+def _(t):
+    """b12_flatten_map over all codes."""
+    nested = t.monthly.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("trade_date", "close"))).alias("m"))
+    return nested.select("code", F.explode("m").alias("trade_date", "close"))
+
+
+def _months(t):
+    """Code and month end of each monthly bar, to meet the quarter ends of financials."""
+    return t.monthly.select("code", F.last_day("trade_date").alias("report_date"))
+
+
 @query("c01_equi_join", "SELECT m.code, m.trade_date, m.close, f.revenue FROM monthly m LEFT JOIN financials f ON m.code = f.code AND last_day(m.trade_date) = f.report_date")
 def _(t):
     m, f = t.monthly, t.financials.select("code", "report_date", "revenue")
@@ -207,6 +219,13 @@ def _(t):
     return a.join(b, "code", "full").fillna(0, ["x", "y"])
 
 
+@query("c03_full_outer_zero_all")
+def _(t):
+    """Volume by month end and orders by quarter end; zero where a source has none."""
+    a = t.monthly.select("code", F.last_day("trade_date").alias("report_date"), F.col("volume").alias("x"))
+    return a.join(t.financials.select("code", "report_date", F.col("n_orders").alias("y")), ["code", "report_date"], "full").fillna(0, ["x", "y"])
+
+
 @query("c04_full_outer_half", "SELECT coalesce(a.code, b.code) AS code, coalesce(x, 0.5)::DOUBLE AS x, coalesce(y, 0.5)::DOUBLE AS y FROM (SELECT code, 1.0 AS x FROM industry WHERE code % 2 = 0) a FULL JOIN (SELECT code, 0.0 AS y FROM industry WHERE code % 3 = 0) b ON a.code = b.code")
 def _(t):
     a = t.industry.where("code % 2 = 0").select("code", F.lit(1.0).alias("x"))
@@ -214,6 +233,14 @@ def _(t):
     return a.join(b, "code", "full").fillna(0.5, ["x", "y"])
 
 
+@query("c04_full_outer_half_all")
+def _(t):
+    """Share of months with a gain and of quarters with a profit; a half where a source has none."""
+    a = t.returns.where("ret IS NOT NULL").groupBy("code", F.year("trade_date").alias("year")).agg(rounded(F.avg((F.col("ret") > 0).cast("int"))).alias("x"))
+    b = t.financials.groupBy("code", F.year("report_date").alias("year")).agg(rounded(F.avg((F.col("net_profit") > 0).cast("int"))).alias("y"))
+    return a.join(b, ["code", "year"], "full").fillna(0.5, ["x", "y"])
+
+
 @query("c05_asof_financials", "SELECT b.code, b.trade_date, f.report_date AS report_date, f.revenue FROM bars b ASOF LEFT JOIN financials f ON b.code = f.code AND b.trade_date >= f.report_date")
 def _(t):
     out = rel.as_of(t.bars.select("code", "trade_date"), t.financials, "code", "trade_date", "report_date", ["revenue"])
@@ -262,6 +289,14 @@ def _(t):
     return t.bars.select("trade_date").distinct().join(t.bars.where("code % 40 = 0"), "trade_date", "left_anti")
 
 
+@query("c12_missing_dates_all")
+def _(t):
+    """Months of the calendar for which a code has no bar, for all codes."""
+    m = t.monthly.select("code", "trade_date")
+    grid = m.select("trade_date").distinct().join(t.industry.select("code"), how="cross")
+    return grid.join(m, ["code", "trade_date"], "left_anti").select("code", "trade_date")
+
+
 @query("c14_sector_join", "SELECT m.code, m.trade_date, coalesce(i.sector, 'other') AS sector FROM monthly m LEFT JOIN (SELECT * FROM industry WHERE region <> 'ASIA') i ON m.code = i.code")
 def _(t):
     return rel.with_sector(t.monthly.select("code", "trade_date"), t.industry.where("region <> 'ASIA'"))
@@ -354,6 +389,18 @@ def _(t):
     return t.bars.where("code = 1").select("trade_date").subtract(t.bars.where("code = 2").select("trade_date"))
 
 
+@query("g02_intersect_all")
+def _(t):
+    """Codes and month ends that have both a bar and a report."""
+    return _months(t).intersect(t.financials.select("code", "report_date"))
+
+
+@query("g03_difference_all")
+def _(t):
+    """Codes and month ends that have a bar and no report."""
+    return _months(t).subtract(t.financials.select("code", "report_date"))
+
+
 @query("g04_except_sql", "SELECT DISTINCT o_custkey FROM orders EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000")
 def _(t):
     return t.spark.sql("SELECT DISTINCT o_custkey FROM {o} EXCEPT SELECT o_custkey FROM {o} WHERE o_totalprice > 400000", o=t.read("orders"))
