@@ -221,11 +221,15 @@ def kalman(exposures: np.ndarray, returns: np.ndarray, q: float = 1e-4, r: float
     return w, np.diag(p)
 
 
-def ruin(x: np.ndarray, paths: int = 2000, steps: int = 252, size: float = 0.2, threshold: float = 0.5, seed: int = 42) -> dict[str, float]:
-    """Share of bootstrapped wealth paths that fall to the threshold within 21, 126 and 252 steps."""
+#: Steps within which ruin is counted.
+HORIZONS = (1, 5, 21, 63, 126, 252)
+
+
+def ruin(x: np.ndarray, paths: int = 10_000, steps: int = 252, size: float = 0.2, threshold: float = 0.5, seed: int = 42) -> dict[str, float]:
+    """Share of bootstrapped wealth paths that fall to the threshold within each of HORIZONS."""
     draws = np.random.default_rng(seed).choice(x, (paths, steps))
     low = np.minimum.accumulate(np.cumprod(1 + size * np.maximum(draws, -1 / size + 1e-9), axis=1), axis=1) <= threshold
-    return {f"ruin_{h}": float(low[:, h - 1].mean()) for h in (21, 126, 252)}
+    return {f"ruin_{h}": float(low[:, h - 1].mean()) for h in HORIZONS if h <= steps}
 
 
 # dependence

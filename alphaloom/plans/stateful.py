@@ -25,7 +25,7 @@ def _fit(name: str, fit, columns: list[str], least: int, source: str = "daily_re
 
 _fit("m01_gpd_mle", eng.gpd_mle, ["threshold", "xi", "beta", "loglik", "var_99", "se_xi"], 100)
 _fit("m08_gev_fit", eng.gev_pwm, ["xi", "sigma", "mu", "return_level_100", "blocks"], 210)
-_fit("m25_ruin_monte_carlo", eng.ruin, ["ruin_21", "ruin_126", "ruin_252"], 60)
+_fit("m25_ruin_monte_carlo", eng.ruin, [f"ruin_{h}" for h in eng.HORIZONS], 60)
 _fit("m41_garch", eng.garch, ["alpha", "beta", "omega", "forecast_vol", "loglik"], 60)
 _fit("m41_egarch", eng.egarch, ["alpha", "gamma", "beta", "loglik"], 60)
 _fit("m42_hmm_regimes", eng.hmm, ["regime", "low_mean", "high_mean", "stay", "loglik"], 100)
@@ -69,7 +69,7 @@ def _(t):
 @query("m32_reserve_bootstrap", None)
 def _(t):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([eng.reserve_bootstrap(pdf, 500)])
+        return pd.DataFrame([eng.reserve_bootstrap(pdf)])
 
     return t.triangle.groupBy(F.lit(1).alias("book")).applyInPandas(run, "mean double, p50 double, p75 double, p95 double")
 

@@ -118,6 +118,24 @@ def test_regimes_and_filters():
     assert g["alpha"] + g["beta"] < 1 and g["forecast_vol"] == pytest.approx(0.01, rel=0.5)
 
 
+def test_whole_simulations(spark):
+    """Ten thousand paths to six horizons, a thousand resamples."""
+    from alphaloom.plans import registry
+
+    x = np.array([-0.9, 0.1, 0.2, 0.05])
+    low = np.minimum.accumulate(np.cumprod(1 + 0.2 * np.random.default_rng(42).choice(x, (10_000, 252)), axis=1), axis=1) <= 0.5
+    assert eng.ruin(x) == {f"ruin_{h}": float(low[:, h - 1].mean()) for h in (1, 5, 21, 63, 126, 252)}
+    from alphaloom import plans
+    from alphaloom.sources.adapters import Tables
+
+    plans.load()
+    small = "/root/testdata/sf0.001"
+    want = eng.reserve_bootstrap(Tables(spark, small).triangle.toPandas(), 1000)
+    got = registry.QUERIES["m32_reserve_bootstrap"](spark, small).first().asDict()
+    assert got == pytest.approx(want, rel=1e-9)
+    assert len(registry.QUERIES["m25_ruin_monte_carlo"](spark, small).columns) == 7
+
+
 def test_portfolios():
     r = np.random.default_rng(5)
     x = r.normal(0.001, 0.01, (300, 6)) * np.array([1, 1, 1, 2, 2, 4])
