@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +17,16 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where the session names none, a temporary one serves if everything runs on this machine; a cluster needs the setting.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return found or "file://" + tempfile.mkdtemp(prefix="alphaloom-")
+    if found:
+        return found
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="alphaloom-")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,6 +37,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables of one operator in the shared folder, as Parquet; drop() removes them when they have served.
+
+    Shuffle files of the query that makes a table go as soon as it is written.
+    """
+
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.base, self.made = spark, f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path, before = f"{self.base}/{self.made}", self.spark.conf.get(self.CLEAN, "false")
+        self.spark.conf.set(self.CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEAN, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. lower() does the same, faster, where every character is one byte."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -10,9 +10,13 @@ tasks without one task holding the corpus:
 3. Where an anchor has different territories, their bytes are fetched and brought together by anchor. A task sorts the
    suffixes of a bounded number of bytes by rank doubling. In suffix order the previous and next entries of smaller text
    position give each string its longest previous factor, and those of larger position its longest next factor.
-4. An anchor with over `crowd` different territories is not brought together: its strings are counted by a 128-bit hash,
-   combined in every task before they move. That gives the same answer for any number.
+4. An anchor with over `crowd` different territories is dealt again: their strings are parted by their distance from the
+   anchor, and each part goes with the bytes that all its strings have in common. Parts that share these bytes meet, are
+   compared as territories are (steps 2 and 3), and are parted again where they still crowd. A part of one string is
+   equal to all that it meets, so that this ends after the logarithm of `length`.
 5. Territories lead back to their occurrences, and their runs of repeated strings to the spans of each document.
+
+What lies between the steps is written to the shared folder and dropped when the spans are there.
 """
 
 from __future__ import annotations
@@ -24,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alphaloom.llm.shared import BYTE_VALUES, POWERS, cut, mix, prefix_sums, spans, utf8, with_columns_of
+from alphaloom.llm.shared import POWERS, Scratch, cut, mix, prefix_sums, spans, utf8, with_columns_of
 
 SORTED_BYTES = 1 << 20
-_OTHER_VALUES = mix(BYTE_VALUES)
+#: Parts into which the strings of a crowded anchor are dealt at a time.
+PARTS = 8
 
 
 def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -171,60 +176,104 @@ def repeated_in(pieces: list[bytes], order: np.ndarray, length: int, keep: str)
 
 
 def _sorted_groups(rows: DataFrame, length: int, keep: str) -> DataFrame:
-    """From territories with their bytes, those of an anchor side by side: anchor, whole, firsts, lasts."""
+    """From pieces of territories (key, anchor, whole, at, id, version, first, piece), those of a key side by side:
+    anchor, whole, firsts, lasts, where places count from the start of the territory."""
 
-    def flush(held: list[dict]) -> pa.RecordBatch:
-        order = np.array(sorted(range(len(held)), key=lambda i: (held[i]["id"] is not None, held[i]["id"] or 0, held[i]["version"], held[i]["first"])))
-        runs = repeated_in([h["piece"] for h in held], order, length, keep)
+    def flush(held: dict[tuple, dict]) -> pa.RecordBatch:
+        own = list(held.values())
+        order = np.array(sorted(range(len(own)), key=lambda i: (own[i]["id"] is not None, own[i]["id"] or 0, own[i]["version"], own[i]["first"])))
+        runs = repeated_in([h["piece"] for h in own], order, length, keep)
         return pa.RecordBatch.from_arrays(
-            [pa.array([h[k] for h in held], pa.int64()) for k in ("anchor", "whole")] + [pa.array([r[k].tolist() for r in runs], pa.list_(pa.int64())) for k in (0, 1)],
+            [pa.array([h[k] for h in own], pa.int64()) for k in ("anchor", "whole")] + [pa.array([(r[k] + h["at"]).tolist() for h, r in zip(own, runs)], pa.list_(pa.int64())) for k in (0, 1)],
             names=["anchor", "whole", "firsts", "lasts"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        held, size, last = {}, 0, None
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 for h in b.slice(i, 512).to_pylist():
-                    if size >= SORTED_BYTES and h["anchor"] != last:
+                    if size >= SORTED_BYTES and h["key"] != last:
                         yield flush(held)
-                        held, size = [], 0
-                    held.append(h)
-                    size, last = size + len(h["piece"]), h["anchor"]
+                        held, size = {}, 0
+                    # documents that repeat bring their territories again
+                    held[h["anchor"], h["whole"], h["at"]] = h
+                    size, last = size + len(h["piece"]), h["key"]
         if held:
             yield flush(held)
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, whole long, firsts array<long>, lasts array<long>")
+    # a fixed number of tasks: sorting takes long for its bytes, so that small partitions must not be joined up
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("key", "anchor", "whole", "at", "id", "version", "first", "piece").repartition(tasks, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "anchor long, whole long, firsts array<long>, lasts array<long>").where(F.size("firsts") > 0)
+
 
+def parts_of(shift: np.ndarray, sizes: np.ndarray, width: int, length: int) -> tuple[np.ndarray, ...]:
+    """Each piece's strings, parted by their distance from the anchor, `width` distances a part: piece, number of the
+    part, first and last string, and first and last byte (exclusive) of what all strings of the part have in common.
+
+    shift: the distance of each piece's first string; sizes: bytes of the pieces.
+    """
+    n = sizes - length + 1
+    low, high = (shift - n + 1) // width, shift // width
+    count = high - low + 1
+    piece = np.repeat(np.arange(len(n)), count)
+    part = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + low[piece]
+    first = np.maximum(0, shift[piece] - (part + 1) * width + 1)
+    last = np.minimum(n[piece] - 1, shift[piece] - part * width)
+    start = shift[piece] - part * width
+    return piece, part, first, last, start, start - width + 1 + length
 
-def _counted_groups(rows: DataFrame, length: int, keep: str) -> DataFrame:
-    """As _sorted_groups, for anchors of any number of territories: their strings are counted by hash."""
+
+def _parted(rows: DataFrame, width: int, length: int) -> DataFrame:
+    """Pieces, parted: as they are, with the key of the bytes in common and the hash of their own (`same`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                piece = np.frombuffer(b.column("piece")[i].as_py(), np.uint8)
-                n = len(piece) - length + 1
-                _, down = POWERS(len(piece) + 1)
-                hashes = []
-                for values in (BYTE_VALUES, _OTHER_VALUES):
-                    c = prefix_sums(piece, values)
-                    hashes.append(mix((c[length:] - c[:-length]) * down[:n]).view(np.int64))
-                same = pa.array(np.zeros(n, np.int32))
+            for i in range(0, b.num_rows, 512):
+                held = b.slice(i, 512)
+                raw = held.column("piece").to_pylist()
+                sizes = np.array([len(x) for x in raw], np.int64)
+                data = np.frombuffer(b"".join(raw), np.uint8)
+                begin = np.cumsum(sizes) - sizes
+                shift, key, at, start = (held.column(k).to_numpy() for k in ("shift", "key", "at", "first"))
+                piece, part, first, last, lo, hi = parts_of(shift, sizes, width, length)
+                c = prefix_sums(data)
+                _, down = POWERS(len(data) + 1)
+                hashed = lambda x, y: (c[y] - c[x]) * down[x]
+                s, e, x, y = begin[piece] + first, begin[piece] + last + length, begin[piece] + lo, begin[piece] + hi
+                common = mix(mix(hashed(x, y) + part.astype(np.uint64)) + key.view(np.uint64)[piece])
+                same = mix(mix(hashed(s, e)) + ((shift[piece] - first).astype(np.uint64) << np.uint64(32)) + (e - s).astype(np.uint64))
+                took = pa.array(piece)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(k).slice(i, 1).take(same) for k in ("anchor", "whole", "id", "version", "first")] + [pa.array(np.arange(n)), *map(pa.array, hashes)],
-                    names=["anchor", "whole", "id", "version", "first", "at", "one", "two"],
+                    [held.column(k).take(took) for k in ("anchor", "whole", "id", "version")]
+                    + [pa.array(z) for z in (start[piece] + first, at[piece] + first, shift[piece] - first, common.view(np.int64), same.view(np.int64))]
+                    + [pa.array([data[p:q].tobytes() for p, q in zip(s, e)], pa.binary())],
+                    names=["anchor", "whole", "id", "version", "first", "at", "shift", "key", "same", "piece"],
                 )
 
-    strings = rows.mapInArrow(run, "anchor long, whole long, id long, version long, first long, at long, one long, two long")
-    strings = strings.select("anchor", "whole", "at", "one", "two", F.struct(F.col("id").isNotNull().alias("named"), "id", "version", (F.col("first") + F.col("at")).alias("start")).alias("place"))
-    known = strings.groupBy("one", "two").agg(F.count("*").alias("n"), F.min("place").alias("least")).where("n > 1")
-    again = strings.join(known, ["one", "two"])
-    if keep == "first":
-        again = again.where("place > least")
-    listed = again.groupBy("anchor", "whole").agg(F.sort_array(F.collect_set("at")).alias("all"))
-    # each string a run of its own; runs are joined per document
-    return listed.select("anchor", "whole", F.col("all").alias("firsts"), F.col("all").alias("lasts"))
+    return rows.mapInArrow(run, "anchor long, whole long, id long, version long, first long, at long, shift long, key long, same long, piece binary")
+
+
+def _dealt_again(rows: DataFrame, length: int, width: int, keep: str, crowd: int, tables: Scratch) -> list[DataFrame]:
+    """Runs (anchor, whole, firsts, lasts) of the pieces of crowded anchors."""
+    out, place = [], F.struct(F.col("id").isNotNull().alias("named"), "id", "version", "first")
+    while width > 1 and not rows.isEmpty():
+        width = -(-width // PARTS)
+        parts = tables.keep(_parted(rows, width, length))
+        groups = tables.keep(parts.groupBy("key", "same").agg(F.count("*").alias("copies"), F.min(place).alias("least")))
+        kinds = tables.keep(groups.groupBy("key").agg(F.count("*").alias("kinds")))
+        groups = tables.keep(groups.join(kinds, "key").where("copies > 1 OR kinds > 1"))
+        members = tables.keep(parts.join(groups, ["key", "same"]))
+        every = F.col("copies") > 1
+        if keep == "first":
+            every = every & (place != F.col("least"))
+        last = F.col("at") + F.octet_length("piece") - length
+        out.append(members.where(every).select("anchor", "whole", F.array("at").alias("firsts"), F.array(last).alias("lasts")))
+        heads = members.where((place == F.col("least")) & (F.col("kinds") > 1))
+        out.append(_sorted_groups(heads.where(F.col("kinds") <= crowd), length, keep))
+        rows = heads.where(F.col("kinds") > crowd)
+    return out
 
 
 def _keyed(docs: DataFrame, text: Column, doc_id: Column, *others: Column) -> DataFrame:
@@ -240,43 +289,51 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", text:
     """
     gram = max(8, length // 6)
     keyed = _keyed(docs, F.col(text), F.col(doc_id))
+    tables = Scratch(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, data, _ = utf8(b.column(1))
             for i, j in spans(offsets):
-                row, _, first, last, anchor, whole = territories(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], length, gram)
+                row, place, first, last, anchor, whole = territories(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], length, gram)
                 at = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(2).take(at), pa.array(first), pa.array(last), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))],
-                    names=["id", "version", "first", "last", "anchor", "whole"],
+                    [b.column(0).take(at), b.column(2).take(at), pa.array(first), pa.array((last - first).astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))],
+                    names=["id", "version", "first", "more", "shift", "anchor", "whole"],
                 )
 
-    found = keyed.select("id", "text", "version").mapInArrow(run, "id long, version long, first long, last long, anchor long, whole long")
-    # kept, so that the join deals both sides anew and can split an anchor with many occurrences
-    repeated = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    found = cut(found.join(repeated, "anchor"))
-    place = F.struct(F.col("id").isNotNull().alias("named"), "id", "version", "first", "last")
-    distinct = cut(found.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(place).alias("head")))
-    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    various = distinct.join(sizes, "anchor").select("anchor", "whole", "kinds", "head.*")
-    wanted = various.groupBy("id", "version").agg(F.collect_list(F.struct("anchor", "whole", "kinds", "first", "last")).alias("wanted"))
+    found = keyed.select("id", "text", "version").mapInArrow(run, "id long, version long, first long, more int, shift int, anchor long, whole long")
+    # Tables between the steps: joins then deal both sides anew, and Spark can split an anchor with many occurrences.
+    repeated = tables.keep(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    found = tables.keep(found.join(repeated, "anchor"))
+    place = F.struct(F.col("id").isNotNull().alias("named"), "id", "version", "first")
+    distinct = tables.keep(found.groupBy("anchor", "whole").agg(F.count("*").alias("copies"), F.min(place).alias("head"), F.first("more").alias("more"), F.first("shift").alias("shift")))
+    sizes = tables.keep(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    various = distinct.join(sizes, "anchor").select("anchor", "whole", "kinds", "shift", "more", "head.*")
+    wanted = various.groupBy("id", "version").agg(F.collect_list(F.struct("anchor", "whole", "kinds", "shift", "more", "first")).alias("wanted"))
     bytes_of = keyed.select(F.col("id").alias("_id"), F.col("version").alias("_version"), "text")
     same = lambda x: F.col("_id").eqNullSafe(x["id"]) & (F.col("_version") == x["version"])
-    fetched = wanted.join(bytes_of, same(wanted)).select("id", "version", F.col("text").cast("binary").alias("raw"), "wanted")
-    sliced = fetched.select("id", "version", F.explode(F.transform("wanted", lambda w: F.struct(w["anchor"].alias("anchor"), w["whole"].alias("whole"), w["kinds"].alias("kinds"), w["first"].alias("first"), F.substring(F.col("raw"), w["first"].cast("int") + 1, (w["last"] - w["first"] + length).cast("int")).alias("piece")))).alias("w"))
-    pieces = cut(sliced.select("id", "version", "w.*").dropDuplicates(["anchor", "whole"]))
-    runs = _sorted_groups(pieces.where(F.col("kinds") <= crowd), length, keep).union(_counted_groups(pieces.where(F.col("kinds") > crowd), length, keep))
-    known = distinct.withColumnRenamed("n", "copies").join(runs, ["anchor", "whole"], "left").where("copies > 1 OR firsts IS NOT NULL")
+    fetched = wanted.join(bytes_of, same(wanted)).select("id", "version", F.col("text").cast("binary").alias("raw"), F.explode("wanted").alias("w"))
+    piece = F.substring("raw", F.col("w.first").cast("int") + 1, F.col("w.more") + length).alias("piece")
+    pieces = tables.keep(fetched.select("id", "version", "w.anchor", "w.whole", "w.kinds", "w.first", F.col("w.shift").cast("long").alias("shift"), F.col("w.anchor").alias("key"), F.lit(0).cast("long").alias("at"), piece))
+    crowded = pieces.where(F.col("kinds") > crowd).dropDuplicates(["anchor", "whole"])
+    runs = _sorted_groups(pieces.where(F.col("kinds") <= crowd), length, keep)
+    for more in _dealt_again(crowded, length, length - gram + 1, keep, crowd, tables):
+        runs = runs.union(more)
+    # one row for each territory: no more runs than it has strings
+    runs = tables.keep(runs).groupBy("anchor", "whole").agg(F.flatten(F.collect_list("firsts")).alias("firsts"), F.flatten(F.collect_list("lasts")).alias("lasts"))
+    known = tables.keep(distinct.join(runs, ["anchor", "whole"], "left").where("copies > 1 OR firsts IS NOT NULL").select("anchor", "whole", "copies", "head", "firsts", "lasts"))
     occurrences = found.join(known, ["anchor", "whole"])
     every = F.col("copies") > 1
     if keep == "first":
         every = every & (place != F.col("head"))
     starts = F.when(every, F.array("first")).otherwise(F.transform("firsts", lambda x: x + F.col("first")))
-    ends = F.when(every, F.array(F.col("last") + length)).otherwise(F.transform("lasts", lambda x: x + F.col("first") + length))
+    ends = F.when(every, F.array(F.col("first") + F.col("more") + length)).otherwise(F.transform("lasts", lambda x: x + F.col("first") + length))
     # one row for each document: no more spans than it has bytes
     listed = occurrences.select("id", "version", starts.alias("s"), ends.alias("e")).where(F.size("s") > 0)
-    return listed.groupBy("id", "version").agg(F.flatten(F.collect_list("s")).alias("starts"), F.flatten(F.collect_list("e")).alias("ends"))
+    listed = cut(listed.groupBy("id", "version").agg(F.flatten(F.collect_list("s")).alias("starts"), F.flatten(F.collect_list("e")).alias("ends")))
+    tables.drop()
+    return listed
 
 
 def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
