@@ -23,8 +23,8 @@ from alphaloom.llm.shared import with_columns_of
 
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
-#: Bytes of a piece, of the longest text that follows each of the LEADS lead texts, and of a lead text of a full sample.
-PIECE, SHORT, LEAD, LEADS = 8192, 512, 8192, 4
+#: Bytes of a piece, bytes of a lead text of a full sample, and lead texts of a language.
+PIECE, LEAD, LEADS = 8192, 6144, 3
 Model = tuple[tuple[str, bytes], ...]
 
 
@@ -61,11 +61,17 @@ def sizes(text: str, model: Model) -> list[int]:
     """Compressed bytes of the lower-cased text for each language.
 
     Each piece follows a lead text of the language, whose own size is taken off: few bytes earn no entropy table of
-    their own, and would count alike for every language. Short texts follow each lead text in turn.
+    their own, and would count alike for every language. Pieces follow the lead texts in turn, and a text of fewer
+    pieces than there are leads begins again, so that every text meets every lead.
     """
     data = text.lower().encode()
     pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-    return [sum(len(c.compress(x + p)) - k for p in pieces for x, k in (leads if len(data) <= SHORT else leads[:1])) for c, leads in _compressors(model)]
+    times = range(len(pieces) * -(-LEADS // len(pieces)))
+    out = []
+    for c, leads in _compressors(model):
+        pairs = ((leads[i % LEADS], pieces[i % len(pieces)]) for i in times)
+        out.append(sum(len(c.compress(x + p)) - k for (x, k), p in pairs))
+    return out
 
 
 def judge(text: str | None, model: Model, margin: float) -> tuple[str, float, float, bool]:
@@ -100,7 +106,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "do
 
 
 def keep_accepted(docs: DataFrame, model: Model, text: str = "text", margin: float = 0.004) -> DataFrame:
-    """The rows of docs whose language is accepted, with their columns and no shuffle."""
+    """The rows of docs whose language is accepted, with their columns and no shuffle.
+
+    A null or empty text, one without a letter and one between two languages goes, whatever its id; repeated rows have
+    one fate. An empty table gives no rows, and so does a sample that held no language.
+    """
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

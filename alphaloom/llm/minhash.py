@@ -183,11 +183,11 @@ def _linked(pairs: DataFrame, threshold_percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id, label (the smallest id reachable) for each id in edges (a, b): labels spread along edges and are shortcut."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("heard"))
         near = labels.join(heard, labels["id"] == heard["a"]).select("id", F.col("label").alias("old"), F.least("label", "heard").alias("near"))
         target = labels.select(F.col("id").alias("t"), F.col("label").alias("far"))
@@ -197,7 +197,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = new.select("id", "label")
         if not changed:
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _full_sets(docs: DataFrame, needed: DataFrame, text: Column, doc_id: Column, size: int) -> DataFrame:
@@ -331,6 +330,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, one document of each group, with their columns; those that go are taken away by id."""
+    """The rows of docs that stay, one document of each group, with their columns; those that go are taken away by id.
+
+    Rows without words or without an id stay. Rows that share an id are one document and stay or go together. An empty
+    table gives no rows.
+    """
     gone = near_duplicates(docs, size, percent, text, doc_id).where("NOT kept").select(F.col(doc_id).alias("_gone")).distinct()
     return with_columns_of(docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti"), docs.columns)

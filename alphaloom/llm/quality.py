@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alphaloom.llm.sample import labelled
 from alphaloom.llm.shared import cut, mix, spans, utf8, words
 
 BUCKETS = 10_000
@@ -30,16 +29,6 @@ def buckets(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate([h, pairs]) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([row, row[:-1][row[:-1] == row[1:]]])
 
 
-def _tally(texts: list[str]) -> np.ndarray:
-    total = np.zeros(BUCKETS)
-    encoded = [t.encode() for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(e) for e in encoded])]).astype(np.int64)
-    for i, j in spans(offsets):
-        data = np.frombuffer(b"".join(encoded[i:j]), np.uint8)
-        total += np.bincount(buckets(offsets[i : j + 1] - offsets[i], data)[0], minlength=BUCKETS)
-    return total
-
-
 def raw_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Bucket counts over all documents: a fixed number of them, whatever the corpus."""
 
@@ -58,10 +47,15 @@ def raw_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, target_texts: int = 4000, text: str = "text", doc_id: str = "doc_id", smoothing: float = 1.0) -> np.ndarray:
-    """Log ratio of target to raw for each bucket. labels: id, label; those labelled 1 are the target, of which at most
-    target_texts are read. Raw counts cover all documents."""
-    target = _tally([t for _, t in labelled(docs, labels.where("label = 1"), target_texts, text, doc_id, max_bytes=1 << 15)]) + smoothing
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", smoothing: float = 1.0) -> np.ndarray:
+    """Log ratio of target to raw for each bucket. labels: id, label; texts of ids labelled 1 are the target.
+
+    Either side covers all its texts. Null and empty texts count nothing, repeated rows each time, repeated labels once;
+    without a target all ratios come from smoothing alone. Labels meet documents by id: rows with many of one id are
+    met where they are, as Spark can split them.
+    """
+    good = labels.where("label = 1 AND id IS NOT NULL").select(F.col("id").alias("_good")).distinct()
+    target = raw_counts(docs.join(good, docs[doc_id] == good["_good"], "left_semi"), text) + smoothing
     raw = raw_counts(docs, text) + smoothing
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 

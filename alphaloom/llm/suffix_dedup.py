@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.llm.shared import POWERS, Scratch, cut, mix, prefix_sums, spans, utf8, with_columns_of
 
-SORTED_BYTES = 1 << 20
+SORTED_BYTES = 1 << 19
 #: Parts into which the strings of a crowded anchor are dealt at a time.
 PARTS = 8
 
@@ -83,7 +83,7 @@ def suffix_ranks(data: np.ndarray, length: int) -> tuple[list[tuple[int, np.ndar
 
     def ranked(key: np.ndarray) -> np.ndarray:
         order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
         return rank
 
@@ -95,10 +95,10 @@ def suffix_ranks(data: np.ndarray, length: int) -> tuple[list[tuple[int, np.ndar
     rank = ranked(key)
     levels.append((size, rank))
     while size * 2 <= length:
-        rank = ranked(rank * (n + 1) + at(rank, size))
+        rank = ranked(rank.astype(np.int64) * (n + 1) + at(rank, size))
         size *= 2
         levels.append((size, rank))
-    return levels, rank if size == length else ranked(rank * (n + 1) + at(rank, length - size))
+    return levels, rank if size == length else ranked(rank.astype(np.int64) * (n + 1) + at(rank, length - size))
 
 
 def common_prefix(levels: list[tuple[int, np.ndarray]], data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
@@ -389,7 +389,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", text:
 def drop_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs, in which the first copy of each repeated passage stays and later ones are taken out of the text.
 
-    Every row stays, if with an empty text; a null text stays null.
+    Every row stays, if with an empty text; a null text stays null. Rows with the same id and text are one document and
+    keep the same text; equal texts under other ids keep theirs in the one of smallest id (nulls first). An empty table
+    gives no rows. Only whole characters go.
     """
     out = remove_repeats(docs, length, "first", text, doc_id, whole_characters=True)
     kept = F.when(F.col("row").getField(text).isNull(), F.lit(None).cast("string")).otherwise(F.col("kept").cast("string"))

@@ -154,7 +154,7 @@ def fit_texts(pairs: list[tuple[int, str]], keep: int = 4096, alpha: float = 0.5
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> Model:
     """labels: id, label (1 toxic). At most per_label texts of each label are read into the driver."""
-    return fit_texts(labelled(docs, labels, per_label, max_bytes=1 << 15))
+    return fit_texts(labelled(docs, labels, per_label, total_bytes=1 << 23))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -70,7 +70,7 @@ def train(pages: DataFrame, date: str, samples: int = 400, sample_bytes: int = 1
     # ids first: payloads of the chosen ones only leave their tasks
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("hash", "page_id", "digest"))
     ids = fit.select("page_id", "digest").withColumn("hash", F.xxhash64("page_id", "digest"))
-    ids = ids.where(lowest_share(F.col("hash"), samples, F.lit(fit.count()))).distinct().withColumn("rank", rank).where(F.col("rank") <= samples).drop("hash")
+    ids = ids.where(lowest_share(F.col("hash"), F.lit(min(1.0, 4.0 * samples / max(1, fit.count()))))).distinct().withColumn("rank", rank).where(F.col("rank") <= samples).drop("hash")
     chosen = F.broadcast(ids.select(F.col("page_id").alias("_i"), F.col("digest").alias("_d"), "rank"))
     found = fit.join(chosen, F.col("page_id").eqNullSafe(F.col("_i")) & (F.col("digest") == F.col("_d")))
     rows = found.groupBy("rank", "page_id", "digest").agg(F.min("url").alias("url"), F.min("payload").alias("payload")).collect()

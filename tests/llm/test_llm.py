@@ -436,6 +436,67 @@ def test_quality(spark):
     assert quality.resample(docs.limit(0), ratio).count() == 0
 
 
+def test_quality_by_brute_force(spark):
+    """Weights, noise and the selected rows, recomputed word by word."""
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(r.choice(vocabulary[: 20 + i % 60]) for _ in range(r.randint(0, 40)))) for i in range(60)]
+    rows += [(60, "Long " + "w1 W2 " * 150_000), (61, None), (62, " \t"), (3, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 64, 2)] + [(4, 1), (None, 1), (5, None)], "id long, label int")
+
+    def plain(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(FOLD))
+        one = lambda x: quality.buckets(np.array([0, len(x.encode())]), np.frombuffer(x.encode(), np.uint8))[0]
+        return np.array([int(one(x)[0]) for x in w] + [int(one(f"{x} {y}")[2]) for x, y in zip(w, w[1:])], int)
+
+    plain_of = {t: plain(t) for _, t in rows}
+    count = lambda texts: sum((np.bincount(plain_of[t], minlength=quality.BUCKETS) for t in texts), np.ones(quality.BUCKETS))
+    target, raw = count([t for i, t in rows if i % 4 == 0 and i < 64]), count([t for _, t in rows])
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    assert np.allclose(quality.fit(docs, labels), ratio)
+    got = quality.resample(docs, ratio, share=0.25).collect()
+    noise = {x.doc_id: x.h for x in docs.select("doc_id", F.xxhash64(F.lit(1), "doc_id").alias("h")).collect()}
+    mask = (1 << 64) - 1
+
+    def spread(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    want = []
+    for i, t in rows:
+        u = (float(spread(noise[i] & mask)) + 0.5) / 2.0**64
+        weight = float(ratio[plain_of[t]].sum())
+        want.append((i, weight, weight - math.log(-math.log(u))))
+    assert np.allclose(sorted(x[1:] for x in want), sorted((x.log_weight, x.noisy) for x in got))
+    edge = sorted((x[2] for x in want), reverse=True)[math.ceil(len(rows) / 4) - 1]
+    assert {x.doc_id for x in got if x.selected} == {i for i, _, z in want if z >= edge - 1e-9}
+
+
+def test_quality_ties(spark):
+    rows = spark.createDataFrame([(i, "same words") for i in (5, 3, 3, 9)] + [(None, "same words")], "doc_id long, text string")
+    ratio = np.zeros(quality.BUCKETS)
+    got = quality.resample(rows, ratio, share=0.4, seed=2).collect()
+    top = sorted({(-x.noisy, -1 if x.doc_id is None else x.doc_id) for x in got})
+    assert sum(x.selected for x in got) >= 2 and {x.doc_id for x in got if x.selected} <= {None if i == -1 else i for _, i in top[:2]}
+
+
+def test_sample(spark):
+    """Rows without a text are not counted, long texts are kept whole, and repeats count once."""
+    from alphaloom.llm.sample import labelled
+
+    docs = spark.createDataFrame([(i, "x" * (200_000 if i % 7 == 0 else 5)) for i in range(0, 4000, 40)] + [(40, "y"), (1, ""), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 if i < 3999 else 9) for i in range(4000)] + [(None, 1), (80, None), (40, 40 % 3)], "id long, label int")
+    got = labelled(docs, labels, 20)
+    by = defaultdict(list)
+    for k, t in got:
+        by[k].append(t)
+    assert {k: len(v) for k, v in by.items()} == {0: 20, 1: 20, 2: 20} and {len(t) for v in by.values() for t in v} <= {1, 5, 200_000}
+    assert any(len(t) == 200_000 for v in by.values() for t in v) and labelled(docs, labels, 20) == got
+    assert len(labelled(docs, labels.where("label = 0"), 20, total_bytes=30)) <= 6 and labelled(docs.limit(0), labels, 5) == []
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.sampled_from([0.0, 1.0, 1.5, -3.0, 1e300, 7.25]), min_size=1, max_size=12), st.data())
 def test_largest(spark, values, data):
