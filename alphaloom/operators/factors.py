@@ -2,6 +2,9 @@
 
 A factor gives a value for every bar. Where the frame holds fewer bars than it needs the value is null. Returns are
 taken once, as a column `ret`, before the windows are applied; a missing or non-positive previous close gives none.
+
+The families are written over a view of the bars: Frames gives their value at every bar, Last at the last bar of each
+code only, as plain aggregates of the few bars that count.
 """
 
 from __future__ import annotations
@@ -25,9 +28,45 @@ def frame(w: int) -> Window:
     return order().rowsBetween(-(w - 1), 0)
 
 
-def full(value: Column, w: int, over: str = "close") -> Column:
+class Frames:
+    """Of every bar: what is taken over the last w bars, the bar's own values, and those n bars before."""
+
+    def over(self, fn: Callable[..., Column], w: int, *columns: Column) -> Column:
+        return fn(*columns).over(frame(w))
+
+    def now(self, c: str) -> Column:
+        return F.col(c)
+
+    def back(self, c: str, n: int) -> Column:
+        return F.lag(c, n).over(order())
+
+    def not_above_now(self, c: str, w: int) -> Column:
+        held = F.collect_list(c).over(frame(w))
+        return F.size(F.filter(held, lambda x: x <= F.col(c)))
+
+
+class Last(Frames):
+    """Of the last bar of a code: its bars are numbered from the last, k = 1, and c_now holds the last value of c."""
+
+    def over(self, fn: Callable[..., Column], w: int, *columns: Column) -> Column:
+        return fn(*[F.when(F.col("k") <= w, c) for c in columns])
+
+    def now(self, c: str) -> Column:
+        return F.max(F.when(F.col("k") == 1, F.col(c)))
+
+    def back(self, c: str, n: int) -> Column:
+        return F.max(F.when(F.col("k") == n + 1, F.col(c)))
+
+    def not_above_now(self, c: str, w: int) -> Column:
+        return F.count(F.when((F.col("k") <= w) & (F.col(c) <= F.col(f"{c}_now")), 1))
+
+
+EVERY, LAST = Frames(), Last()
+
+
+def full(value: Column, w: int, over: str = "close", v: Frames = EVERY) -> Column:
     """value, where the frame of w bars has w non-null values of the column."""
-    return F.when(F.count(F.col(over)).over(frame(w)) >= w, value)
+    return F.when(v.over(F.count, w, F.col(over)) >= w, value)
 
 
 def with_returns(bars: DataFrame) -> DataFrame:
@@ -35,102 +74,106 @@ def with_returns(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"ret": F.when(before > 0, F.col("close") / before - 1), "diff": F.col("close") - before})
 
 
-def _over(agg: Callable[[Column], Column], x: Column, w: int) -> Column:
-    return agg(x).over(frame(w))
-
-
 def _share(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def _correlation(a: str, b: str, f: Window) -> Column:
+def _moving(v: Frames, w: int, *columns: str) -> Column:
+    """Whether each column varies within the frame."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & (v.over(F.stddev_pop, w, F.col(c)) > 0)
+    return out
+
+
+def _correlation(v: Frames, w: int, a: str, b: str) -> Column:
     """Null where either side is constant in the frame; Spark's corr would divide by zero there."""
-    return F.try_divide(F.covar_pop(a, b).over(f), F.stddev_pop(a).over(f) * F.stddev_pop(b).over(f))
+    x, y = F.col(a), F.col(b)
+    return F.try_divide(v.over(F.covar_pop, w, x, y), v.over(F.stddev_pop, w, x) * v.over(F.stddev_pop, w, y))
 
 
-def roc(w: int) -> Column:
+def roc(w: int, v: Frames = EVERY) -> Column:
     """Return over w - 1 steps; 0 where the first close is 0."""
-    before = F.lag("close", w - 1).over(order())
-    return full(F.when(before == 0, 0.0).otherwise(_share(F.col("close"), before) - 1), w)
+    before = v.back("close", w - 1)
+    return full(F.when(before == 0, 0.0).otherwise(_share(v.now("close"), before) - 1), w, v=v)
 
 
-def std(w: int) -> Column:
-    return full(_over(F.stddev_pop, F.col("ret"), w), w, "ret")
+def std(w: int, v: Frames = EVERY) -> Column:
+    return full(v.over(F.stddev_pop, w, F.col("ret")), w, "ret", v)
 
 
-def corr(w: int) -> Column:
+def corr(w: int, v: Frames = EVERY) -> Column:
     """Correlation of close and volume, null where either is constant."""
-    f = frame(w)
-    n = [F.stddev_pop(c).over(f) > 0 for c in ("close", "volume")]
-    return full(F.when(n[0] & n[1], _correlation("close", "volume", f)), w)
+    return full(F.when(_moving(v, w, "close", "volume"), _correlation(v, w, "close", "volume")), w, v=v)
+
+
+def high_max(w: int, v: Frames = EVERY) -> Column:
+    return full(_share(v.over(F.max, w, F.col("high")), v.now("close")), w, v=v)
 
 
-def high_max(w: int) -> Column:
-    return full(_share(F.max("high").over(frame(w)), F.col("close")), w)
+def low_min(w: int, v: Frames = EVERY) -> Column:
+    return full(_share(v.over(F.min, w, F.col("low")), v.now("close")), w, v=v)
 
 
-def low_min(w: int) -> Column:
-    return full(_share(F.min("low").over(frame(w)), F.col("close")), w)
+def vma(w: int, v: Frames = EVERY) -> Column:
+    m = v.over(F.avg, w, F.col("volume"))
+    return full(F.when(m == 0, 1.0).otherwise(_share(v.now("volume"), m)), w, v=v)
 
 
-def vma(w: int) -> Column:
-    m = F.avg("volume").over(frame(w))
-    return full(F.when(m == 0, 1.0).otherwise(_share(F.col("volume"), m)), w)
+def _variation(c: str, w: int, v: Frames) -> Column:
+    return full(_share(v.over(F.stddev_pop, w, F.col(c)), v.over(F.avg, w, F.col(c))), w, v=v)
 
 
-def vstd(w: int) -> Column:
-    return full(_share(F.stddev_pop("volume").over(frame(w)), F.avg("volume").over(frame(w))), w)
+def vstd(w: int, v: Frames = EVERY) -> Column:
+    return _variation("volume", w, v)
 
 
-def cntp(w: int) -> Column:
+def cntp(w: int, v: Frames = EVERY) -> Column:
     """Share of rises among the last w changes."""
-    return full(F.avg(F.when(F.col("diff") > 0, 1.0).otherwise(0.0)).over(frame(w)), w, "diff")
+    return full(v.over(F.avg, w, F.when(F.col("diff") > 0, 1.0).otherwise(0.0)), w, "diff", v)
 
 
-def beta(w: int) -> Column:
-    """Sample covariance with the market over its population variance (both with a tiny term), as the reference has it."""
-    return full((F.covar_samp("ret", "mkt").over(frame(w)) + 0.0) / (F.var_pop("mkt").over(frame(w)) + TINY), w, "ret")
+def beta(w: int, v: Frames = EVERY) -> Column:
+    """Sample covariance with the market over its population variance (with a tiny term), as the reference has it."""
+    return full(v.over(F.covar_samp, w, F.col("ret"), F.col("mkt")) / (v.over(F.var_pop, w, F.col("mkt")) + TINY), w, "ret", v)
 
 
-def rsqr(w: int) -> Column:
-    f = frame(w)
-    moving = (F.stddev_pop("ret").over(f) > 0) & (F.stddev_pop("mkt").over(f) > 0)
-    return full(F.when(moving, F.pow(_correlation("ret", "mkt", f), F.lit(2))), w, "ret")
+def rsqr(w: int, v: Frames = EVERY) -> Column:
+    return full(F.when(_moving(v, w, "ret", "mkt"), F.pow(_correlation(v, w, "ret", "mkt"), F.lit(2))), w, "ret", v)
 
 
-def rank(w: int) -> Column:
+def rank(w: int, v: Frames = EVERY) -> Column:
     """Share of the last w returns that are not above the last."""
-    held = F.collect_list("ret").over(frame(w))
-    return full(F.size(F.filter(held, lambda x: x <= F.col("ret"))) / F.lit(float(w)), w, "ret")
+    return full(v.not_above_now("ret", w) / F.lit(float(w)), w, "ret", v)
 
 
-def skew(w: int) -> Column:
-    return full(F.when(F.stddev_pop("ret").over(frame(w)) > 0, F.skewness("ret").over(frame(w))), w, "ret")
+def skew(w: int, v: Frames = EVERY) -> Column:
+    return full(F.when(_moving(v, w, "ret"), v.over(F.skewness, w, F.col("ret"))), w, "ret", v)
 
 
-def kurt(w: int) -> Column:
-    return full(F.when(F.stddev_pop("ret").over(frame(w)) > 0, F.kurtosis("ret").over(frame(w))), w, "ret")
+def kurt(w: int, v: Frames = EVERY) -> Column:
+    return full(F.when(_moving(v, w, "ret"), v.over(F.kurtosis, w, F.col("ret"))), w, "ret", v)
 
 
-def turn(w: int) -> Column:
-    return full(_share(F.stddev_pop("turnover_rate").over(frame(w)), F.avg("turnover_rate").over(frame(w))), w)
+def turn(w: int, v: Frames = EVERY) -> Column:
+    return _variation("turnover_rate", w, v)
 
 
-def amp(w: int) -> Column:
-    return full(F.avg((F.col("high") - F.col("low")) / (F.col("close") + TINY)).over(frame(w)), w)
+def amp(w: int, v: Frames = EVERY) -> Column:
+    return full(v.over(F.avg, w, (F.col("high") - F.col("low")) / (F.col("close") + TINY)), w, v=v)
 
 
-def vwap(w: int) -> Column:
-    v = _share(F.sum("amount").over(frame(w)), F.sum("volume").over(frame(w)))
-    return full(_share(F.col("close") - v, v), w)
+def vwap(w: int, v: Frames = EVERY) -> Column:
+    mean = _share(v.over(F.sum, w, F.col("amount")), v.over(F.sum, w, F.col("volume")))
+    return full(_share(v.now("close") - mean, mean), w, v=v)
 
 
-def oc(w: int) -> Column:
-    return full(F.avg((F.col("close") - F.col("open")) / (F.col("open") + TINY)).over(frame(w)), w)
+def oc(w: int, v: Frames = EVERY) -> Column:
+    return full(v.over(F.avg, w, (F.col("close") - F.col("open")) / (F.col("open") + TINY)), w, v=v)
 
 
-#: name: (factor of a window, whether it has the extra windows)
-FAMILIES: dict[str, Callable[[int], Column]] = {"roc": roc, "std": std, "corr": corr, "max": high_max, "min": low_min, "vma": vma, "vstd": vstd, "cntp": cntp, "beta": beta, "rsqr": rsqr, "rank": rank, "skew": skew, "kurt": kurt, "turn": turn, "amp": amp, "hl_spread": amp, "vwap": vwap, "oc": oc}
+#: name: factor of a window and a view
+FAMILIES: dict[str, Callable[..., Column]] = {"roc": roc, "std": std, "corr": corr, "max": high_max, "min": low_min, "vma": vma, "vstd": vstd, "cntp": cntp, "beta": beta, "rsqr": rsqr, "rank": rank, "skew": skew, "kurt": kurt, "turn": turn, "amp": amp, "hl_spread": amp, "vwap": vwap, "oc": oc}
 
 
 def families(bars: DataFrame, names: list[str], windows: list[int]) -> DataFrame:
@@ -227,14 +270,43 @@ def category(name: Column) -> Column:
     return out.otherwise("")
 
 
-#: Families of the factory and whether each also has the extra windows.
+#: Families of the factory with their windows, and its crosses of two families (fixed values): 127 factors and 13.
 FACTORY: list[tuple[list[str], list[int]]] = [
     (["roc", "std", "corr", "max", "min", "vma", "cntp"], WINDOWS),
     (["beta", "rsqr", "rank", "skew", "kurt", "turn", "amp"], WINDOWS),
-    (["roc", "std", "corr", "rank", "skew", "cntp"], EXTRA_WINDOWS),
+    (["roc", "std", "max", "min", "beta", "rsqr"], EXTRA_WINDOWS),
+    (["vwap", "hl_spread", "oc"], WINDOWS),
+]
+CROSSES: list[tuple[str, str, str, list[int]]] = [
+    ("roc", "std", "ratio", [10, 20, 60]),
+    ("beta", "std", "ratio", [20, 60]),
+    ("corr", "vma", "product", [10, 20, 60]),
+    ("max", "min", "ratio", [10, 20, 60]),
+    ("rank", "roc", "product", [20, 60]),
 ]
 
 
+def crosses(v: Frames = EVERY) -> dict[str, Column]:
+    """The crossed factors: product or quotient of two families at one window, null where either is or the divisor is 0."""
+    made = {"product": product, "ratio": ratio}
+    return {f"{a}_{b}_{w}": made[op](FAMILIES[a](w, v), FAMILIES[b](w, v)) for a, b, op, windows in CROSSES for w in windows}
+
+
+def factory(bars: DataFrame, market: DataFrame) -> DataFrame:
+    """code, trade_date and all factors of the factory at the last bar of each code.
+
+    Only the bars that the longest window and its first return need are kept, before anything is computed; the factors
+    are then conditional aggregates of them, in one grouping. market: trade_date, mkt.
+    """
+    last = Window.partitionBy("code").orderBy(F.desc("trade_date"))
+    kept = bars.withColumn("k", F.row_number().over(last)).where(F.col("k") <= max(EXTRA_WINDOWS) + 1)
+    before = F.lead("close").over(last)
+    kept = kept.withColumns({"ret": F.when(before > 0, F.col("close") / before - 1), "diff": F.col("close") - before})
+    kept = kept.withColumn("ret_now", F.first("ret").over(last)).join(market, "trade_date", "left")
+    named = {f"{n}_{w}": FAMILIES[n](w, LAST) for names, windows in FACTORY for n in names for w in windows} | crosses(LAST)
+    return kept.groupBy("code").agg(F.max("trade_date").alias("trade_date"), *[c.alias(k) for k, c in named.items()])
+
+
 def to_long(wide: DataFrame) -> DataFrame:
     """code, trade_date, factor, value, without nulls."""
     names = [c for c in wide.columns if c not in ("code", "trade_date")]

@@ -101,16 +101,42 @@ _single("i47_turnover_1m", {"turnover_1m": lambda: F.when(F.count("turnover_rate
 _single("i48_volume_ratio_loose", {"volume_ratio": lambda: F.avg("volume").over(fac.frame(5)) / F.avg("volume").over(fac.frame(20))}, {"volume_ratio": "avg(volume) OVER f5 / avg(volume) OVER f20"})
 _single("i49_rsi", {"rsi_14": fac.rsi}, {"rsi_14": "CASE WHEN count(diff) OVER f14 >= 14 THEN CASE WHEN avg(greatest(-diff, 0)) OVER f14 = 0 THEN 100 ELSE 100 - 100 / (1 + avg(greatest(diff, 0)) OVER f14 / avg(greatest(-diff, 0)) OVER f14) END END"})
 _single("i50_ma_gap", {"ma5_gap": fac.ma_gap}, {"ma5_gap": "CASE WHEN count(close) OVER f5 >= 5 THEN (close - avg(close) OVER f5) / (avg(close) OVER f5) END"})
-_single("i19_cross_factor", {"roc_x_std": lambda: fac.product(fac.roc(20), fac.std(20)), "roc_over_oc": lambda: fac.ratio(fac.roc(20), fac.high_max(20))}, {"roc_x_std": "CASE WHEN count(ret) OVER f20 >= 20 THEN (close / lag(close, 19) OVER o - 1) * stddev_pop(ret) OVER f20 END", "roc_over_oc": "CASE WHEN count(close) OVER f20 >= 20 THEN (close / lag(close, 19) OVER o - 1) / (max(high) OVER f20 / close) END"})
+def _full_sql(name: str, w: int, f: str) -> str:
+    return f"CASE WHEN count({SQL[name][1]}) OVER {f} >= {w} THEN {SQL[name][0](w, f)} END"
 
 
-@query("i20_alpha_factory", None)
+def _crosses_sql() -> dict[str, str]:
+    out = {}
+    for a, b, op, windows in fac.CROSSES:
+        for w in windows:
+            x, y = (f"({_full_sql(n, w, f'f{w}')})" for n in (a, b))
+            out[f"{a}_{b}_{w}"] = f"{x} * {y}" if op == "product" else f"{x} / nullif({y}, 0)"
+    return out
+
+
+def _frames_sql(windows) -> str:
+    return ", ".join(f"f{w} AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in windows)
+
+
+@query("i19_cross_factor", f"WITH b AS ({_BASE}) SELECT code, trade_date, {', '.join(f'{r(x)} AS {k}' for k, x in _crosses_sql().items())} FROM b WINDOW o AS (PARTITION BY code ORDER BY trade_date), {_frames_sql([10, 20, 60])}")
+def _(t):
+    return base(t).select("code", "trade_date", *[rounded(c).alias(k) for k, c in fac.crosses().items()])
+
+
+def _factory_sql() -> str:
+    """Every factor over its frame at every bar, of which the last stays."""
+    named = {f"{n}_{w}": _full_sql(n, w, f"f{w}") for names, windows in fac.FACTORY for n in names for w in windows} | _crosses_sql()
+    wide = ", ".join(f"{r(x)} AS {k}" for k, x in named.items())
+    windows = sorted({w for _, ws in fac.FACTORY for w in ws})
+    return f"""WITH b AS ({_BASE}), late AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) <= {max(windows)}),
+ wide AS (SELECT code, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS k, {wide} FROM late WINDOW o AS (PARTITION BY code ORDER BY trade_date), {_frames_sql(windows)})
+ SELECT code, factor, value FROM wide UNPIVOT (value FOR factor IN ({', '.join(named)})) WHERE k = 1"""
+
+
+@query("i20_alpha_factory", _factory_sql())
 def _(t):
-    """All window factors of the factory at once, for the last bar of each code, in long form."""
-    wide, last = base(t), Window.partitionBy("code").orderBy(F.desc("trade_date"))
-    columns = [fac.FAMILIES[n](w).alias(f"{n}_{w}") for names, windows in fac.FACTORY for n in names for w in windows]
-    rows = wide.select("code", "trade_date", *columns).withColumn("k", F.row_number().over(last)).where("k = 1").drop("k")
-    return fac.to_long(rows).select("code", "factor", rounded(F.col("value")).alias("value"))
+    """The 140 factors of the factory for the last bar of each code, in long form."""
+    return fac.to_long(fac.factory(t.bars, t.market)).select("code", "factor", rounded(F.col("value")).alias("value"))
 
 
 _Q = "PARTITION BY code ORDER BY report_date"
