@@ -8,35 +8,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def knn_edges(rows: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+def knn_edges(rows: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
     """src, dst, distance: the k nearest of each row (id, features array), by Euclid, ties to the smaller id.
 
-    Rows meet in blocks: each block of queries is compared with each block of rows in one matrix product and keeps its
-    k best, which are merged by rank.
+    Rows meet in blocks: each block of queries is compared with each block of rows, some queries at a time, and keeps
+    its k best, which are merged by rank.
     """
     n = rows.count()
     blocks = max(1, -(-n // block))
     keyed = rows.select("id", F.col("features").cast("array<double>").alias("features"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    data, asked = keyed.select("id", "features", "b", other.alias("q")), keyed.select("id", "features", F.col("b").alias("q"), other.alias("b"))
+    data = keyed.select("id", "features", "b", other.alias("q"))
+    asked = keyed.select(F.col("id").alias("own"), F.col("features").alias("asked"), F.col("b").alias("of"), other.alias("at"))
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "distance": np.zeros(0)})
         if left.empty or right.empty:
             return empty
-        x, y, ids = np.stack(left.features), np.stack(right.features), left.id.to_numpy()
+        x, y = np.stack(left.features), np.stack(right.asked)
+        ids, own = left.id.to_numpy(), right.own.to_numpy()
         out = []
-        for i, own in enumerate(right.id.to_numpy()):
-            d = np.sqrt(((x - y[i]) ** 2).sum(1))
-            best = [j for j in np.lexsort((ids, d))[: k + 1] if ids[j] != own][:k]
-            out.append(pd.DataFrame({"src": own, "dst": ids[best], "distance": d[best]}))
-        return pd.concat(out, ignore_index=True)
-
-    found = data.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInPandas(near, "src long, dst long, distance double")
+        for i in range(0, len(own), 64):
+            d = np.sqrt(((x[None] - y[i : i + 64, None]) ** 2).sum(2))
+            d[own[i : i + 64, None] == ids[None]] = np.inf
+            order = np.argsort(ids, kind="stable")
+            best = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
+            out.append(pd.DataFrame({"src": np.repeat(own[i : i + 64], best.shape[1]), "dst": ids[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()}))
+        return pd.concat(out, ignore_index=True).query("distance < inf")
+
+    found = data.groupBy("b", "q").cogroup(asked.groupBy("at", "of")).applyInPandas(near, "src long, dst long, distance double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
     return found.withColumn("k", rank).where(F.col("k") <= k).drop("k")
 
 
+def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """id, features: the named columns, each less its mean and over its population deviation."""
+    stats = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[(F.stddev_pop(c) + 1e-12).alias(f"s_{c}") for c in columns]).first()
+    return rows.select("id", F.array(*[(F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"]) for c in columns]).alias("features"))
+
+
+def similarity_graph(rows: DataFrame, columns: list[str], groups: DataFrame, k: int = 10, peers: int = 5) -> DataFrame:
+    """src, dst: of each row (id and columns) the k nearest in standardised columns, made symmetric, and up to `peers`
+    others of its group (groups: code, sector), each edge once."""
+    near = knn_edges(standardised(rows, columns), k).select("src", "dst")
+    return symmetric(near).union(sampled_peers(groups, "sector", peers)).distinct()
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
 
@@ -55,10 +72,11 @@ def normalized(edges: DataFrame, loops: bool = False) -> DataFrame:
 def sampled_peers(rows: DataFrame, group: str, most: int = 20) -> DataFrame:
     """src, dst: in each group all pairs if it has at most most + 1 members, else `most` peers each.
 
-    Peers are the next ones in the order of hashed ids, round the circle: as many for any group size, and repeatable.
+    Peers are the next ones in the order of hashed ids, round the circle: repeatable, and with `most` the reference's own
+    number of drawn peers, which keeps the edges of a large group in proportion to its members.
     """
     w = Window.partitionBy(group)
-    placed = rows.select(group, "code").distinct().withColumns({"p": F.row_number().over(w.orderBy(F.xxhash64("code"), "code")) - 1, "n": F.count("*").over(w)})
+    placed = rows.select(group, "code").distinct().withColumns({"p": F.row_number().over(w.orderBy(F.md5(F.col("code").cast("string")), "code")) - 1, "n": F.count("*").over(w)})
     steps = placed.withColumn("step", F.explode(F.when(F.col("n") > 1, F.sequence(F.lit(1), F.least(F.col("n") - 1, F.lit(most)).cast("int"))).otherwise(F.array().cast("array<int>"))))
     a = steps.select(group, F.col("code").alias("src"), F.pmod(F.col("p") + F.col("step"), F.col("n")).alias("at"))
     b = placed.select(F.col(group).alias("_g"), F.col("code").alias("dst"), F.col("p").alias("q"))

@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alphaloom.functions.scalar import norm_cdf
-
 #: Quantiles of the standard normal (fixed values).
 Z = {0.95: 1.645, 0.99: 2.326, 0.999: 3.090}
 #: Historical scenarios: shock, volatility multiple, liquidity discount (fixed values).
@@ -84,17 +82,6 @@ def clayton_loglik(u: Column, v: Column, theta: Column) -> Column:
     return F.log(1 + theta) - (1 + theta) * (F.log(u) + F.log(v)) - (2 + 1 / theta) * F.log(s)
 
 
-def buhlmann_straub(records: DataFrame, by: str = "source", value: str = "ic") -> DataFrame:
-    """by, n, mean, credibility, posterior: Z = n / (n + m / v), m the mean variance within and v the variance of means
-    (a tenth of m where that is 0)."""
-    one = Window.partitionBy(F.lit(1))
-    own = records.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("s2"))
-    v = F.coalesce(F.var_samp("mean").over(one), F.lit(0.0))
-    out = own.withColumns({"m": F.avg("s2").over(one), "v": v, "grand": F.avg("mean").over(one)}).withColumn("v", F.when(F.col("v") <= 0, 0.1 * F.col("m")).otherwise(F.col("v")))
-    z = F.col("n") / (F.col("n") + F.col("m") / F.col("v"))
-    return out.select(by, "n", "mean", z.alias("credibility"), (z * F.col("mean") + (1 - z) * F.col("grand")).alias("posterior"))
-
-
 def development_factors(triangle: DataFrame) -> DataFrame:
     """j, factor (from j to j + 1), to_ultimate: column sums over accident years that have both, c positive."""
     later = F.lead("c").over(Window.partitionBy("i").orderBy("j"))
@@ -180,10 +167,6 @@ def performance(returns: DataFrame, by: str = "code", periods: int = 252, free:
     return e.groupBy(by).agg(a.alias("annual"), v.alias("volatility"), F.try_divide(a - free, v).alias("sharpe"), d.alias("drawdown"), F.try_divide(a, d).alias("calmar"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"))
 
 
-def probabilistic_sharpe(sharpe: Column, benchmark: float, n: Column) -> Column:
-    return norm_cdf((sharpe - benchmark) * F.sqrt(n - 1) / F.sqrt(1 + sharpe * sharpe / 2))
-
-
 def brinson(weights: DataFrame) -> DataFrame:
     """sector, allocation, selection, interaction from rows sector, w_p, w_b, r_p, r_b."""
     s = weights.groupBy("sector").agg(F.sum("w_p").alias("wp"), F.sum("w_b").alias("wb"), F.coalesce(F.try_divide(F.sum(F.col("w_p") * F.col("r_p")), F.sum("w_p")), F.lit(0.0)).alias("rp"), F.coalesce(F.try_divide(F.sum(F.col("w_b") * F.col("r_b")), F.sum("w_b")), F.lit(0.0)).alias("rb"))
@@ -222,6 +205,17 @@ def slices(orders: DataFrame, n: int, lot: int = 100) -> DataFrame:
     return out.withColumn("quantity_slice", F.when(F.col("slice") == n - 1, F.col("quantity") - each * (n - 1)).otherwise(each).cast("long"))
 
 
+def vwap_slices(orders: DataFrame, profile: list[float], lot: int = 100, kappa: float = 0.0020) -> DataFrame:
+    """orders with slice, quantity_slice and impact: by the day's volume profile in whole lots, one at least; the last
+    slice has what is left, or nothing. impact: the square-root rule on the slice's part of the volume."""
+    w = F.get(F.lit([x / sum(profile) for x in profile]), F.col("slice"))
+    out = orders.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(len(profile) - 1)))).withColumn("w", w)
+    out = out.withColumn("q", F.greatest(F.lit(lot), F.floor(F.col("quantity") * F.col("w") / lot) * lot))
+    before = F.coalesce(F.sum("q").over(Window.partitionBy("code").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = out.withColumn("quantity_slice", F.when(F.col("slice") == len(profile) - 1, F.greatest(F.col("quantity") - before, F.lit(0))).otherwise(F.col("q")).cast("long"))
+    return out.withColumn("impact", kappa * F.sqrt(F.col("quantity_slice") / F.greatest(F.floor(F.col("volume") * F.col("w")), F.lit(1)))).drop("w", "q")
+
+
 def kelly(win_rate: Column, win: Column, loss: Column, most: float = 0.25) -> Column:
     return F.least(F.greatest(win_rate - F.try_divide(1 - win_rate, F.try_divide(win, loss)), F.lit(0.0)), F.lit(most))
 

@@ -317,13 +317,11 @@ def _(t):
     return t.read("orders").select("o_orderkey", sc.days_between(F.to_date("o_orderdate"), other).alias("days"))
 
 
-@query("h17_date_sequence", "SELECT code, cast(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT code, min(trade_date) AS first, least(max(trade_date), min(trade_date) + 30) AS last FROM bars GROUP BY 1)")
-def _(t):
-    e = t.bars.groupBy("code").agg(F.min("trade_date").alias("a"), F.least(F.max("trade_date"), F.date_add(F.min("trade_date"), 30)).alias("z"))
-    return e.select("code", F.explode(F.sequence("a", "z")).alias("d"))
+_H17 = "SELECT code, cast(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT code, min(trade_date) AS first, max(trade_date) AS last FROM bars GROUP BY 1)"
 
 
-@query("h17_date_sequence_all")
+@query("h17_date_sequence", _H17)
+@query("h17_date_sequence_all", _H17)
 def _(t):
     """Every day from the first bar of a code to its last."""
     e = t.bars.groupBy("code").agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("z"))

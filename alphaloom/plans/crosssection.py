@@ -60,20 +60,14 @@ def _(t):
     return out(xs.winsorize_sigma(momentum(t), ["trade_date"]))
 
 
-@query(
-    "k03_fill_missing",
-    f"""WITH {_V}, g AS (SELECT * FROM (SELECT DISTINCT trade_date FROM v), (SELECT DISTINCT code FROM monthly)), j AS (SELECT g.trade_date, g.code, v.value FROM g LEFT JOIN v ON g.trade_date = v.trade_date AND g.code = v.code AND v.code % 7 <> 0)
-SELECT trade_date, code, {r(f'coalesce(value, median(value) OVER ({_W}), 0)')} AS value FROM j""",
-)
-def _(t):
-    m = momentum(t)
-    grid = m.select("trade_date").distinct().join(rel.small(t.monthly.select("code").distinct()), how="cross")
-    return out(xs.fill_missing(m.where("code % 7 <> 0"), grid, ["trade_date"], ["trade_date", "code"]))
+_K03 = f"""WITH {_V}, g AS (SELECT * FROM (SELECT DISTINCT trade_date FROM v), (SELECT DISTINCT code FROM monthly)), j AS (SELECT g.trade_date, g.code, v.value FROM g LEFT JOIN v ON g.trade_date = v.trade_date AND g.code = v.code)
+SELECT trade_date, code, {r(f'coalesce(value, median(value) OVER ({_W}), 0)')} AS value FROM j"""
 
 
-@query("k03_fill_missing_all")
+@query("k03_fill_missing", _K03)
+@query("k03_fill_missing_all", _K03)
 def _(t):
-    """k03_fill_missing over all values; missing are those of codes without enough months before."""
+    """Missing are the values of codes without enough months before."""
     m = momentum(t)
     grid = m.select("trade_date").distinct().join(rel.small(t.monthly.select("code").distinct()), how="cross")
     return out(xs.fill_missing(m, grid, ["trade_date"], ["trade_date", "code"]))

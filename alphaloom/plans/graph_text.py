@@ -19,20 +19,53 @@ def edges(t):
     return t.read("lineitem").where("l_quantity > 40").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 100000).alias("dst")).distinct()
 
 
-@query("c18_knn_graph", f"SELECT a.vec_id AS src, b.vec_id AS dst, {r('dist', 5)} AS distance FROM (SELECT a.vec_id, b.vec_id AS other, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS k FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id) x JOIN embeddings a ON a.vec_id = x.vec_id JOIN embeddings b ON b.vec_id = x.other WHERE k <= 10")
+_KNN = "x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings), near AS (SELECT a.id AS src, b.id AS dst, list_distance(a.f, b.f) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id) AS k FROM x a, x b WHERE a.id <> b.id)"
+
+
+@query("c18_knn_graph", f"WITH {_KNN} SELECT src, dst, {r('distance', 5)} AS distance FROM near WHERE k <= 10")
 def _(t):
     rows = t.read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
     return graph.knn_edges(rows, 10).select("src", "dst", rounded(F.col("distance"), 5).alias("distance"))
 
 
-@query("c19_top_edges", f"WITH {_E}, s AS (SELECT src AS code, count(*) AS score FROM e GROUP BY 1), top AS (SELECT code, score FROM s ORDER BY score DESC, code LIMIT 10) SELECT src, dst, (round_even(0.5 + 5 * score / 1000.0, 2) + 0.0)::DOUBLE AS weight FROM e JOIN top ON e.src = top.code")
+def _peers(most: int) -> str:
+    """The ring of hashed ids within each sector, and the next `most` of each code on it."""
+    return f"""p AS (SELECT sector, code, row_number() OVER (PARTITION BY sector ORDER BY md5(code::VARCHAR), code) - 1 AS p, count(*) OVER (PARTITION BY sector) AS n FROM industry),
+peers AS (SELECT a.code AS src, b.code AS dst FROM (SELECT sector, code, (p + s) % n AS at FROM p, generate_series(1, {most}) g(s) WHERE s < n) a JOIN p b ON a.sector = b.sector AND a.at = b.p)"""
+
+
+_FACTORS = {"close": "close", "turnover": "turnover_rate", "spread": "(high - low) / close", "gap": "close / open - 1"}
+_Z = ", ".join(f"(x{i} - avg(x{i}) OVER ()) / (stddev_pop(x{i}) OVER () + 1e-12)" for i in range(len(_FACTORS)))
+
+
+@query(
+    "c18_similarity_graph",
+    f"""WITH d AS (SELECT trade_date FROM (SELECT DISTINCT trade_date FROM monthly) ORDER BY 1 LIMIT 60), m AS (SELECT code, {', '.join(f'round(avg({x}), 9) AS x{i}' for i, x in enumerate(_FACTORS.values()))} FROM monthly WHERE trade_date IN (FROM d) GROUP BY 1),
+z AS (SELECT code, [{_Z}] AS f FROM m), near AS (SELECT a.code AS src, b.code AS dst, row_number() OVER (PARTITION BY a.code ORDER BY list_distance(a.f, b.f), b.code) AS k FROM z a, z b WHERE a.code <> b.code), e AS (SELECT src, dst FROM near WHERE k <= 10), {_peers(5)}
+SELECT src, dst FROM e UNION SELECT dst, src FROM e UNION SELECT src, dst FROM peers""",
+)
 def _(t):
+    """Codes by their mean factors over the first 60 dates, with edges within an industry."""
+    dates = t.monthly.select("trade_date").distinct().orderBy("trade_date").limit(60)
+    m = t.monthly.join(F.broadcast(dates), "trade_date", "left_semi").groupBy(F.col("code").alias("id")).agg(*[F.round(F.avg(F.expr(x)), 9).alias(k) for k, x in _FACTORS.items()])
+    return graph.similarity_graph(m, list(_FACTORS), t.industry)
+
+
+_TOPS = f"WITH {_E}, s AS (SELECT src AS code, count(*) AS score FROM e GROUP BY 1 UNION ALL SELECT dst, count(*) FROM e GROUP BY 1), top AS (SELECT code FROM s ORDER BY score DESC, code LIMIT 10)"
+
+
+@query("c19_top_edges", f"{_TOPS}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src IN (FROM top) OR dst IN (FROM top)) SELECT a AS src, b AS dst, (round_even(0.5 + 5 * abs(x.score - y.score) / 1000.0, 2) + 0.0)::DOUBLE AS weight FROM u JOIN s x ON u.a = x.code JOIN s y ON u.b = y.code")
+def _(t):
+    """Edges with either end among the ten of highest score, each once, weighted by how far the scores of its ends differ."""
     e = edges(t)
-    top = e.groupBy(F.col("src").alias("code")).agg(F.count("*").alias("score")).orderBy(F.desc("score"), "code").limit(10)
-    return e.join(F.broadcast(top), e["src"] == top["code"]).select("src", "dst", (F.bround(0.5 + 5 * F.col("score") / F.lit(1000.0), 2) + 0.0).alias("weight"))
+    scores = e.select(F.explode(F.array("src", "dst")).alias("code")).groupBy("code").agg(F.count("*").alias("score"))
+    top = [r.code for r in scores.orderBy(F.desc("score"), "code").limit(10).collect()]
+    u = e.where(F.col("src").isin(top) | F.col("dst").isin(top)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    x, y = scores.select(F.col("code").alias("src"), F.col("score").alias("x")), scores.select(F.col("code").alias("dst"), F.col("score").alias("y"))
+    return u.join(x, "src").join(y, "dst").select("src", "dst", (F.bround(0.5 + 5 * F.abs(F.col("x") - F.col("y")) / F.lit(1000.0), 2) + 0.0).alias("weight"))
 
 
-@query("q01_graph_build", "SELECT a.code AS src, b.code AS dst FROM industry a JOIN industry b ON a.sector = b.sector AND a.code <> b.code")
+@query("q01_graph_build", f"WITH {_peers(20)} SELECT src, dst FROM peers")
 def _(t):
     return graph.sampled_peers(t.industry, "sector", 20)
 
@@ -47,63 +80,40 @@ def _(t):
     return graph.normalized(edges(t)).select("src", "dst", rounded(F.col("weight")).alias("weight"))
 
 
-_X = "x AS (SELECT vec_id AS id, [v::DOUBLE for v in embedding[1:4]] AS f FROM embeddings WHERE vec_id < 200), g AS (SELECT DISTINCT a.id AS src, b.id AS dst FROM x a JOIN x b ON (a.id * 7 + 3) % 200 = b.id OR (a.id * 11 + 5) % 200 = b.id OR (b.id * 7 + 3) % 200 = a.id OR (b.id * 11 + 5) % 200 = a.id WHERE a.id <> b.id)"
-
-
-def _small(t):
-    x = t.read("embeddings").where("vec_id < 200").select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("features"))
-    e = x.select(F.col("id").alias("src"), F.explode(F.array((F.col("id") * 7 + 3) % 200, (F.col("id") * 11 + 5) % 200)).alias("dst"))
-    return e.where("src <> dst"), x
-
-
 def _weights(*shape):
     return np.arange(np.prod(shape)).reshape(shape) % 7 / 7.0 - 0.4
 
 
-_DOT = lambda f, n, k: " + ".join(f"{f}[{i + 1}] * {float(_weights(n, 3)[i, k])!r}" for i in range(n))
-
-
-@query(
-    "q04_gcn_forward",
-    f"""WITH {_X}, d AS (SELECT src, count(*) AS d FROM g GROUP BY 1), n AS (SELECT g.src, g.dst, 1 / sqrt(a.d * b.d) AS w FROM g JOIN d a ON g.src = a.src JOIN d b ON g.dst = b.src),
-p AS (SELECT dst AS id, [{', '.join(f'sum(w * f[{i}])' for i in range(1, 5))}] AS f FROM n JOIN x ON n.src = x.id GROUP BY 1), h AS (SELECT id, [{', '.join(f'greatest({_DOT("f", 4, k)} + 0.1, 0)' for k in range(3))}] AS f FROM p),
-q AS (SELECT dst AS id, [{', '.join(f'sum(w * f[{i}])' for i in range(1, 4))}] AS f FROM n JOIN h ON n.src = h.id GROUP BY 1) SELECT id, {r(_DOT("f", 3, 0))} AS o0, {r(_DOT("f", 3, 1))} AS o1 FROM q""",
-)
-def _(t):
-    e, x = _small(t)
-    out = graph.gcn(e, x, _weights(4, 3), np.full(3, 0.1), _weights(3, 3), np.zeros(3))
-    return out.select("id", rounded(F.col("features")[0]).alias("o0"), rounded(F.col("features")[1]).alias("o1"))
-
-
-@query(
-    "q05_gat_forward",
-    f"""WITH {_X}, h AS (SELECT id, [{', '.join(_DOT("f", 4, k) for k in range(3))}] AS f FROM x), s AS (SELECT id, f, f[1] * 0.5 + f[2] * -0.25 + f[3] AS s, f[1] - f[2] * 0.5 + f[3] * 0.75 AS d FROM h),
-z AS (SELECT g.src, g.dst, CASE WHEN a.s + b.d > 0 THEN a.s + b.d ELSE 0.2 * (a.s + b.d) END AS z FROM g JOIN s a ON g.src = a.id JOIN s b ON g.dst = b.id), w AS (SELECT src, dst, exp(z) / sum(exp(z)) OVER (PARTITION BY dst) AS w FROM z)
-SELECT dst AS id, {r('sum(w * f[1])')} AS o0, {r('sum(w * f[3])')} AS o2 FROM w JOIN h ON w.src = h.id GROUP BY 1""",
-)
-def _(t):
-    e, x = _small(t)
-    out = graph.gat(e, x, _weights(4, 3), np.array([0.5, -0.25, 1.0]), np.array([1.0, -0.5, 0.75]))
-    return out.select("id", rounded(F.col("features")[0]).alias("o0"), rounded(F.col("features")[2]).alias("o2"))
-
-
 def _whole(t):
     """The graph of the ten nearest of every row, its whole vectors, and their width."""
     x = t.read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
     return graph.knn_edges(x, 10), x, x.agg(F.max(F.size("features"))).first()[0] or 0
 
 
-@query("q04_gcn_forward_all")
+#: The same weights in SQL: row i (from 0), column j of a matrix of three columns.
+_W = "((({i}) * 3 + {j}) % 7 / 7.0 - 0.4)"
+_GRAPH = f"""{_KNN}, e AS (SELECT src, dst FROM near WHERE k <= 10), g AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), v AS (SELECT id, unnest(generate_series(0, len(f) - 1)) AS i, unnest(f) AS v FROM x)"""
+_Q04 = f"""WITH {_GRAPH}, d AS (SELECT src, count(*) AS d FROM g GROUP BY 1), n AS (SELECT g.src, g.dst, 1 / sqrt(a.d * b.d) AS w FROM g JOIN d a ON g.src = a.src JOIN d b ON g.dst = b.src),
+p AS (SELECT dst AS id, i, sum(w * v) AS v FROM n JOIN v ON n.src = v.id GROUP BY 1, 2), h AS (SELECT id, j, greatest(sum(v * {_W.format(i='i', j='j')}) + 0.1, 0) AS v FROM p, generate_series(0, 2) s(j) GROUP BY 1, 2),
+q AS (SELECT dst AS id, j, sum(w * v) AS v FROM n JOIN h ON n.src = h.id GROUP BY 1, 2) SELECT id, {r(f"sum(v * {_W.format(i='j', j=0)})")} AS o0, {r(f"sum(v * {_W.format(i='j', j=1)})")} AS o1 FROM q GROUP BY 1"""
+_Q05 = f"""WITH {_GRAPH}, l AS (SELECT id, j, sum(v * {_W.format(i='i', j='j')}) AS h FROM v, generate_series(0, 2) s(j) GROUP BY 1, 2), h AS (SELECT id, list(h ORDER BY j) AS h FROM l GROUP BY 1), s AS (SELECT id, h, h[1] * 0.5 + h[2] * -0.25 + h[3] AS s, h[1] - h[2] * 0.5 + h[3] * 0.75 AS d FROM h),
+z AS (SELECT g.src, g.dst, a.h, CASE WHEN a.s + b.d > 0 THEN a.s + b.d ELSE 0.2 * (a.s + b.d) END AS z FROM g JOIN s a ON g.src = a.id JOIN s b ON g.dst = b.id), w AS (SELECT dst, h, exp(z) / sum(exp(z)) OVER (PARTITION BY dst) AS w FROM z)
+SELECT dst AS id, {r('sum(w * h[1])')} AS o0, {r('sum(w * h[3])')} AS o2 FROM w GROUP BY 1"""
+
+
+@query("q04_gcn_forward", _Q04)
+@query("q04_gcn_forward_all", _Q04)
 def _(t):
-    """q04_gcn_forward over all rows and features."""
+    """Two layers over every row and feature, on the graph of the ten nearest."""
     e, x, n = _whole(t)
     out = graph.gcn(e, x, _weights(n, 3), np.full(3, 0.1), _weights(3, 3), np.zeros(3))
     return out.select("id", rounded(F.col("features")[0]).alias("o0"), rounded(F.col("features")[1]).alias("o1"))
 
 
-@query("q05_gat_forward_all")
+@query("q05_gat_forward", _Q05)
+@query("q05_gat_forward_all", _Q05)
 def _(t):
-    """q05_gat_forward over all rows and features."""
+    """One attention head over every row and feature, on the graph of the ten nearest."""
     e, x, n = _whole(t)
     out = graph.gat(e, x, _weights(n, 3), np.array([0.5, -0.25, 1.0]), np.array([1.0, -0.5, 0.75]))
     return out.select("id", rounded(F.col("features")[0]).alias("o0"), rounded(F.col("features")[2]).alias("o2"))

@@ -181,15 +181,12 @@ def _(t):
     return t.read("events").select("event_id", safe_number(raw).alias("number"))
 
 
-@query("b12_flatten_map", "SELECT code, trade_date, close FROM monthly WHERE code <= 5")
-def _(t):
-    nested = t.monthly.where("code <= 5").groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("trade_date", "close"))).alias("m"))
-    return nested.select("code", F.explode("m").alias("trade_date", "close"))
+_B12 = "SELECT code, trade_date, close FROM monthly"
 
 
-@query("b12_flatten_map_all")
+@query("b12_flatten_map", _B12)
+@query("b12_flatten_map_all", _B12)
 def _(t):
-    """b12_flatten_map over all codes."""
     nested = t.monthly.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("trade_date", "close"))).alias("m"))
     return nested.select("code", F.explode("m").alias("trade_date", "close"))
 
@@ -212,28 +209,23 @@ def _(t):
     return a.join(b, ["code", "trade_date"])
 
 
-@query("c03_full_outer_zero", "SELECT coalesce(a.code, b.code) AS code, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM (SELECT code, count(*) AS x FROM monthly WHERE code % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT code, count(*) AS y FROM monthly WHERE code % 3 = 0 GROUP BY 1) b ON a.code = b.code")
-def _(t):
-    a = t.monthly.where("code % 2 = 0").groupBy("code").agg(F.count("*").alias("x"))
-    b = t.monthly.where("code % 3 = 0").groupBy("code").agg(F.count("*").alias("y"))
-    return a.join(b, "code", "full").fillna(0, ["x", "y"])
+_ENDS = "m AS (SELECT *, last_day(trade_date) AS report_date FROM monthly)"
+_C03 = f"WITH {_ENDS} SELECT coalesce(a.code, b.code) AS code, coalesce(a.report_date, b.report_date) AS report_date, coalesce(volume, 0) AS x, coalesce(n_orders, 0) AS y FROM m a FULL JOIN financials b ON a.code = b.code AND a.report_date = b.report_date"
 
 
-@query("c03_full_outer_zero_all")
+@query("c03_full_outer_zero", _C03)
+@query("c03_full_outer_zero_all", _C03)
 def _(t):
     """Volume by month end and orders by quarter end; zero where a source has none."""
     a = t.monthly.select("code", F.last_day("trade_date").alias("report_date"), F.col("volume").alias("x"))
     return a.join(t.financials.select("code", "report_date", F.col("n_orders").alias("y")), ["code", "report_date"], "full").fillna(0, ["x", "y"])
 
 
-@query("c04_full_outer_half", "SELECT coalesce(a.code, b.code) AS code, coalesce(x, 0.5)::DOUBLE AS x, coalesce(y, 0.5)::DOUBLE AS y FROM (SELECT code, 1.0 AS x FROM industry WHERE code % 2 = 0) a FULL JOIN (SELECT code, 0.0 AS y FROM industry WHERE code % 3 = 0) b ON a.code = b.code")
-def _(t):
-    a = t.industry.where("code % 2 = 0").select("code", F.lit(1.0).alias("x"))
-    b = t.industry.where("code % 3 = 0").select("code", F.lit(0.0).alias("y"))
-    return a.join(b, "code", "full").fillna(0.5, ["x", "y"])
+_C04 = f"SELECT coalesce(a.code, b.code) AS code, coalesce(a.year, b.year) AS year, coalesce(x, 0.5)::DOUBLE AS x, coalesce(y, 0.5)::DOUBLE AS y FROM (SELECT code, year(trade_date)::INTEGER AS year, {r('avg((ret > 0)::INTEGER)')} AS x FROM returns WHERE ret IS NOT NULL GROUP BY 1, 2) a FULL JOIN (SELECT code, year(report_date)::INTEGER AS year, {r('avg((net_profit > 0)::INTEGER)')} AS y FROM financials GROUP BY 1, 2) b ON a.code = b.code AND a.year = b.year"
 
 
-@query("c04_full_outer_half_all")
+@query("c04_full_outer_half", _C04)
+@query("c04_full_outer_half_all", _C04)
 def _(t):
     """Share of months with a gain and of quarters with a profit; a half where a source has none."""
     a = t.returns.where("ret IS NOT NULL").groupBy("code", F.year("trade_date").alias("year")).agg(rounded(F.avg((F.col("ret") > 0).cast("int"))).alias("x"))
@@ -284,19 +276,24 @@ def _(t):
     return t.returns.where("fwd IS NOT NULL").select("code", "trade_date", rounded(F.col("fwd")).alias("fwd"))
 
 
-@query("c12_missing_dates", "SELECT DISTINCT trade_date FROM bars WHERE trade_date NOT IN (SELECT trade_date FROM bars WHERE code % 40 = 0)")
-def _(t):
-    return t.bars.select("trade_date").distinct().join(t.bars.where("code % 40 = 0"), "trade_date", "left_anti")
+_C12 = "SELECT code, trade_date FROM (SELECT DISTINCT trade_date FROM monthly), (SELECT code FROM industry) EXCEPT SELECT code, trade_date FROM monthly"
 
 
-@query("c12_missing_dates_all")
+@query("c12_missing_dates", _C12)
+@query("c12_missing_dates_all", _C12)
 def _(t):
-    """Months of the calendar for which a code has no bar, for all codes."""
+    """Months of the calendar for which a code has no bar."""
     m = t.monthly.select("code", "trade_date")
-    grid = m.select("trade_date").distinct().join(t.industry.select("code"), how="cross")
+    grid = rel.small(m.select("trade_date").distinct()).join(t.industry.select("code"), how="cross")
     return grid.join(m, ["code", "trade_date"], "left_anti").select("code", "trade_date")
 
 
+@query("c13_nested_except", "SELECT DISTINCT p_brand FROM part EXCEPT SELECT p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 9)")
+def _(t):
+    """Names less those among the nine most frequent."""
+    return t.spark.sql("SELECT DISTINCT p_brand FROM {p} EXCEPT SELECT p_brand FROM {p} WHERE p_brand IN (SELECT p_brand FROM {p} GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 9)", p=t.read("part"))
+
+
 @query("c14_sector_join", "SELECT m.code, m.trade_date, coalesce(i.sector, 'other') AS sector FROM monthly m LEFT JOIN (SELECT * FROM industry WHERE region <> 'ASIA') i ON m.code = i.code")
 def _(t):
     return rel.with_sector(t.monthly.select("code", "trade_date"), t.industry.where("region <> 'ASIA'"))
@@ -369,9 +366,9 @@ def _(t):
     return k.where((F.col("k") % 40 == 0) & (F.col("k") >= F.least(F.lit(6), F.floor(F.col("n") / 10)))).select("trade_date")
 
 
-@query("f09_last_bars", "SELECT code, trade_date, close FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS k FROM bars) WHERE k <= 60 AND code <= 20")
+@query("f09_last_bars", "SELECT code, trade_date, close FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS k FROM bars) WHERE k <= 60")
 def _(t):
-    return rel.top_per(t.bars.where("code <= 20"), ["code"], [F.desc("trade_date")], 60).select("code", "trade_date", "close")
+    return rel.top_per(t.bars, ["code"], [F.desc("trade_date")], 60).select("code", "trade_date", "close")
 
 
 @query("g01_union", "SELECT code FROM industry WHERE region = 'ASIA' UNION SELECT l_suppkey FROM lineitem WHERE l_quantity > 49")
@@ -379,23 +376,21 @@ def _(t):
     return t.industry.where("region = 'ASIA'").select("code").union(t.read("lineitem").where("l_quantity > 49").select("l_suppkey")).distinct()
 
 
-@query("g02_intersect", "SELECT trade_date FROM bars WHERE code = 1 INTERSECT SELECT trade_date FROM bars WHERE code = 2")
-def _(t):
-    return t.bars.where("code = 1").select("trade_date").intersect(t.bars.where("code = 2").select("trade_date"))
+_G02 = "SELECT code, last_day(trade_date) AS report_date FROM monthly INTERSECT SELECT code, report_date FROM financials"
 
 
-@query("g03_difference", "SELECT trade_date FROM bars WHERE code = 1 EXCEPT SELECT trade_date FROM bars WHERE code = 2")
-def _(t):
-    return t.bars.where("code = 1").select("trade_date").subtract(t.bars.where("code = 2").select("trade_date"))
-
-
-@query("g02_intersect_all")
+@query("g02_intersect", _G02)
+@query("g02_intersect_all", _G02)
 def _(t):
     """Codes and month ends that have both a bar and a report."""
     return _months(t).intersect(t.financials.select("code", "report_date"))
 
 
-@query("g03_difference_all")
+_G03 = "SELECT code, last_day(trade_date) AS report_date FROM monthly EXCEPT SELECT code, report_date FROM financials"
+
+
+@query("g03_difference", _G03)
+@query("g03_difference_all", _G03)
 def _(t):
     """Codes and month ends that have a bar and no report."""
     return _months(t).subtract(t.financials.select("code", "report_date"))

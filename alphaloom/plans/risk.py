@@ -88,46 +88,12 @@ def _(t):
     return u.groupBy("code").agg(rounded(F.sum(risk.clayton_loglik(F.col("u"), F.col("v"), F.lit(0.8))), 4).alias("loglik"))
 
 
-@query("m18_tail_dependence", f"WITH {_XY}, q AS (SELECT *, list_sort(list(x) OVER (PARTITION BY code))[floor(count(*) OVER (PARTITION BY code) * 0.1)::INTEGER + 1] AS qx, list_sort(list(y) OVER (PARTITION BY code))[floor(count(*) OVER (PARTITION BY code) * 0.1)::INTEGER + 1] AS qy FROM p) SELECT code, {r('avg((y <= qy)::INTEGER) FILTER (x <= qx)')} AS lower FROM q GROUP BY 1")
-def _(t):
-    p, w = against_market(t), Window.partitionBy("code")
-    at = lambda c: F.get(F.sort_array(F.collect_list(c).over(w)), F.floor(F.count("*").over(w) * 0.1).cast("int"))
-    q = p.withColumns({"qx": at("x"), "qy": at("y")})
-    return q.groupBy("code").agg(rounded(F.avg(F.when(F.col("x") <= F.col("qx"), (F.col("y") <= F.col("qy")).cast("double")))).alias("lower"))
-
-
-@query("m21_buhlmann_straub", f"WITH {_M}, o AS (SELECT code, count(*) AS n, avg(ret) AS mean, var_samp(ret) AS s2 FROM m GROUP BY 1), g AS (SELECT *, avg(s2) OVER () AS m, CASE WHEN var_samp(mean) OVER () <= 0 THEN 0.1 * avg(s2) OVER () ELSE var_samp(mean) OVER () END AS v, avg(mean) OVER () AS grand FROM o) SELECT code, n, {r('n / (n + m / v)')} AS credibility, {r('n / (n + m / v) * mean + (1 - n / (n + m / v)) * grand')} AS posterior FROM g")
-def _(t):
-    out = risk.buhlmann_straub(monthly(t), "code", "ret")
-    return shown(out.drop("mean"), "credibility", "posterior")
-
-
-@query("m22_hierarchical_credibility", f"WITH {_M}, q AS (SELECT code, quarter(trade_date)::INTEGER AS regime, ret FROM m), s AS (SELECT code, regime, avg(ret) AS mean, count(*) AS n FROM q GROUP BY 1, 2) SELECT code, {r('sum(mean * n) / sum(n)')} AS blended, count(*) AS regimes FROM s GROUP BY 1")
-def _(t):
-    s = monthly(t).groupBy("code", F.quarter("trade_date").alias("regime")).agg(F.avg("ret").alias("mean"), F.count("*").alias("n"))
-    return s.groupBy("code").agg(rounded(F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("blended"), F.count("*").alias("regimes"))
-
-
-@query("m23_hachemeister", f"WITH {_M}, l AS (SELECT code, ret, lag(ret) OVER (PARTITION BY code ORDER BY trade_date) AS x FROM m) SELECT code, {r('regr_slope(ret, x)')} AS slope, {r('regr_intercept(ret, x)')} AS intercept, regr_count(ret, x)::BIGINT AS n FROM l GROUP BY 1")
-def _(t):
-    lagged = monthly(t).withColumn("x", F.lag("ret").over(Window.partitionBy("code").orderBy("trade_date")))
-    return lagged.groupBy("code").agg(rounded(F.regr_slope("ret", "x")).alias("slope"), rounded(F.regr_intercept("ret", "x")).alias("intercept"), F.regr_count("ret", "x").alias("n"))
-
-
 @query("m24_track_record", "SELECT code, report_date, n_orders FROM financials UNION ALL SELECT code, max(report_date) + 1 AS report_date, 0 FROM financials GROUP BY 1")
 def _(t):
     f = t.financials.select("code", "report_date", "n_orders")
     return f.unionByName(f.groupBy("code").agg(F.date_add(F.max("report_date"), 1).alias("report_date"), F.lit(0).cast("long").alias("n_orders")))
 
 
-@query("m26_ruin_moments", f"SELECT code, {r('avg((ret < 0)::INTEGER)')} AS lambda, {r('avg(-ret) FILTER (ret < 0)')} AS mean_loss, {r('avg(ret)')} AS drift, {r('CASE WHEN avg(ret) <= 0 THEN 1 ELSE exp(-2 * avg(ret) * 0.5 / var_pop(ret)) END')} AS ruin FROM daily_returns GROUP BY 1")
-def _(t):
-    """Moments of losses and the diffusion approximation of ruin from an initial wealth of one half."""
-    loss = F.col("ret") < 0
-    ruin = F.when(F.avg("ret") <= 0, 1.0).otherwise(F.exp(-2 * F.avg("ret") * 0.5 / F.var_pop("ret")))
-    return t.daily_returns.groupBy("code").agg(rounded(F.avg(loss.cast("double"))).alias("lambda"), rounded(F.avg(F.when(loss, -F.col("ret")))).alias("mean_loss"), rounded(F.avg("ret")).alias("drift"), rounded(ruin).alias("ruin"))
-
-
 @query("m28_triangle", "SELECT i, j, c FROM triangle")
 def _(t):
     return t.triangle
@@ -195,11 +161,11 @@ def _(t):
     return shown(risk.christoffersen(c), "lr", digits=4)
 
 
-_COV = f"{_M}, v AS (SELECT a.code AS a, b.code AS b, covar_samp(a.ret, b.ret) AS cov, corr(a.ret, b.ret) AS corr, count(*) AS n FROM m a JOIN m b ON a.trade_date = b.trade_date AND a.code <= b.code WHERE a.code <= 20 AND b.code <= 20 GROUP BY 1, 2)"
+_COV = f"{_M}, v AS (SELECT a.code AS a, b.code AS b, covar_samp(a.ret, b.ret) AS cov, corr(a.ret, b.ret) AS corr, count(*) AS n FROM m a JOIN m b ON a.trade_date = b.trade_date AND a.code <= b.code GROUP BY 1, 2)"
 
 
 def cov(t):
-    return risk.covariances(monthly(t).where("code <= 20"))
+    return risk.covariances(monthly(t))
 
 
 def equilibrium(pairs, w):
@@ -223,41 +189,30 @@ def equal(codes):
     return codes.select("code", (F.lit(1.0) / F.count("*").over(Window.partitionBy(F.lit(1)))).alias("w"))
 
 
-@query("n01_covariance", f"WITH {_COV} SELECT a, b, {r('cov')} AS cov, {r('corr')} AS corr, n FROM v")
-def _(t):
-    return shown(cov(t), "cov", "corr")
+_N01 = f"WITH {_COV} SELECT a, b, {r('cov')} AS cov, {r('corr')} AS corr, n FROM v"
+_N02 = f"WITH {_COV}, s AS (SELECT a, b, cov FROM v UNION ALL SELECT b, a, cov FROM v WHERE a <> b), w AS (SELECT code, acctbal / sum(acctbal) OVER () AS w FROM industry) SELECT a AS code, {r('2.5 * sum(cov * w)')} AS pi FROM s JOIN w ON s.b = w.code GROUP BY 1"
 
 
-@query("n02_equilibrium_returns", f"WITH {_COV}, s AS (SELECT a, b, cov FROM v UNION ALL SELECT b, a, cov FROM v WHERE a <> b), w AS (SELECT code, acctbal / sum(acctbal) OVER () AS w FROM industry WHERE code <= 20) SELECT a AS code, {r('2.5 * sum(cov * w)')} AS pi FROM s JOIN w ON s.b = w.code GROUP BY 1")
+@query("n01_covariance", _N01)
+@query("n01_covariance_all", _N01)
 def _(t):
-    return equilibrium(cov(t), held(t.industry.where("code <= 20")))
-
-
-@query("n01_covariance_all")
-def _(t):
-    """n01_covariance over all codes: its rows grow with their square."""
-    return shown(risk.covariances(monthly(t)), "cov", "corr")
+    """Of every two codes: its rows grow with their square, as a covariance matrix does."""
+    return shown(cov(t), "cov", "corr")
 
 
-@query("n02_equilibrium_returns_all")
+@query("n02_equilibrium_returns", _N02)
+@query("n02_equilibrium_returns_all", _N02)
 def _(t):
-    """n02_equilibrium_returns over all codes."""
-    return equilibrium(risk.covariances(monthly(t)), held(t.industry))
+    return equilibrium(cov(t), held(t.industry))
 
 
-_TARGET = "t AS (SELECT code, 0.05 AS weight FROM industry WHERE code <= 20), c AS (SELECT code, (code % 7) * 0.01 AS weight FROM industry WHERE code BETWEEN 10 AND 30)"
+_N08 = f"WITH j AS (SELECT code, 1.0::DOUBLE / count(*) OVER () - acctbal / sum(acctbal) OVER () AS d FROM industry) SELECT code, {r('d')} AS change, CASE WHEN abs(d) < 0.005 THEN 'hold' WHEN d > 0 THEN 'buy' ELSE 'sell' END AS side, {r('abs(d) * 1000000', 2)} AS amount FROM j"
 
 
-@query("n08_rebalance", f"WITH {_TARGET}, j AS (SELECT coalesce(t.code, c.code) AS code, coalesce(t.weight, 0) - coalesce(c.weight, 0) AS d FROM t FULL JOIN c ON t.code = c.code) SELECT code, {r('d')} AS change, CASE WHEN abs(d) < 0.005 THEN 'hold' WHEN d > 0 THEN 'buy' ELSE 'sell' END AS side, {r('abs(d) * 1000000', 2)} AS amount FROM j")
+@query("n08_rebalance", _N08)
+@query("n08_rebalance_all", _N08)
 def _(t):
-    target = t.industry.where("code <= 20").select("code", F.lit(0.05).alias("weight"))
-    current = t.industry.where("code BETWEEN 10 AND 30").select("code", ((F.col("code") % 7) * 0.01).alias("weight"))
-    return shown(shown(risk.rebalance(target, current, 1_000_000.0), "change"), "amount", digits=2)
-
-
-@query("n08_rebalance_all")
-def _(t):
-    """From weights by balance to equal ones, over all codes."""
+    """From weights by balance to equal ones."""
     target, current = (f(t.industry).withColumnRenamed("w", "weight") for f in (equal, held))
     return shown(shown(risk.rebalance(target, current, 1_000_000.0), "change"), "amount", digits=2)
 
@@ -276,13 +231,6 @@ def _(t):
     return shown(risk.performance(monthly(t), periods=12), "annual", "volatility", "sharpe", "drawdown", "calmar", "win_rate")
 
 
-@query("o06_probabilistic_sharpe", f"WITH {_M}, s AS (SELECT code, avg(ret) / stddev_pop(ret) AS s, count(*) AS n FROM m GROUP BY 1) SELECT code, {r(norm_cdf_sql('((s - 0.1) * sqrt(n - 1) / sqrt(1 + s * s / 2))'))} AS psr, {r('greatest(0, s * (1 - sqrt(2 * ln(10) / n) / greatest(abs(s), 1e-9)))')} AS haircut FROM s")
-def _(t):
-    s = monthly(t).groupBy("code").agg((F.avg("ret") / F.stddev_pop("ret")).alias("s"), F.count("*").alias("n"))
-    haircut = F.greatest(F.lit(0.0), F.col("s") * (1 - F.sqrt(2 * F.log(F.lit(10.0)) / F.col("n")) / F.greatest(F.abs("s"), F.lit(1e-9))))
-    return s.select("code", rounded(risk.probabilistic_sharpe(F.col("s"), 0.1, F.col("n"))).alias("psr"), rounded(haircut).alias("haircut"))
-
-
 @query(
     "o07_brinson",
     f"""WITH x AS (SELECT sector, acctbal / sum(acctbal) OVER () AS w_p, 1.0 / count(*) OVER () AS w_b, (code % 11) / 100.0 AS r_p, (code % 7) / 100.0 AS r_b FROM industry), s AS (SELECT sector, sum(w_p) AS wp, sum(w_b) AS wb, coalesce(sum(w_p * r_p) / nullif(sum(w_p), 0), 0) AS rp, coalesce(sum(w_b * r_b) / nullif(sum(w_b), 0), 0) AS rb FROM x GROUP BY 1)
@@ -300,15 +248,13 @@ def _(t):
     return t.daily_returns.join(t.market, "trade_date").groupBy("code").agg(rounded(b).alias("explained"), rounded(F.avg("ret") - b).alias("alpha"))
 
 
-@query("o09_risk_attribution", f"WITH {_COV}, s AS (SELECT a, b, cov FROM v UNION ALL SELECT b, a, cov FROM v WHERE a <> b), w AS (SELECT code, 1.0 / count(*) OVER () AS w FROM industry WHERE code <= 20), c AS (SELECT a, max(x.w) AS w, sum(cov * y.w) AS sw FROM s JOIN w x ON s.a = x.code JOIN w y ON s.b = y.code GROUP BY 1) SELECT a AS code, {r('2.326 * sw / sqrt(sum(w * sw) OVER ())')} AS marginal, {r('2.326 * w * sw / sqrt(sum(w * sw) OVER ())')} AS component FROM c")
-def _(t):
-    return attribution(cov(t), equal(t.industry.where("code <= 20")))
+_O09 = f"WITH {_COV}, s AS (SELECT a, b, cov FROM v UNION ALL SELECT b, a, cov FROM v WHERE a <> b), w AS (SELECT code, 1.0 / count(*) OVER () AS w FROM industry), c AS (SELECT a, max(x.w) AS w, sum(cov * y.w) AS sw FROM s JOIN w x ON s.a = x.code JOIN w y ON s.b = y.code GROUP BY 1) SELECT a AS code, {r('2.326 * sw / sqrt(sum(w * sw) OVER ())')} AS marginal, {r('2.326 * w * sw / sqrt(sum(w * sw) OVER ())')} AS component FROM c"
 
 
-@query("o09_risk_attribution_all")
+@query("o09_risk_attribution", _O09)
+@query("o09_risk_attribution_all", _O09)
 def _(t):
-    """o09_risk_attribution over all codes."""
-    return attribution(risk.covariances(monthly(t)), equal(t.industry))
+    return attribution(cov(t), equal(t.industry))
 
 
 def _folds(purge: int, expanding: bool) -> str:
@@ -370,6 +316,15 @@ def _(t):
     return risk.slices(orders(t), 16).select("code", "slice", "quantity_slice")
 
 
+_PROFILE = [9.0, 8.0, 7.0, 6.0, 5.0, 4.0, 4.0, 4.0, 4.0, 4.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0]
+_VWAP = f"SELECT code, quantity, volume, s::INTEGER AS slice, w, greatest(100, floor(quantity * w / 100) * 100) AS q FROM ({_ORDERS}), (SELECT unnest(generate_series(0, 15)) AS s, unnest({[x / sum(_PROFILE) for x in _PROFILE]}::DOUBLE[]) AS w)"
+
+
+@query("p06_vwap_slices", f"WITH x AS ({_VWAP}), y AS (SELECT *, CASE WHEN slice = 15 THEN greatest(quantity - coalesce(sum(q) OVER (PARTITION BY code ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) ELSE q END AS a FROM x) SELECT code, slice, a::BIGINT AS quantity_slice, {r('0.002 * sqrt(a / greatest(floor(volume * w), 1))', 9)} AS impact FROM y")
+def _(t):
+    return risk.vwap_slices(orders(t), _PROFILE).select("code", "slice", "quantity_slice", rounded(F.col("impact"), 9).alias("impact"))
+
+
 @query("p07_var_calculators", f"SELECT code, {r('abs(list_sort(list(ret))[floor(count(*) * 0.05)::INTEGER + 1])')} AS historical, {r('abs(list_avg(list_sort(list(ret))[1:floor(count(*) * 0.05)::INTEGER + 1]))')} AS expected_shortfall, {r('abs(avg(ret) - 1.645 * stddev_pop(ret))')} AS parametric FROM daily_returns GROUP BY 1 HAVING count(*) >= 20")
 def _(t):
     g = t.daily_returns.groupBy("code").agg(F.sort_array(F.collect_list("ret")).alias("v"), F.avg("ret").alias("m"), F.stddev_pop("ret").alias("s")).where(F.size("v") >= 20)
@@ -378,12 +333,6 @@ def _(t):
     return g.select("code", rounded(F.abs(F.get("v", k))).alias("historical"), rounded(F.abs(F.aggregate(worst, F.lit(0.0), lambda a, b: a + b) / F.size(worst))).alias("expected_shortfall"), rounded(F.abs(F.col("m") - 1.645 * F.col("s"))).alias("parametric"))
 
 
-@query("p10_position_limits", "WITH w AS (SELECT code, sector, acctbal / (SELECT sum(greatest(acctbal, 0)) FROM industry) * 5 AS w FROM industry) SELECT code, w > 0.10 AS single, sum(w) OVER (PARTITION BY sector) > 0.30 AS industry FROM w")
-def _(t):
-    w = t.industry.select("code", "sector", (F.col("acctbal") / F.sum(F.greatest("acctbal", F.lit(0.0))).over(Window.partitionBy(F.lit(1))) * 5).alias("w"))
-    return w.select("code", (F.col("w") > risk.SINGLE_LIMIT).alias("single"), (F.sum("w").over(Window.partitionBy("sector")) > risk.INDUSTRY_LIMIT).alias("industry"))
-
-
 @query("p10_kelly", f"SELECT code, {r('least(greatest(p - (1 - p) / (g / l), 0), 0.25)')} AS f FROM (SELECT code, avg((ret > 0)::INTEGER) AS p, avg(ret) FILTER (ret > 0) AS g, avg(-ret) FILTER (ret < 0) AS l FROM daily_returns GROUP BY 1)")
 def _(t):
     s = t.daily_returns.groupBy("code").agg(F.avg((F.col("ret") > 0).cast("double")).alias("p"), F.avg(F.when(F.col("ret") > 0, F.col("ret"))).alias("g"), F.avg(F.when(F.col("ret") < 0, -F.col("ret"))).alias("l"))
