@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.functions.scalar import rounded
 from alphaloom.operators import factors as fac
+from alphaloom.operators.factor_engine import Engine, configured
 from alphaloom.operators import relational as rel
 from alphaloom.plans.registry import query, r
 
@@ -142,10 +143,17 @@ def _(t):
 _Q = "PARTITION BY code ORDER BY report_date"
 
 
-@query("i21_pass_through", f"SELECT code, report_date, {r('revenue / nullif(net_profit, 0)')} AS pe, {r('net_profit / nullif(revenue, 0)')} AS net_margin, {r('ocf / nullif(revenue, 0)')} AS cashflow_to_revenue FROM financials")
-def _(t):
-    f = t.financials
-    return f.select("code", "report_date", rounded(F.try_divide("revenue", "net_profit")).alias("pe"), rounded(F.try_divide("net_profit", "revenue")).alias("net_margin"), rounded(F.when(F.col("revenue") > 0, F.try_divide("ocf", "revenue"))).alias("cashflow_to_revenue"))
+_PASSED = ["pe", "pb", "fcf_yield", "roe", "roa", "gross_margin", "net_margin", "cashflow_to_revenue"]
+
+
+def _passed(name: str, columns: list[str]) -> None:
+    @query(name, f"SELECT code, report_date, {', '.join(columns)} FROM fundamentals")
+    def _(t):
+        return t.fundamentals.select("code", "report_date", *columns)
+
+
+for _name, _columns in (("i21_pass_through", ["pe", "net_margin", "cashflow_to_revenue"]), ("i22_pb", ["pb"]), ("i24_fcf_yield", ["fcf_yield"]), ("i29_roe", ["roe"]), ("i30_roa", ["roa"]), ("i31_gross_margin", ["gross_margin"])):
+    _passed(_name, _columns)
 
 
 @query("i23_ps", f"SELECT f.code, f.report_date, {r('coalesce(CASE WHEN f.n_orders % 2 = 0 THEN 1.5 END, b.close / f.revenue)', 9)} AS ps FROM financials f ASOF LEFT JOIN bars b ON f.code = b.code AND f.report_date >= b.trade_date")
@@ -179,6 +187,45 @@ def _(t):
     return t.financials.select("code", "report_date", change.alias("analyst_coverage"), (F.col("n_orders") - before).alias("institutional_holding"), F.coalesce(change, F.col("n_orders").cast("double")).alias("shareholder_count"))
 
 
+_ENGINE_SQL = f"""WITH b AS ({_BASE}) SELECT code, trade_date, {r("CASE WHEN count(close) OVER f5 >= 5 THEN close / lag(close, 4) OVER o - 1 END")} AS roc_5, {r(_lagged(20))} AS momentum_1m,
+ {r("CASE WHEN count(close) OVER f5 >= 5 THEN (close - avg(close) OVER f5) / (avg(close) OVER f5) END")} AS ma5_gap FROM b WINDOW o AS (PARTITION BY code ORDER BY trade_date), {_frames_sql([5])}"""
+
+
+@query("u03_factor_engine", f"SELECT code, trade_date, factor, value FROM ({_ENGINE_SQL}) UNPIVOT (value FOR factor IN (roc_5, momentum_1m, ma5_gap))")
+def _(t):
+    """The enabled factors of the registry over all bars, in long form."""
+    engine = Engine.standard().enabled(["roc_5", "momentum_1m", "ma5_gap"])
+    out = fac.to_long(engine.compute(base(t)))
+    return out.select("code", "trade_date", "factor", rounded(F.col("value")).alias("value"))
+
+
+@query("u01_factor_plug_in", f"WITH b AS ({_BASE}) SELECT code, trade_date, {r('CASE WHEN high > low THEN (close - low) / (high - low) END')} AS close_place, {r('CASE WHEN count(ret) OVER f5 >= 5 THEN sum(abs(ret)) OVER f5 END')} AS path FROM b WINDOW {_frames_sql([5])}")
+def _(t):
+    """Two factors that a user registers: an expression, and a vectorised function of a code's bars; one that cannot be
+    computed is left out and counted."""
+    engine = Engine()
+    engine.register("close_place", lambda: F.when(F.col("high") > F.col("low"), (F.col("close") - F.col("low")) / (F.col("high") - F.col("low"))), "volume_price")
+    engine.register("broken", lambda: F.col("no_such_column"), "value")
+    engine.register_batch("path", lambda bars: bars["ret"].abs().rolling(5, min_periods=5).sum(), "volatility", direction=-1)
+    out = engine.compute(base(t))
+    assert engine.failed == {"broken": 1}
+    return out.select("code", "trade_date", rounded(F.col("close_place")).alias("close_place"), rounded(F.col("path")).alias("path"))
+
+
+@query("u02_factor_results", "SELECT factor, category, direction FROM (VALUES ('roc_5', '', 1), ('momentum_1m', 'momentum', 1), ('var_95', 'volatility', -1), ('roe', 'quality', 1)) v(factor, category, direction)")
+def _(t):
+    """What the registry says of some factors."""
+    rows = [(f.name, f.category, f.direction) for f in Engine.standard().enabled(["roc_5", "momentum_1m", "var_95", "roe"]).factors.values()]
+    return t.spark.createDataFrame(rows, "factor string, category string, direction int")
+
+
+@query("b13_configured_columns", "SELECT code, report_date, pe, roe FROM fundamentals")
+def _(t):
+    """Columns chosen by a list of a configuration text, which may name environment variables."""
+    names = configured("factors: {enabled: [pe, ${SECOND}, no_such]}", {"SECOND": "roe"}, "enabled")
+    return t.fundamentals.select("code", "report_date", *[c for c in names if c in t.fundamentals.columns])
+
+
 @query("i51_financial_extract", "SELECT code, factor, value FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY report_date DESC) AS k FROM financials) UNPIVOT (value FOR factor IN (revenue, net_profit, ocf)) WHERE k = 1")
 def _(t):
     last = rel.top_per(t.financials, ["code"], [F.desc("report_date")], 1)

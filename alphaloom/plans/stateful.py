@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,7 @@ from alphaloom.operators import engines as eng
 from alphaloom.operators import relational as rel
 from alphaloom.plans.crosssection import momentum
 from alphaloom.plans.registry import query, r
+from alphaloom.session import new_dir
 from alphaloom.plans.risk import against_market, monthly
 from alphaloom.streaming import events as st
 
@@ -136,8 +136,7 @@ def _stream(t):
 
 
 def _shared(t) -> str:
-    found = t.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{found.rstrip('/')}/streams" if found else "file://" + tempfile.mkdtemp(prefix="alphaloom-")
+    return new_dir(t.spark, "streams")
 
 
 @query("s01_stream_tumbling", f"SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, {r('sum(value)', 4)} AS total FROM events GROUP BY 1, 2")

@@ -79,6 +79,25 @@ class Tables:
             )
         )
 
+    @cached_property
+    def fundamentals(self) -> DataFrame:
+        """Ratios of each quarterly report, from its figures and the last close before: pe, pb, roe, roa, gross_margin,
+        net_margin, cashflow_to_revenue, fcf_yield. A tenth of the orders' value stands for equity, a fifth for assets."""
+        from alphaloom.operators.relational import as_of
+
+        f = as_of(self.financials, self.bars, "code", "report_date", "trade_date", ["close"])
+        x = {
+            "pe": F.try_divide(F.col("close") * F.col("n_orders"), "net_profit"),
+            "pb": F.try_divide(F.col("close") * F.col("n_orders"), 0.1 * F.col("revenue")),
+            "roe": F.try_divide(F.col("net_profit") - 0.95 * F.col("revenue"), 0.1 * F.col("revenue")),
+            "roa": F.try_divide(F.col("net_profit") - 0.95 * F.col("revenue"), 0.2 * F.col("revenue")),
+            "gross_margin": F.try_divide(F.col("net_profit") + F.col("ocf") - 0.9 * F.col("revenue"), "revenue"),
+            "net_margin": F.try_divide(F.col("net_profit") - 0.95 * F.col("revenue"), "revenue"),
+            "cashflow_to_revenue": F.when(F.col("revenue") > 0, F.try_divide("ocf", "revenue")),
+            "fcf_yield": F.try_divide("ocf", F.col("close") * F.col("n_orders")),
+        }
+        return f.select("code", "report_date", *[rounded(c).alias(k) for k, c in x.items()])
+
     @cached_property
     def sentiment(self) -> DataFrame:
         """Daily scores by user: code, trade_date, mentions, score (purchases against errors)."""
@@ -127,13 +146,17 @@ CTES: dict[str, str] = {
     "financials": f"""SELECT l_suppkey AS code, last_day(cast(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH AS DATE)) AS report_date,
  {r("sum(l_extendedprice * (1 - l_discount))", 4)} AS revenue, {r("sum(l_extendedprice * (1 - l_discount) - l_extendedprice * l_tax)", 4)} AS net_profit,
  {r("sum(l_extendedprice * l_tax)", 4)} AS ocf, count(*) AS n_orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
+    "fundamentals": f"""SELECT f.code, f.report_date, {r("close * n_orders / nullif(net_profit, 0)")} AS pe, {r("close * n_orders / nullif(0.1 * revenue, 0)")} AS pb,
+ {r("(net_profit - 0.95 * revenue) / nullif(0.1 * revenue, 0)")} AS roe, {r("(net_profit - 0.95 * revenue) / nullif(0.2 * revenue, 0)")} AS roa, {r("(net_profit + ocf - 0.9 * revenue) / nullif(revenue, 0)")} AS gross_margin,
+ {r("(net_profit - 0.95 * revenue) / nullif(revenue, 0)")} AS net_margin, {r("CASE WHEN revenue > 0 THEN ocf / revenue END")} AS cashflow_to_revenue, {r("ocf / nullif(close * n_orders, 0)")} AS fcf_yield
+ FROM financials f ASOF LEFT JOIN bars b ON f.code = b.code AND f.report_date >= b.trade_date""",
     "sentiment": f"""SELECT user_id AS code, cast(ts AS DATE) AS trade_date, count(*) AS mentions,
  {r("avg(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END)")} AS score FROM events GROUP BY 1, 2""",
     "triangle": f"""SELECT i, j, {r("sum(inc) OVER (PARTITION BY i ORDER BY j)", 2)} AS c FROM (
  SELECT (year(o_orderdate) - 1995)::INTEGER AS i, least(l_linenumber - 1, 6)::INTEGER AS j, {r("sum(l_extendedprice)", 2)} AS inc
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) WHERE i >= 0 AND i + j < 7""",
 }
-_NEEDS = {"returns": ["monthly"], "daily_returns": ["bars"], "market": ["bars", "daily_returns"]}
+_NEEDS = {"returns": ["monthly"], "daily_returns": ["bars"], "market": ["bars", "daily_returns"], "fundamentals": ["bars", "financials"]}
 
 
 def with_ctes(sql: str) -> str:
