@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,24 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alphaloom.session import new_dir, shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that the vectorised operators handle at once; a longer document is handled alone.
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the session names none, a temporary one serves if everything runs on this machine; a cluster needs the setting.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that driver and executors share")
-    return "file://" + tempfile.mkdtemp(prefix="alphaloom-")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df, computed and kept in the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
@@ -46,7 +33,7 @@ class Scratch:
     CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.base, self.made = spark, f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}", 0
+        self.spark, self.base, self.made = spark, new_dir(spark, "scratch"), 0
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
