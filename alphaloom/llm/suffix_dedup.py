@@ -149,11 +149,49 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
+def _worth_sorting(pieces: list[bytes], length: int) -> list[tuple[int, int]]:
+    """For each piece the first and last string whose hash occurs again among all pieces, or (0, -1) if there is none.
+
+    Unequal hashes prove that strings differ, so that no repeated string is left out.
+    """
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    c = prefix_sums(data)
+    _, down = POWERS(len(data) + 1)
+    hashes = (c[length:] - c[:-length]) * down[: len(data) - length + 1]
+    count = sizes - length + 1
+    begin, ends = np.cumsum(sizes) - sizes, np.cumsum(count)
+    start = np.repeat(begin - (ends - count), count) + np.arange(int(ends[-1]))
+    own = mix(hashes[start])
+    order = np.argsort(own)
+    same = np.diff(own[order]) == 0
+    again = np.zeros(len(own), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    found = np.flatnonzero(again)
+    lo, hi = np.searchsorted(found, ends - count), np.searchsorted(found, ends)
+    return [(int(found[x] - e + n), int(found[y - 1] - e + n)) if y > x else (0, -1) for x, y, e, n in zip(lo, hi, ends, count)]
+
+
 def repeated_in(pieces: list[bytes], order: np.ndarray, length: int, keep: str) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each piece the runs of its strings that start elsewhere too (keep="none"), or earlier ("first").
 
-    order: the text order of the pieces.
+    order: the text order of the pieces. Only those parts of the pieces are sorted that hold strings with equal hashes.
     """
+    worth = _worth_sorting(pieces, length)
+    chosen = [k for k, (x, y) in enumerate(worth) if y >= x]
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    out = [none] * len(pieces)
+    if chosen:
+        rank = np.empty(len(pieces), np.int64)
+        rank[order] = np.arange(len(pieces))
+        parts = [pieces[k][worth[k][0] : worth[k][1] + length] for k in chosen]
+        for k, (a, b) in zip(chosen, _repeated_in(parts, np.argsort(rank[chosen]), length, keep)):
+            out[k] = (a + worth[k][0], b + worth[k][0])
+    return out
+
+
+def _repeated_in(pieces: list[bytes], order: np.ndarray, length: int, keep: str) -> list[tuple[np.ndarray, np.ndarray]]:
     sizes = np.array([len(p) for p in pieces], np.int64)
     data = np.frombuffer(b"".join(pieces), np.uint8)
     levels, rank = suffix_ranks(data, length)
@@ -347,18 +385,25 @@ def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", text: str = "text", doc_id: str = "doc_id", whole_characters: bool = False, crowd: int = 1024) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", text: str = "text", doc_id: str = "doc_id", whole_characters: bool = False, crowd: int = 1024, marked: int | None = None) -> DataFrame:
     """The rows of docs with all their columns as a struct `row`, and n_bytes, spans (start, end in bytes) and kept (binary).
 
     A null text is empty; texts shorter than `length` bytes lose nothing. Matches never cross documents. Ids are
     integers and may be null or repeat; rows with the same id and text are as many documents for keep="none" and
     one for keep="first". whole_characters: a character goes only with all its bytes, so that what is kept is UTF-8.
+    marked: another length, whose repeated strings (by the same `keep`) are given as `passages` and not removed.
     """
-    found = repeated_spans(docs, length, keep, text, doc_id, crowd).select(F.col("id").alias("_i"), F.col("version").alias("_v"), "starts", "ends")
+    own = {"starts": length} | ({"marked": marked} if marked else {})
+    named = {k: repeated_spans(docs, n, keep, text, doc_id, crowd).select(F.col("id").alias(f"_i_{k}"), F.col("version").alias(f"_v_{k}"), F.struct("starts", "ends").alias(f"_{k}")) for k, n in own.items()}
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     mine = docs.select(whole).select("row", F.col("row").getField(text).alias("t"), F.col("row").getField(doc_id).alias("i"))
-    mine = _keyed(mine, F.col("t"), F.col("i"), F.col("row"))
-    joined = mine.join(found, mine["id"].eqNullSafe(found["_i"]) & (mine["version"] == found["_v"]), "left").select("row", "text", "starts", "ends")
+    joined = _keyed(mine, F.col("t"), F.col("i"), F.col("row"))
+    for k, found in named.items():
+        joined = joined.join(found, F.col("id").eqNullSafe(F.col(f"_i_{k}")) & (F.col("version") == F.col(f"_v_{k}")), "left")
+    spans_of = [F.col("_starts.starts").alias("starts"), F.col("_starts.ends").alias("ends")]
+    others = [F.col("_marked.starts").alias("s2"), F.col("_marked.ends").alias("e2")] if marked else []
+    joined = joined.select("row", "text", *spans_of, *others)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -380,10 +425,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", text:
                 edges = [0, *[z for xy in here for z in xy], len(own)]
                 kept.append(b"".join(own[edges[k] : edges[k + 1]].tobytes() for k in range(0, len(edges), 2)))
                 cuts.append([{"start": x, "end": y} for x, y in here])
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(n), pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["row", "n_bytes", "spans", "kept"])
+            out = [b.column("row"), pa.array(n), pa.array(cuts, span), pa.array(kept, pa.binary())]
+            if marked:
+                out.append(pa.array([[{"start": x, "end": y} for x, y in merged(s or [], e or [])] for s, e in zip(b.column("s2").to_pylist(), b.column("e2").to_pylist())], span))
+            yield pa.RecordBatch.from_arrays(out, names=["row", "n_bytes", "spans", "kept", "passages"][: len(out)])
 
     row = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(run, f"row {row}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return joined.mapInArrow(run, f"row {row}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary" + (", passages array<struct<start:long,end:long>>" if marked else ""))
 
 
 def drop_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

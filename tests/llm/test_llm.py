@@ -180,6 +180,15 @@ def test_suffix(docs, keep, crowd):
         assert bytes(r.kept) == b"".join(b[e[i] : e[i + 1]] for i in range(0, len(e), 2))
 
 
+def test_marked_passages(docs, empty):
+    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    rows = sorted(named.collect(), key=lambda r: r.doc_id)
+    texts_ = [(r.text or "").encode() for r in rows]
+    both = {r.row.doc_id: ([(s.start, s.end) for s in r.spans], [(s.start, s.end) for s in r.passages]) for r in suffix_dedup.remove_repeats(named, 200, "none", marked=90).collect()}
+    assert both == {r.doc_id: (x, y) for r, x, y in zip(rows, brute_spans(texts_, 200, "none"), brute_spans(texts_, 90, "none"))}
+    assert suffix_dedup.remove_repeats(empty, 200, "none", marked=90).count() == 0
+
+
 def test_suffix_rows(docs, empty):
     out = suffix_dedup.drop_repeats(docs, 120)
     assert out.columns == docs.columns and out.count() == docs.count()
