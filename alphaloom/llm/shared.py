@@ -35,9 +35,9 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.base, self.made = spark, new_dir(spark, "scratch"), 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
         self.made += 1
-        path, before = f"{self.base}/{self.made}", self.spark.conf.get(self.CLEAN, "false")
+        path, before = f"{self.base}/{name or self.made}", self.spark.conf.get(self.CLEAN, "false")
         self.spark.conf.set(self.CLEAN, "true")
         try:
             df.write.parquet(path)
@@ -45,8 +45,9 @@ class Scratch:
             self.spark.conf.set(self.CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+    def drop(self, name: str | None = None) -> None:
+        """Removes the table of that name, or all."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -342,8 +342,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", text:
 
     found = keyed.select("id", "text", "version").mapInArrow(run, "id long, version long, first long, more int, shift int, anchor long, whole long")
     # Tables between the steps: joins then deal both sides anew, and Spark can split an anchor with many occurrences.
-    repeated = tables.keep(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    found = tables.keep(found.join(repeated, "anchor"))
+    every = tables.keep(found, "every")
+    repeated = tables.keep(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    found = tables.keep(every.join(repeated, "anchor"))
+    tables.drop("every")
     place = F.struct(F.col("id").isNotNull().alias("named"), "id", "version", "first")
     distinct = tables.keep(found.groupBy("anchor", "whole").agg(F.count("*").alias("copies"), F.min(place).alias("head"), F.first("more").alias("more"), F.first("shift").alias("shift")))
     sizes = tables.keep(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
@@ -362,11 +364,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", text:
     runs = tables.keep(runs).groupBy("anchor", "whole").agg(F.flatten(F.collect_list("firsts")).alias("firsts"), F.flatten(F.collect_list("lasts")).alias("lasts"))
     known = tables.keep(distinct.join(runs, ["anchor", "whole"], "left").where("copies > 1 OR firsts IS NOT NULL").select("anchor", "whole", "copies", "head", "firsts", "lasts"))
     occurrences = found.join(known, ["anchor", "whole"])
-    every = F.col("copies") > 1
+    all_ = F.col("copies") > 1
     if keep == "first":
-        every = every & (place != F.col("head"))
-    starts = F.when(every, F.array("first")).otherwise(F.transform("firsts", lambda x: x + F.col("first")))
-    ends = F.when(every, F.array(F.col("first") + F.col("more") + length)).otherwise(F.transform("lasts", lambda x: x + F.col("first") + length))
+        all_ = all_ & (place != F.col("head"))
+    starts = F.when(all_, F.array("first")).otherwise(F.transform("firsts", lambda x: x + F.col("first")))
+    ends = F.when(all_, F.array(F.col("first") + F.col("more") + length)).otherwise(F.transform("lasts", lambda x: x + F.col("first") + length))
     # one row for each document: no more spans than it has bytes
     listed = occurrences.select("id", "version", starts.alias("s"), ends.alias("e")).where(F.size("s") > 0)
     listed = cut(listed.groupBy("id", "version").agg(F.flatten(F.collect_list("s")).alias("starts"), F.flatten(F.collect_list("e")).alias("ends")))
