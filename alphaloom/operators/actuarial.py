@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from alphaloom.functions.scalar import norm_cdf
 from alphaloom.operators.risk import bornhuetter_ferguson, chain_ladder, development_factors
 
-ONE = Window.partitionBy(F.lit(1))
+
+def one() -> Window:
+    """All rows: for a few rows, one for each source or date."""
+    return Window.partitionBy(F.lit(1))
 
 
 def credibility(records: DataFrame, by: str, value: str, half_life: int | None = None, within: list[str] | None = None) -> DataFrame:
@@ -23,7 +26,7 @@ def credibility(records: DataFrame, by: str, value: str, half_life: int | None =
     count by how many lie after them, and n is the sum of these weights. within: columns whose groups stand apart.
     """
     groups = within or []
-    all_ = Window.partitionBy(*groups) if groups else ONE
+    all_ = Window.partitionBy(*groups) if groups else one()
     own = Window.partitionBy(*groups, by)
     decay = F.lit(1.0) if half_life is None else F.pow(F.lit(0.5 ** (1.0 / half_life)), F.count("*").over(own) - F.row_number().over(own.orderBy("trade_date")))
     rows = records.where(F.col(value).isNotNull()).select(*groups, by, F.col(value).alias("x"), decay.alias("d"))
@@ -43,7 +46,7 @@ def hierarchical(records: DataFrame, by: str, value: str, regime: str) -> DataFr
     records: trade_date, one regime for each date.
     """
     sizes = records.groupBy(regime).agg(F.countDistinct("trade_date").alias("periods"), F.countDistinct(by).alias("sources"))
-    share = sizes.select(regime, (F.col("periods") / F.sum("periods").over(ONE)).alias("share"), "sources").where("sources >= 2")
+    share = sizes.select(regime, (F.col("periods") / F.sum("periods").over(one())).alias("share"), "sources").where("sources >= 2")
     w = credibility(records, by, value, within=[regime]).join(F.broadcast(share), regime)
     return w.groupBy(by).agg((F.sum(F.col("share") * F.col("weight")) / F.sum("share")).alias("blended"), F.count("*").alias("regimes"))
 
@@ -62,10 +65,10 @@ def hachemeister(records: DataFrame, by: str, value: str, least: int = 5) -> Dat
     b1 = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), det)
     s = s.withColumns({"det": det, "slope": b1}).withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n"))
     s = s.withColumn("s2", (F.col("syy") - F.col("intercept") * F.col("sy") - F.col("slope") * F.col("sxy")) / F.greatest(F.col("n") - 2, F.lit(1.0)))
-    total = {c: F.sum(c).over(ONE) for c in ("n", "sx", "sy", "sxx", "sxy")}
+    total = {c: F.sum(c).over(one()) for c in ("n", "sx", "sy", "sxx", "sxy")}
     pooled = (total["n"] * total["sxy"] - total["sx"] * total["sy"]) / (total["n"] * total["sxx"] - total["sx"] * total["sx"])
-    s = s.withColumns({"p1": pooled, "a00": F.var_samp("intercept").over(ONE), "a11": F.var_samp("slope").over(ONE), "a01": F.covar_samp("intercept", "slope").over(ONE), "v": F.avg("s2").over(ONE)})
-    s = s.withColumn("p0", F.sum("sy").over(ONE) / F.sum("n").over(ONE) - F.col("p1") * F.sum("sx").over(ONE) / F.sum("n").over(ONE))
+    s = s.withColumns({"p1": pooled, "a00": F.var_samp("intercept").over(one()), "a11": F.var_samp("slope").over(one()), "a01": F.covar_samp("intercept", "slope").over(one()), "v": F.avg("s2").over(one())})
+    s = s.withColumn("p0", F.sum("sy").over(one()) / F.sum("n").over(one()) - F.col("p1") * F.sum("sx").over(one()) / F.sum("n").over(one()))
     m00, m11, m01 = F.col("a00") + F.col("v") * F.col("sxx") / F.col("det"), F.col("a11") + F.col("v") * F.col("n") / F.col("det"), F.col("a01") - F.col("v") * F.col("sx") / F.col("det")
     d = m00 * m11 - m01 * m01
     z0, z1 = (F.col("a00") * m11 - F.col("a01") * m01) / d, (F.col("a11") * m00 - F.col("a01") * m01) / d
@@ -129,7 +132,7 @@ def mack_cv(triangle: DataFrame) -> DataFrame:
 def cape_cod(triangle: DataFrame, premiums: DataFrame, belief: float = 0.7) -> DataFrame:
     """i, paid, ultimate: the prior is premium times the loss ratio of what is known to what is earned. premiums: i, premium."""
     c = chain_ladder(triangle).join(premiums, "i")
-    prior = c.withColumn("elr", F.sum("paid").over(ONE) / F.sum(F.col("premium") * F.col("paid") / F.col("ultimate")).over(ONE))
+    prior = c.withColumn("elr", F.sum("paid").over(one()) / F.sum(F.col("premium") * F.col("paid") / F.col("ultimate")).over(one()))
     return bornhuetter_ferguson(triangle, prior.select("i", (F.col("premium") * F.col("elr")).alias("prior")), belief)
 
 

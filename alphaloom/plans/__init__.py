@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["crosssection", "relational", "aggregates", "factors", "validation", "risk", "actuarial", "storage", "graph_text", "stateful"]
+MODULES = ["crosssection", "relational", "aggregates", "factors", "validation", "risk", "actuarial", "storage", "trading", "graph_text", "stateful"]
 
 
 def load() -> None:

@@ -182,6 +182,6 @@ def _(t):
 def _(t):
     """A portfolio in each region: positions over a tenth, sectors over three tenths, and a total over 95 %."""
     held = F.greatest("acctbal", F.lit(0.0))
-    w = t.industry.select("code", "region", "sector", (held / F.sum(held).over(act.ONE) * 5).alias("w"))
+    w = t.industry.select("code", "region", "sector", (held / F.sum(held).over(act.one()) * 5).alias("w"))
     over = lambda c: F.sum("w").over(Window.partitionBy(c))
     return w.select("code", (F.col("w") > risk.SINGLE_LIMIT).alias("single"), (over("sector") > risk.INDUSTRY_LIMIT).alias("industry"), (over("region") > risk.TOTAL_LIMIT).alias("total"))

@@ -145,6 +145,7 @@ SELECT horizon, points, CASE WHEN points * 3 >= 80 THEN 'PASS' WHEN points * 3 >
 def _(t):
     g = all_ics(t).where("ic IS NOT NULL").groupBy("horizon").agg(F.avg("ic").alias("m"), (F.avg("ic") / F.stddev_pop("ic")).alias("ir"), (F.avg("ic") / F.stddev_samp("ic") * F.sqrt(F.count("*"))).alias("t"), F.avg((F.col("ic") > 0).cast("double")).alias("share"))
     points = val.score_ic(F.col("m"), F.col("t"))
+    # one dimension of five, held against a third of the verdict's thresholds; all five are in l15_five_dimensions
     return g.select("horizon", points.alias("points"), val.verdict(points * 3).alias("verdict"), val.grade(F.col("ir"), F.col("t"), F.col("share")).alias("grade"))
 
 

@@ -169,4 +169,6 @@ def with_ctes(sql: str) -> str:
         return sql
     head = ",\n".join(f"{n} AS ({CTES[n]})" for n in wanted)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE"):
+        return f"WITH RECURSIVE {head},\n{body[14:]}"
     return f"WITH {head},\n{body[4:]}" if body.upper().startswith("WITH") else f"WITH {head}\n{body}"
