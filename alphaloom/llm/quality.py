@@ -51,11 +51,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     """Log ratio of target to raw for each bucket. labels: id, label; texts of ids labelled 1 are the target.
 
     Either side covers all its texts. Null and empty texts count nothing, repeated rows each time, repeated labels once;
-    without a target all ratios come from smoothing alone. Labels meet documents by id: rows with many of one id are
-    met where they are, as Spark can split them.
+    without a target all ratios come from smoothing alone. Labels grow with the documents, so that the two meet by a
+    sorted join at every size, in which Spark can split an id of many rows.
     """
     good = labels.where("label = 1 AND id IS NOT NULL").select(F.col("id").alias("_good")).distinct()
-    target = raw_counts(docs.join(good, docs[doc_id] == good["_good"], "left_semi"), text) + smoothing
+    target = raw_counts(docs.join(good.hint("merge"), docs[doc_id] == good["_good"], "left_semi"), text) + smoothing
     raw = raw_counts(docs, text) + smoothing
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
