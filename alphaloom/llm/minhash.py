@@ -34,7 +34,7 @@ from alphaloom.llm.shared import cut, mix, spans, utf8, with_columns_of, words
 BASE, SCALE, TOP = 1.001, 20.0, (1 << 16) - 1
 BANDS, ROWS = 30, 5
 #: Members of a key that are compared with one another at once.
-MEMBERS = 256
+MEMBERS = 1024
 _BLOCK = 1 << 14
 
 
@@ -297,7 +297,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
     A null or empty text, or one without words, has an empty set and is linked with nothing. Rows that share an id are
     one document, whose links are those of either. A row without an id is linked with nothing, keeps a null
-    component_id and is kept. Copies are linked without being paired. No other column is read.
+    component_id and is kept. Copies are linked without being paired. No other column is read. Ids are integers, or texts
+    of digits; other ids count as none.
+
+    Links rest on 64-bit hashes of words and shingles: two sets of a million shingles in all share one by chance in about
+    one of eighteen million pairs of sets.
     """
     t, i = F.col(text), F.col(doc_id)
     sketches = cut(_sets(docs, t, i, size, BANDS * ROWS, full=False))

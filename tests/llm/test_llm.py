@@ -547,6 +547,45 @@ def test_pipeline(spark, tmp_path):
     assert language.count() > 0.9 * table.count()
 
 
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, ties, a very long text, and columns whose names the stages use themselves."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    words = {"aa": ["the", "and", "thing", "tion", "hough", "ought", "with"], "bb": ["der", "und", "schon", "keit", "zum", "nicht", "auch"]}
+    make = lambda k, n: " ".join(r.choice(words[k]) + str(r.randint(0, 400)) for _ in range(n))
+    rows = [(i, make(k, r.randint(40, 90)), k) for i, k in enumerate(["aa", "bb"] * 40)]
+    near = rows[4][1].split()
+    near[-1] = "changed"
+    passage = make("aa", 70)
+    rows += [(200, rows[0][1].upper(), "aa"), (0, rows[0][1], "aa"), (201, " ".join(near), "aa"), (202, make("aa", 30) + " " + passage, "aa"), (203, make("aa", 30) + " " + passage + " " + make("aa", 9), "aa")]
+    rows += [(300, None, "aa"), (301, "", None), (302, " 12 ?", "bb"), (None, make("bb", 50), None), (303, make("bb", 30_000), "bb")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, version string, row string, key int"
+    docs = spark.createDataFrame([(*x, "s", 1, 7, "v", "r", 3) for x in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    held, stages = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        held = stage(spark, held, str(tmp_path))
+        stages.append(held)
+        if len(stages) < 5:
+            assert held.columns == docs.columns
+    ids = [sorted(x.doc_id for x in s.select("doc_id").collect() if x.doc_id is not None) for s in stages[:4]]
+    assert not {300, 301, 302} & set(ids[0]) and {303, 200, 201, 202, 203} <= set(ids[0]) and ids[0].count(0) == 2
+    assert 0 not in ids[1] and 200 in ids[1] and len(ids[1]) == len(set(ids[1]))
+    assert 201 not in ids[2] and 4 in ids[2] and ids[3] == ids[2]
+    texts_ = {x.doc_id: x.text for x in stages[3].collect()}
+    assert passage in texts_[202] and passage not in texts_[203] and len(texts_[203]) > 200
+    pieces = defaultdict(int)
+    for x in stages[4].collect():
+        pieces[x.doc_id] += x.length
+    ends = {x.doc_id: x.doc_tokens for x in stages[4].collect()}
+    assert pieces == ends and set(pieces) == {*ids[3], None}
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, str(tmp_path))
+        assert none.count() == 0
+
+
 def test_registered():
     import __spark_entry__ as e
 
