@@ -23,32 +23,48 @@ PASSAGE_BYTES = 200
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a margin; those without letters or between languages go."""
+    """Documents whose language is told with a margin; those without letters, null or empty, or between languages go.
+
+    Repeated rows have one fate; ids may be null; an empty table, or one without labels, gives no rows.
+    """
     ship(spark)
     model = language_id.fit(docs, docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")))
     return language_id.keep_accepted(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays."""
+    """Of equal texts, the row with the largest doc_id stays (any one of rows that repeat; null ids are smallest).
+
+    Null and empty texts are equal. An empty table gives no rows.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of five-word shingles connect, the smallest doc_id stays."""
+    """Of documents that links of five-word shingles connect, the smallest doc_id stays.
+
+    Rows without words or without an id stay; rows of one id stay or go together. An empty table gives no rows.
+    """
     ship(spark)
     return minhash.keep_first(docs, size=5, percent=80)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of passages are taken out of texts; n_chars follows."""
+    """Later copies of passages are taken out of texts; n_chars follows.
+
+    The first copy is that of the smallest doc_id (nulls first). Every row stays, if with an empty text; a null text stays
+    null. An empty table gives no rows.
+    """
     ship(spark)
     out = suffix_dedup.drop_repeats(docs, length=PASSAGE_BYTES)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two lengths with their ids (little-endian unsigned 32-bit)."""
+    """Pieces of power-of-two lengths with their ids (little-endian unsigned 32-bit).
+
+    A null or empty text is a piece of the end token alone; repeated rows are packed each. An empty table gives no rows.
+    """
     ship(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
