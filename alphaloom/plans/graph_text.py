@@ -54,7 +54,7 @@ def _(t):
 _TOPS = f"WITH {_E}, s AS (SELECT src AS code, count(*) AS score FROM e GROUP BY 1 UNION ALL SELECT dst, count(*) FROM e GROUP BY 1), top AS (SELECT code FROM s ORDER BY score DESC, code LIMIT 10)"
 
 
-@query("c19_top_edges", f"{_TOPS}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src IN (FROM top) OR dst IN (FROM top)) SELECT a AS src, b AS dst, (round_even(0.5 + 5 * abs(x.score - y.score) / 1000.0, 2) + 0.0)::DOUBLE AS weight FROM u JOIN s x ON u.a = x.code JOIN s y ON u.b = y.code")
+@query("c19_top_edges", f"{_TOPS}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src IN (FROM top) OR dst IN (FROM top)) SELECT a AS src, b AS dst, ((n // 10 + CASE WHEN n % 10 > 5 OR n % 10 = 5 AND n // 10 % 2 = 1 THEN 1 ELSE 0 END) / 100.0)::DOUBLE AS weight FROM (SELECT a, b, 500 + 5 * abs(x.score - y.score) AS n FROM u JOIN s x ON u.a = x.code JOIN s y ON u.b = y.code)")
 def _(t):
     """Edges with either end among the ten of highest score, each once, weighted by how far the scores of its ends differ."""
     e = edges(t)
@@ -62,7 +62,9 @@ def _(t):
     top = [r.code for r in scores.orderBy(F.desc("score"), "code").limit(10).collect()]
     u = e.where(F.col("src").isin(top) | F.col("dst").isin(top)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     x, y = scores.select(F.col("code").alias("src"), F.col("score").alias("x")), scores.select(F.col("code").alias("dst"), F.col("score").alias("y"))
-    return u.join(x, "src").join(y, "dst").select("src", "dst", (F.bround(0.5 + 5 * F.abs(F.col("x") - F.col("y")) / F.lit(1000.0), 2) + 0.0).alias("weight"))
+    n = 500 + 5 * F.abs(F.col("x") - F.col("y"))  # thousandths, so that halves are exact
+    up = (n % 10 > 5) | ((n % 10 == 5) & (F.floor(n / 10) % 2 == 1))
+    return u.join(x, "src").join(y, "dst").select("src", "dst", ((F.floor(n / 10) + up.cast("int")) / F.lit(100.0)).alias("weight"))
 
 
 @query("q01_graph_build", f"WITH {_peers(20)} SELECT src, dst FROM peers")
