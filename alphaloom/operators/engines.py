@@ -235,48 +235,6 @@ def ruin(x: np.ndarray, paths: int = 10_000, steps: int = 252, size: float = 0.2
 # dependence
 
 
-def copula(u: np.ndarray, v: np.ndarray) -> dict[str, float]:
-    """The best of Gaussian, Clayton, Gumbel and Frank by information criterion, parameters from Kendall's tau."""
-    s = np.sign(np.subtract.outer(u, u)) * np.sign(np.subtract.outer(v, v))
-    tau = float(np.clip(s.sum() / max(np.abs(s).sum(), 1), -0.95, 0.95))
-    rho = math.sin(math.pi * tau / 2)
-    x, y = norm_ppf(u), norm_ppf(v)
-    ll = {"gaussian": float((-0.5 * math.log(1 - rho**2) - (rho**2 * (x * x + y * y) - 2 * rho * x * y) / (2 * (1 - rho**2))).sum())}
-    par = {"gaussian": rho}
-    if tau > 0.01:
-        th = 2 * tau / (1 - tau)
-        par["clayton"], ll["clayton"] = th, float((np.log(1 + th) - (1 + th) * (np.log(u) + np.log(v)) - (2 + 1 / th) * np.log(u**-th + v**-th - 1)).sum())
-        th = 1 / (1 - tau)
-        a, b = -np.log(u), -np.log(v)
-        z = (a**th + b**th) ** (1 / th)
-        par["gumbel"], ll["gumbel"] = th, float((-z + (th - 1) * (np.log(a) + np.log(b)) + a + b + (2 / th - 2) * np.log(a**th + b**th) + np.log1p((th - 1) / z)).sum())
-    grid = [t for t in np.linspace(-20, 20, 81) if abs(t) > 0.1]
-
-    def frank(t: float) -> float:
-        d = -np.expm1(-t) - (-np.expm1(-t * u)) * (-np.expm1(-t * v))
-        return float((np.log(np.abs(t * -np.expm1(-t))) - t * (u + v) - 2 * np.log(np.abs(d))).sum())
-
-    par["frank"], ll["frank"] = max(((t, frank(t)) for t in grid), key=lambda p: p[1])
-    names = sorted(ll, key=lambda k: -ll[k])
-    best = names[0]
-    lower = 2 ** (-1 / par["clayton"]) if best == "clayton" else 0.0
-    upper = 2 - 2 ** (1 / par["gumbel"]) if best == "gumbel" else 0.0
-    return {"tau": tau, "family": float(["gaussian", "clayton", "gumbel", "frank"].index(best)), "theta": float(par[best]), "loglik": ll[best], "aic": 2 - 2 * ll[best], "lower_tail": lower, "upper_tail": upper}
-
-
-def simulate_copula(family: str, theta: float, n: int, seed: int = 42) -> np.ndarray:
-    """n pairs by conditional inversion; the normal one by correlated draws."""
-    rng = np.random.default_rng(seed)
-    u, w = rng.uniform(1e-9, 1 - 1e-9, n), rng.uniform(1e-9, 1 - 1e-9, n)
-    if family == "gaussian":
-        x, z = norm_ppf(u), norm_ppf(w)
-        return np.stack([u, norm_cdf(theta * x + math.sqrt(1 - theta**2) * z)], 1)
-    if family == "clayton":
-        return np.stack([u, ((w ** (-theta / (1 + theta)) - 1) * u**-theta + 1) ** (-1 / theta)], 1)
-    a = np.exp(-theta * u)
-    return np.stack([u, -np.log1p(w * np.expm1(-theta) / (w + (1 - w) * a)) / theta], 1)
-
-
 def dcc(x: np.ndarray, y: np.ndarray, a: float = 0.05, b: float = 0.90) -> dict[str, float]:
     """Dynamic conditional correlation of two series with fixed a and b, each standardised by its own GARCH."""
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from alphaloom.functions.scalar import rounded
+from alphaloom.operators import copulas as cop
 from alphaloom.operators import engines as eng
 from alphaloom.operators import relational as rel
 from alphaloom.plans.crosssection import momentum
@@ -31,6 +32,10 @@ _fit("m41_egarch", eng.egarch, ["alpha", "gamma", "beta", "loglik"], 60)
 _fit("m42_hmm_regimes", eng.hmm, ["regime", "low_mean", "high_mean", "stay", "loglik"], 100)
 
 
+#: Figures of a fitted copula.
+FIT = ["tau", "family", "theta", "nu", "loglik", "aic", "lower_tail", "upper_tail"]
+
+
 def _pairwise(name: str, fit, columns: list[str]) -> None:
     """fit(x, y) of each code's monthly returns and the market's."""
 
@@ -44,11 +49,7 @@ def _pairwise(name: str, fit, columns: list[str]) -> None:
         return against_market(t).groupBy("code").applyInPandas(run, "code long, " + ", ".join(f"{c} double" for c in columns))
 
 
-def _ranks(x: np.ndarray) -> np.ndarray:
-    return (np.argsort(np.argsort(x)) + 1) / (len(x) + 1)
-
-
-_pairwise("m13_copula_fit", lambda x, y: eng.copula(_ranks(x), _ranks(y)), ["tau", "family", "theta", "loglik", "aic", "lower_tail", "upper_tail"])
+_pairwise("m13_copula_fit", lambda x, y: cop.copula(cop.ranks(x), cop.ranks(y), float(np.corrcoef(x, y)[0, 1])), FIT)
 _pairwise("m20_dcc_garch", eng.dcc, ["last_corr", "mean_corr", "loglik"])
 _pairwise("m40_dynamic_quantile", lambda x, y: eng.dynamic_quantile((x < np.quantile(x, 0.05)).astype(float), np.full(len(x), 0.1) + np.abs(y), 0.95), ["dq", "p"])
 _pairwise("m40_berkowitz", lambda x, y: eng.berkowitz(eng.norm_cdf((x - x.mean()) / x.std())), ["lr", "p"])
@@ -57,10 +58,10 @@ _pairwise("m40_berkowitz", lambda x, y: eng.berkowitz(eng.norm_cdf((x - x.mean()
 @query("m17_copula_simulation", None)
 def _(t):
     """Scenarios by family; each task draws its own, from a seed of its own."""
-    families = t.spark.createDataFrame([("gaussian", 0.5), ("clayton", 2.0), ("frank", 3.0)], "family string, theta double").join(t.spark.range(4).withColumnRenamed("id", "part"), how="cross")
+    families = t.spark.createDataFrame([("gaussian", 0.5), ("clayton", 2.0), ("frank", 3.0), ("gumbel", 2.0), ("rotated_gumbel", 2.0), ("t", 0.5)], "family string, theta double").join(t.spark.range(4).withColumnRenamed("id", "part"), how="cross")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = eng.simulate_copula(pdf.family.iloc[0], pdf.theta.iloc[0], 2500, seed=int(pdf.part.iloc[0]))
+        x = cop.simulate_copula(pdf.family.iloc[0], pdf.theta.iloc[0], 2500, seed=int(pdf.part.iloc[0]), nu=4.0)
         return pd.DataFrame({"family": pdf.family.iloc[0], "u": x[:, 0], "v": x[:, 1]})
 
     return families.groupBy("family", "part").applyInPandas(run, "family string, u double, v double")
