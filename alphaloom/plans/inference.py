@@ -126,9 +126,10 @@ def _(t):
         test = cop.goodness_of_fit(name, got["theta"], got["nu"] or math.inf, u, v)
         return pd.DataFrame({"code": [pdf.code.iloc[0]], "family": [name], "cvm": [test["cvm"]], "p": [test["p"]]})
 
-    # resamples are dear where rows are few: a stated number of partitions is not merged into fewer
-    spread = against_market(t).repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "code")
-    return spread.groupBy("code").applyInPandas(run, "code long, family string, cvm double, p double")
+    # resamples are dear where rows are few: a stated number of partitions is not merged into fewer, and the hash is a key
+    # of its own, as an exchange by a key that rows lie by already would be left out
+    spread = against_market(t).withColumn("h", F.xxhash64("code")).repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "h")
+    return spread.groupBy("h", "code").applyInPandas(run, "code long, family string, cvm double, p double")
 
 
 @query("h13_cholesky", None)
