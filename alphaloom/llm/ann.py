@@ -113,7 +113,7 @@ def usable(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """id, vector and dims of rows with an id and a vector that is not null, empty, zero, or with a null or non-finite
     component. Vectors of floats stay so; others become doubles."""
     kind = rows.schema[embedding].dataType.simpleString()
-    v = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast(kind if kind == "array<float>" else "array<double>").alias("vector"))
+    v = rows.select(F.col(vec_id).try_cast("long").alias("id"), F.col(embedding).cast(kind if kind == "array<float>" else "array<double>").alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return v.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & fine & F.exists("vector", lambda x: x != 0)).withColumn("dims", F.size("vector"))
 

@@ -130,7 +130,7 @@ def _sets(docs: DataFrame, text: Column, doc_id: Column, size: int, n: int, full
                     out.append(pa.array(regs, pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, names=["id", "n", "digest", "items" if full else "regs"])
 
-    return docs.select(doc_id.cast("long").alias("id"), text.cast("string").alias("text")).mapInArrow(run, "id long, n long, digest binary, " + ("items binary" if full else "regs binary"))
+    return docs.select(doc_id.try_cast("long").alias("id"), text.cast("string").alias("text")).mapInArrow(run, "id long, n long, digest binary, " + ("items binary" if full else "regs binary"))
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _full_sets(docs: DataFrame, needed: DataFrame, text: Column, doc_id: Column, size: int) -> DataFrame:
     """id, items of the documents with the needed ids (a column `need`), from their texts anew."""
-    own = docs.select(doc_id.cast("long").alias("_id"), text.cast("string").alias("_text")).join(needed.distinct(), F.col("_id") == F.col("need"), "left_semi")
+    own = docs.select(doc_id.try_cast("long").alias("_id"), text.cast("string").alias("_text")).join(needed.distinct(), F.col("_id") == F.col("need"), "left_semi")
     return _sets(own, F.col("_text"), F.col("_id"), size, BANDS * ROWS, full=True).where("n > 0").select("id", "items").distinct()
 
 
@@ -300,8 +300,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     component_id and is kept. Copies are linked without being paired. No other column is read. Ids are integers, or texts
     of digits; other ids count as none.
 
-    Links rest on 64-bit hashes of words and shingles: two sets of a million shingles in all share one by chance in about
-    one of eighteen million pairs of sets.
+    Links rest on 64-bit hashes of words and shingles, none of them linear: two sets of a million shingles in all share one
+    by chance in about one of eighteen million pairs of sets.
     """
     t, i = F.col(text), F.col(doc_id)
     sketches = cut(_sets(docs, t, i, size, BANDS * ROWS, full=False))

@@ -7,6 +7,7 @@ characters only, so that the places where pre-tokens begin can be computed for a
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +16,8 @@ import regex
 from alphaloom.llm.shared import Powers, mix
 
 LETTER, DIGIT, SPACE, OTHER, END = 0, 1, 2, 3, 4
+#: Characters of a pre-token from which it is hashed by blake2b.
+LONG = 64
 _LIMIT = 0x110000
 _SEPARATOR = _LIMIT  # stands between texts; no character
 _ONE, _TWO = Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)
@@ -68,7 +71,11 @@ def split(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def keys(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each pre-token."""
+    """Two independent 64-bit hashes of each pre-token.
+
+    Sums of powers modulo 2**64, which some patterns of over a thousand letters share by construction: longer pre-tokens
+    are hashed by blake2b.
+    """
     out = []
     for powers, seed in ((_ONE, 0x51ED270B), (_TWO, 0x2545F491)):
         up, down = powers(len(codes) + 1)
@@ -76,4 +83,7 @@ def keys(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
         c = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(values * up[: len(codes)], out=c[1:])
         out.append(mix((c[end] - c[begin]) * down[begin] + (end - begin).astype(np.uint64)))
+    for k in np.flatnonzero(end - begin > LONG).tolist():
+        digest = hashlib.blake2b(codes[begin[k] : end[k]].tobytes(), digest_size=16).digest()
+        out[0][k], out[1][k] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
     return out[0], out[1]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,23 +116,40 @@ class Powers:
 
 _rng = np.random.default_rng(20240229)
 BYTE_VALUES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FOLDED_VALUES = BYTE_VALUES.copy()
-FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
 POWERS = Powers(0x9E3779B97F4A7C15)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def prefix_sums(data: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """c, so that (c[e] - c[s]) * inverse power s hashes data[s:e]."""
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """c, so that (c[e] - c[s]) * inverse power s hashes data[s:e].
+
+    Linear modulo 2**64: only where equal hashes are compared further, as some long strings share theirs by construction.
+    """
     up, _ = POWERS(len(data) + 1)
     c = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=c[1:])
+    np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=c[1:])
     return c
 
 
+#: Bytes of a word that two lanes hold; longer ones are hashed by blake2b.
+SHORT = 16
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+
+
+def digest64(piece: bytes, *more: int) -> int:
+    """A signed 64-bit part of the blake2b digest of the piece, keyed by further integers."""
+    return int.from_bytes(hashlib.blake2b(piece, digest_size=8, person=b"".join(m.to_bytes(8, "little") for m in more)).digest(), "little", signed=True)
+
+
 def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (A-Z lower-cased, split at ASCII white space) and the number of words in each row."""
+    """A 64-bit hash of each word (A-Z lower-cased, split at ASCII white space) and the number of words in each row.
+
+    Words of up to 16 bytes are two 8-byte lanes, mixed one into the other with the length; longer ones are hashed by
+    blake2b. Neither is linear in the bytes, so that no pattern of letters makes words of one hash.
+    """
     n, rows = len(data), len(offsets) - 1
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(rows, np.int64)
@@ -144,7 +162,14 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, solid[1:]
     ends = np.flatnonzero(solid & (~after | first[1:])) + 1
-    c = prefix_sums(data, FOLDED_VALUES)
-    _, down = POWERS(n + 1)
-    hashes = mix((c[ends] - c[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    folded = np.zeros(n + SHORT, np.uint8)
+    folded[:n] = _FOLD[data]
+    lanes = np.ndarray((n + 8,), "<u8", folded, 0, (1,))
+    size = ends - starts
+    hashes = mix((lanes[starts] & _KEEP[np.minimum(size, 8)]) + np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)
+    two = np.flatnonzero((size > 8) & (size <= SHORT))
+    hashes[two] += lanes[starts[two] + 8] & _KEEP[size[two] - 8]
+    hashes = mix(hashes)
+    for k in np.flatnonzero(size > SHORT).tolist():
+        hashes[k] = digest64(folded[starts[k] : ends[k]].tobytes()) & 0xFFFFFFFFFFFFFFFF
     return hashes, np.diff(np.searchsorted(starts, offsets))

@@ -6,7 +6,7 @@ tasks without one task holding the corpus:
 1. Every such string has an anchor, its least hashed k-gram. Neighbouring strings share theirs, so that a document is
    dealt into territories, each the bytes of all its strings with one anchor. Equal strings have equal anchors at equal
    offsets; a territory whose anchor occurs once in the corpus holds no repeat.
-2. Equal territories (by two 64-bit hashes, of the anchor and of the whole) are counted as one, with the first of them.
+2. Equal territories (by the anchor's hash and 64 bits of the whole's blake2b digest) are counted as one, with the first of them.
 3. Where an anchor has different territories, their bytes are fetched and brought together by anchor. A task sorts the
    suffixes of a bounded number of bytes by rank doubling. In suffix order the previous and next entries of smaller text
    position give each string its longest previous factor, and those of larger position its longest next factor.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alphaloom.llm.shared import POWERS, Scratch, cut, mix, prefix_sums, spans, utf8, with_columns_of
+from alphaloom.llm.shared import POWERS, Scratch, cut, digest64, mix, prefix_sums, spans, utf8, with_columns_of
 
 SORTED_BYTES = 1 << 19
 #: Parts into which the strings of a crowded anchor are dealt at a time.
@@ -63,7 +63,8 @@ def territories(offsets: np.ndarray, data: np.ndarray, length: int, gram: int) -
             last = np.concatenate([change - 1, [len(place) - 1]])
             anchor = place[first].astype(np.int64)
             s, e = lo + first, lo + last + length
-            whole = mix(mix((c[e] - c[s]) * down[s]) + ((anchor - first).astype(np.uint64) << np.uint64(32)) + (e - s).astype(np.uint64))
+            raw = data[lo:hi].tobytes()
+            whole = np.array([digest64(raw[x - lo : y - lo], z) for x, y, z in zip(s.tolist(), e.tolist(), (anchor - first).tolist())], np.int64).view(np.uint64)
             for k, x in enumerate((np.full(len(first), row), anchor, first, last, g[anchor], whole)):
                 out[k].append(x)
     kinds = (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)
@@ -276,16 +277,14 @@ def _parted(rows: DataFrame, width: int, length: int) -> DataFrame:
                 begin = np.cumsum(sizes) - sizes
                 shift, key, at, start = (held.column(k).to_numpy() for k in ("shift", "key", "at", "first"))
                 piece, part, first, last, lo, hi = parts_of(shift, sizes, width, length)
-                c = prefix_sums(data)
-                _, down = POWERS(len(data) + 1)
-                hashed = lambda x, y: (c[y] - c[x]) * down[x]
+                hashed = lambda x, y, *keys: np.array([digest64(data[p:q].tobytes(), *more) for p, q, *more in zip(x, y, *(k.tolist() for k in keys))], np.int64)
                 s, e, x, y = begin[piece] + first, begin[piece] + last + length, begin[piece] + lo, begin[piece] + hi
-                common = mix(mix(hashed(x, y) + part.astype(np.uint64)) + key.view(np.uint64)[piece])
-                same = mix(mix(hashed(s, e)) + ((shift[piece] - first).astype(np.uint64) << np.uint64(32)) + (e - s).astype(np.uint64))
+                common = hashed(x, y, part + (1 << 20), key[piece] & 0x7FFFFFFFFFFFFFFF)
+                same = hashed(s, e, shift[piece] - first + (1 << 20))
                 took = pa.array(piece)
                 yield pa.RecordBatch.from_arrays(
                     [held.column(k).take(took) for k in ("anchor", "whole", "id", "version")]
-                    + [pa.array(z) for z in (start[piece] + first, at[piece] + first, shift[piece] - first, common.view(np.int64), same.view(np.int64))]
+                    + [pa.array(z) for z in (start[piece] + first, at[piece] + first, shift[piece] - first, common, same)]
                     + [pa.array([data[p:q].tobytes() for p, q in zip(s, e)], pa.binary())],
                     names=["anchor", "whole", "id", "version", "first", "at", "shift", "key", "same", "piece"],
                 )
@@ -316,7 +315,7 @@ def _dealt_again(rows: DataFrame, length: int, width: int, keep: str, crowd: int
 
 def _keyed(docs: DataFrame, text: Column, doc_id: Column, *others: Column) -> DataFrame:
     t = F.coalesce(text.cast("string"), F.lit(""))
-    return docs.select(*others, doc_id.cast("long").alias("id"), t.alias("text")).withColumn("version", F.xxhash64("text"))
+    return docs.select(*others, doc_id.try_cast("long").alias("id"), t.alias("text")).withColumn("version", F.xxhash64("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", text: str = "text", doc_id: str = "doc_id", crowd: int = 1024) -> DataFrame:

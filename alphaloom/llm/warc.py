@@ -58,7 +58,7 @@ def assign(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     one only where that id repeats) and the others refer to it. A null html is an empty payload. A page without an id
     is a response. Other columns are not read.
     """
-    own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    own = pages.select(F.col(page_id).try_cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
     own = own.withColumn("digest", F.sha2("payload", 256))
     first = own.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     return own.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
@@ -94,7 +94,7 @@ def write(pages: DataFrame, directory: str | None = None, date: str = "2020-01-0
     """
     rows = assign(pages, **columns)
     directory = directory or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    base = pages.select(F.col(columns.get("page_id", "page_id")).cast("long").alias("page_id"), F.col(columns.get("url", "url")).cast("string").alias("url"), F.coalesce(F.col(columns.get("html", "html")).cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    base = pages.select(F.col(columns.get("page_id", "page_id")).try_cast("long").alias("page_id"), F.col(columns.get("url", "url")).cast("string").alias("url"), F.coalesce(F.col(columns.get("html", "html")).cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     dictionary = train(base, date)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
