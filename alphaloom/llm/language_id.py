@@ -24,16 +24,32 @@ from alphaloom.llm.shared import with_columns_of
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: Bytes of a piece, bytes of a lead text of a full sample, and lead texts of a language.
-PIECE, LEAD, LEADS = 8192, 6144, 3
+PIECE, LEAD, LEADS = 8192, 6144, 2
 Model = tuple[tuple[str, bytes], ...]
 
 
 def fit(docs: DataFrame, labels: DataFrame, texts_per_language: int = 160, dictionary_bytes: int = (1 << 17) + LEADS * LEAD) -> Model:
-    """A dictionary for each language, from at most texts_per_language texts; labels: id, label (the language)."""
+    """A dictionary for each language, from at most texts_per_language texts; labels: id, label (the language).
+
+    All sampled texts of a language have a share in its dictionary_bytes: short ones whole, the others the same number of
+    bytes from their start each. Rows without a text or a label are not sampled, and an id that repeats counts once. A
+    table without labels, or an empty one, gives a model without languages.
+    """
     parts: dict[str, list[bytes]] = {}
     for lang, text in labelled(docs, labels, texts_per_language):
         parts.setdefault(str(lang), []).append(text.lower().encode())
-    return tuple((lang, b"\n".join(p)[:dictionary_bytes]) for lang, p in sorted(parts.items()))
+    return tuple((lang, b"\n".join(shares(p, dictionary_bytes))) for lang, p in sorted(parts.items()))
+
+
+def shares(texts: list[bytes], total: int) -> list[bytes]:
+    """The texts cut to one length, the longest with which they and the signs between them stay within total bytes."""
+    left, length = total - len(texts) + 1, 0
+    for k, n in enumerate(sorted(map(len, texts))):
+        length = max(0, left) // (len(texts) - k)
+        if n > length:
+            break
+        length, left = n, left - n
+    return [t[:length] for t in texts]
 
 
 @lru_cache(maxsize=4)
