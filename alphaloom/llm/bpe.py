@@ -205,10 +205,10 @@ class Encoder:
         self.one = self.two = np.zeros(0, np.uint64)
         self.at, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and how many each text has."""
+    def encode(self, texts: list[str], special: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each text has; without special, added tokens are plain text."""
         r = self.ranks
-        if not any(c.search(t) for c in r.cuts for t in texts):
+        if not special or not any(c.search(t) for c in r.cuts for t in texts):
             return self._ordinary(texts)
         pieces = [r.cut(t) for t in texts]
         ids, counts = self._ordinary([p for x in pieces for p in x[::2]])

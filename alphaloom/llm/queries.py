@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import ann, bpe, exact_dedup, language_id, minhash, packing, quality, suffix_dedup, toxicity, warc
+from alphaloom.llm import alignment, ann, bpe, exact_dedup, language_id, merkle, minhash, packing, quality, suffix_dedup, token_counts, toxicity, warc
 from alphaloom.llm.shared import crc_mod
 from alphaloom.session import ship
 
@@ -96,6 +96,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, others = _read(spark, sf_dir, "documents"), [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(crc_mod(F.col("doc_id"), 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    out = merkle.manifest(docs, merkle.leaf(*others, F.col("text")), merkle.leaf(*others, tampered), "source", ["doc_id"], keep=["doc_id"])
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.when(F.size("groups") > 0, F.sha2(alignment.spelled(), 256)).otherwise("")
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(_read(spark, sf_dir, "documents"), a, b, groups_sha256=digest)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_minhash": op2_minhash,
@@ -107,5 +124,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_merkle": op11_merkle,
+    "op12_alignment": op12_alignment,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL}
