@@ -120,6 +120,34 @@ def gat(edges: DataFrame, features: DataFrame, w: np.ndarray, a_src: np.ndarray,
     return h.join(out.withColumnRenamed("features", "mixed"), "id", "left").select("id", F.coalesce("mixed", "features").alias("features"))
 
 
+def gat_heads(edges: DataFrame, features: DataFrame, heads: list[tuple[np.ndarray, np.ndarray, np.ndarray]], out: np.ndarray, slope: float = 0.2) -> DataFrame:
+    """Several attention heads side by side, then the matrix `out`: id, features.
+
+    heads: a matrix and two vectors for each, of a model's fixed size. Node i gives its neighbour j the weight of
+    exp(leaky(left·h_i + right·h_j)) among its neighbours' weights, per head; a node without neighbours keeps its own h.
+    Heads are exploded, so that all go through one join of the edges and one grouping by node and head.
+    """
+    width, count = heads[0][0].shape[1], len(heads)
+
+    @F.pandas_udf("array<struct<head:int,h:array<double>,left:double,right:double>>")
+    def by_head(x: pd.Series) -> pd.Series:
+        m = np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(heads[0][0])))
+        parts = [(m @ w, (m @ w) @ a, (m @ w) @ b) for w, a, b in heads]
+        return pd.Series([[{"head": k, "h": h[i], "left": float(a[i]), "right": float(b[i])} for k, (h, a, b) in enumerate(parts)] for i in range(len(m))])
+
+    h = features.select("id", F.explode(by_head(F.col("features").cast("array<double>"))).alias("x")).select("id", "x.*")
+    met = symmetric(edges).join(h.select(F.col("id").alias("dst"), F.col("h"), F.col("head"), "right"), "dst").join(h.select(F.col("id").alias("src"), "head", "left"), ["src", "head"])
+    z = F.col("left") + F.col("right")
+    met = met.select("src", "head", "h", F.when(z > 0, z).otherwise(slope * z).alias("z"))
+    # the highest score of a node first, so that no exponential is too large
+    top = met.groupBy("src", "head").agg(F.max("z").alias("top"))
+    e = met.join(top, ["src", "head"]).withColumn("e", F.exp(F.col("z") - F.col("top")))
+    mixed = e.groupBy(F.col("src").alias("id"), "head").agg(F.array(*[F.sum(F.col("e") * F.col("h")[k]) / F.sum("e") for k in range(width)]).alias("mixed"))
+    own = h.select("id", "head", "h").join(mixed, ["id", "head"], "left").select("id", "head", F.coalesce("mixed", "h").alias("h"))
+    side = own.groupBy("id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("head", "h"))), lambda v: v["h"])).alias("features"))
+    return dense(side.where(F.size("features") == width * count), out, np.zeros(out.shape[1]))
+
+
 def top_k_precision(rows: DataFrame, k: int = 5, true_k: int = 30, date: str = "trade_date") -> DataFrame:
     w = Window.partitionBy(date)
     r = rows.select(date, F.row_number().over(w.orderBy(F.desc("value"), "code")).alias("p"), F.row_number().over(w.orderBy(F.desc("fwd"), "code")).alias("q"))
