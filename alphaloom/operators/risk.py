@@ -174,13 +174,6 @@ def brinson(weights: DataFrame) -> DataFrame:
     return s.select("sector", ((F.col("wp") - F.col("wb")) * (F.col("rb") - total)).alias("allocation"), (F.col("wb") * (F.col("rp") - F.col("rb"))).alias("selection"), ((F.col("wp") - F.col("wb")) * (F.col("rp") - F.col("rb"))).alias("interaction"))
 
 
-def covariances(returns: DataFrame, date: str = "trade_date") -> DataFrame:
-    """a, b, cov, corr of every pair of codes (a <= b), over common dates."""
-    x, y = returns.select(date, F.col("code").alias("a"), F.col("ret").alias("p")), returns.select(date, F.col("code").alias("b"), F.col("ret").alias("q"))
-    j = x.join(y, date).where("a <= b")
-    return j.groupBy("a", "b").agg(F.covar_samp("p", "q").alias("cov"), F.try_divide(F.covar_pop("p", "q"), F.stddev_pop("p") * F.stddev_pop("q")).alias("corr"), F.count("*").alias("n"))
-
-
 def symmetric(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.where("a <> b").withColumns({"a": F.col("b"), "b": F.col("a")}))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.functions.scalar import norm_cdf_sql, rounded
 from alphaloom.operators import actuarial as act
-from alphaloom.operators import risk
+from alphaloom.operators import gram, risk
 from alphaloom.plans.registry import query, r
 from alphaloom.plans.risk import _DEV, _M, _XY, against_market, monthly, shown
 
@@ -43,13 +43,7 @@ SELECT a, b, {r('avg((y <= qy)::INTEGER) FILTER (x <= qx)')} AS lower FROM q GRO
 )
 def _(t):
     """Of every two codes, over their common months: how often the second is in its lower twentieth when the first is."""
-    m = monthly(t)
-    x, y = m.select("trade_date", F.col("code").alias("a"), F.col("ret").alias("x")), m.select("trade_date", F.col("code").alias("b"), F.col("ret").alias("y"))
-    g = x.join(y, "trade_date").where("a < b").groupBy("a", "b").agg(F.collect_list(F.struct("x", "y")).alias("l"))
-    at = lambda c: F.get(F.sort_array(F.col(f"l.{c}")), F.floor(F.size("l") * 0.05).cast("int"))
-    g = g.withColumns({"qx": at("x"), "qy": at("y")})
-    low = F.filter("l", lambda v: v["x"] <= F.col("qx"))
-    return g.select("a", "b", rounded(F.size(F.filter(low, lambda v: v["y"] <= F.col("qy"))) / F.size(low)).alias("lower"))
+    return shown(gram.lower_tails(monthly(t)), "lower")
 
 
 def _credibility_sql(source: str, keys: str, half_life: int | None) -> str:

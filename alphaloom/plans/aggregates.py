@@ -321,7 +321,6 @@ _H17 = "SELECT code, cast(unnest(generate_series(first, last, INTERVAL 1 DAY)) A
 
 
 @query("h17_date_sequence", _H17)
-@query("h17_date_sequence_all", _H17)
 def _(t):
     """Every day from the first bar of a code to its last."""
     e = t.bars.groupBy("code").agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("z"))

@@ -65,7 +65,6 @@ SELECT trade_date, code, {r(f'coalesce(value, median(value) OVER ({_W}), 0)')} A
 
 
 @query("k03_fill_missing", _K03)
-@query("k03_fill_missing_all", _K03)
 def _(t):
     """Missing are the values of codes without enough months before."""
     m = momentum(t)

@@ -104,7 +104,6 @@ SELECT dst AS id, {r('sum(w * h[1])')} AS o0, {r('sum(w * h[3])')} AS o2 FROM w
 
 
 @query("q04_gcn_forward", _Q04)
-@query("q04_gcn_forward_all", _Q04)
 def _(t):
     """Two layers over every row and feature, on the graph of the ten nearest."""
     e, x, n = _whole(t)
@@ -113,7 +112,6 @@ def _(t):
 
 
 @query("q05_gat_forward", _Q05)
-@query("q05_gat_forward_all", _Q05)
 def _(t):
     """One attention head over every row and feature, on the graph of the ten nearest."""
     e, x, n = _whole(t)

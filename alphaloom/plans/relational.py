@@ -185,7 +185,6 @@ _B12 = "SELECT code, trade_date, close FROM monthly"
 
 
 @query("b12_flatten_map", _B12)
-@query("b12_flatten_map_all", _B12)
 def _(t):
     nested = t.monthly.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("trade_date", "close"))).alias("m"))
     return nested.select("code", F.explode("m").alias("trade_date", "close"))
@@ -214,7 +213,6 @@ _C03 = f"WITH {_ENDS} SELECT coalesce(a.code, b.code) AS code, coalesce(a.report
 
 
 @query("c03_full_outer_zero", _C03)
-@query("c03_full_outer_zero_all", _C03)
 def _(t):
     """Volume by month end and orders by quarter end; zero where a source has none."""
     a = t.monthly.select("code", F.last_day("trade_date").alias("report_date"), F.col("volume").alias("x"))
@@ -225,7 +223,6 @@ _C04 = f"SELECT coalesce(a.code, b.code) AS code, coalesce(a.year, b.year) AS ye
 
 
 @query("c04_full_outer_half", _C04)
-@query("c04_full_outer_half_all", _C04)
 def _(t):
     """Share of months with a gain and of quarters with a profit; a half where a source has none."""
     a = t.returns.where("ret IS NOT NULL").groupBy("code", F.year("trade_date").alias("year")).agg(rounded(F.avg((F.col("ret") > 0).cast("int"))).alias("x"))
@@ -280,7 +277,6 @@ _C12 = "SELECT code, trade_date FROM (SELECT DISTINCT trade_date FROM monthly),
 
 
 @query("c12_missing_dates", _C12)
-@query("c12_missing_dates_all", _C12)
 def _(t):
     """Months of the calendar for which a code has no bar."""
     m = t.monthly.select("code", "trade_date")
@@ -380,7 +376,6 @@ _G02 = "SELECT code, last_day(trade_date) AS report_date FROM monthly INTERSECT
 
 
 @query("g02_intersect", _G02)
-@query("g02_intersect_all", _G02)
 def _(t):
     """Codes and month ends that have both a bar and a report."""
     return _months(t).intersect(t.financials.select("code", "report_date"))
@@ -390,7 +385,6 @@ _G03 = "SELECT code, last_day(trade_date) AS report_date FROM monthly EXCEPT SEL
 
 
 @query("g03_difference", _G03)
-@query("g03_difference_all", _G03)
 def _(t):
     """Codes and month ends that have a bar and no report."""
     return _months(t).subtract(t.financials.select("code", "report_date"))

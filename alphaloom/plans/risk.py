@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from alphaloom.functions.scalar import norm_cdf_sql, rounded
-from alphaloom.operators import risk
+from alphaloom.operators import gram, risk
 from alphaloom.plans.registry import query, r
 
 _M = "m AS (SELECT code, trade_date, round(ret, 9) AS ret FROM returns WHERE ret IS NOT NULL)"
@@ -165,7 +165,7 @@ _COV = f"{_M}, v AS (SELECT a.code AS a, b.code AS b, covar_samp(a.ret, b.ret) A
 
 
 def cov(t):
-    return risk.covariances(monthly(t))
+    return gram.covariances(monthly(t))
 
 
 def equilibrium(pairs, w):
@@ -194,14 +194,25 @@ _N02 = f"WITH {_COV}, s AS (SELECT a, b, cov FROM v UNION ALL SELECT b, a, cov F
 
 
 @query("n01_covariance", _N01)
-@query("n01_covariance_all", _N01)
 def _(t):
     """Of every two codes: its rows grow with their square, as a covariance matrix does."""
     return shown(cov(t), "cov", "corr")
 
 
+@query(
+    "n01_shrunk_covariance",
+    f"""WITH {_COV}, s AS (SELECT * FROM v WHERE cov IS NOT NULL), o AS (SELECT a AS code, cov AS v, n AS t FROM s WHERE a = b), z AS (SELECT count(*) AS k, avg(v) AS v FROM o),
+c AS (SELECT coalesce(avg(cov / sqrt(x.v * y.v)), 0) AS c FROM s JOIN o x ON s.a = x.code JOIN o y ON s.b = y.code WHERE a < b AND x.v > 1e-10 AND y.v > 1e-10), f AS (SELECT a, b, cov, CASE WHEN a = b THEN v ELSE v * c.c END AS f FROM s, z, c),
+g AS (SELECT sum(CASE WHEN a = b THEN 1 ELSE 2 END * (cov - f) * (cov - f)) / max(k * k) AS gap FROM f, z), d AS (SELECT *, power(ret - avg(ret) OVER (PARTITION BY code), 2) AS q FROM m),
+e AS (SELECT sum((q - o.v) * (q - o.v) / (t * greatest(t - 1, 1))) / max(k) AS noise FROM d JOIN o ON d.code = o.code, z), w AS (SELECT least(gap / (gap + noise), 1) AS w FROM g, e)
+SELECT a, b, {r('(1 - w) * cov + w * f', 9)} AS cov, {r('w')} AS shrinkage FROM f, w""",
+)
+def _(t):
+    """Shrunk towards one variance and one correlation over the whole universe."""
+    return shown(shown(gram.shrunk(monthly(t)), "cov", digits=9), "shrinkage")
+
+
 @query("n02_equilibrium_returns", _N02)
-@query("n02_equilibrium_returns_all", _N02)
 def _(t):
     return equilibrium(cov(t), held(t.industry))
 
@@ -210,7 +221,6 @@ _N08 = f"WITH j AS (SELECT code, 1.0::DOUBLE / count(*) OVER () - acctbal / sum(
 
 
 @query("n08_rebalance", _N08)
-@query("n08_rebalance_all", _N08)
 def _(t):
     """From weights by balance to equal ones."""
     target, current = (f(t.industry).withColumnRenamed("w", "weight") for f in (equal, held))
@@ -252,7 +262,6 @@ _O09 = f"WITH {_COV}, s AS (SELECT a, b, cov FROM v UNION ALL SELECT b, a, cov F
 
 
 @query("o09_risk_attribution", _O09)
-@query("o09_risk_attribution_all", _O09)
 def _(t):
     return attribution(cov(t), equal(t.industry))
 

@@ -29,7 +29,7 @@ def rows(spark, name):
 
 def test_covariance(spark, brute):
     cov, n, _ = brute
-    got = rows(spark, "n01_covariance_all")
+    got = rows(spark, "n01_covariance")
     at, bt = cov.index.get_indexer(got.a), cov.index.get_indexer(got.b)
     assert len(got) == (np.triu(n) > 0).sum() and (got.n == n[at, bt]).all()
     assert np.allclose(got["cov"].astype(float), cov.to_numpy()[at, bt], atol=2e-6, equal_nan=True)
@@ -38,7 +38,7 @@ def test_covariance(spark, brute):
 def test_equilibrium(spark, brute):
     cov, _, balance = brute
     want = 2.5 * cov.fillna(0) @ (balance / balance.sum()).reindex(cov.index)
-    got = rows(spark, "n02_equilibrium_returns_all").set_index("code").pi.sort_index()
+    got = rows(spark, "n02_equilibrium_returns").set_index("code").pi.sort_index()
     assert got.index.tolist() == cov.index.tolist() and np.allclose(got, want, atol=2e-6)
 
 
@@ -46,14 +46,14 @@ def test_attribution(spark, brute):
     cov, _, balance = brute
     s = cov.fillna(0).to_numpy().sum(1) / len(balance)
     want = risk.Z[0.99] * s / np.sqrt(s.sum() / len(balance))
-    got = rows(spark, "o09_risk_attribution_all").set_index("code").sort_index()
+    got = rows(spark, "o09_risk_attribution").set_index("code").sort_index()
     assert got.index.tolist() == cov.index.tolist()
     assert np.allclose(got.marginal, want, atol=2e-6) and np.allclose(got.component, want / len(balance), atol=2e-6)
 
 
 def test_rebalance(spark, brute):
     balance = brute[2]
-    got = rows(spark, "n08_rebalance_all").set_index("code").sort_index()
+    got = rows(spark, "n08_rebalance").set_index("code").sort_index()
     want = 1 / len(balance) - balance / balance.sum()
     assert got.index.tolist() == balance.index.tolist() and np.allclose(got.change, want, atol=2e-6)
     assert np.allclose(got.amount, want.abs() * 1_000_000, atol=0.02)
