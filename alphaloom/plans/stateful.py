@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.functions.scalar import rounded
 from alphaloom.operators import copulas as cop
+from alphaloom.operators import dependence as dep
 from alphaloom.operators import engines as eng
 from alphaloom.operators import relational as rel
 from alphaloom.plans.crosssection import momentum
@@ -55,16 +56,32 @@ _pairwise("m40_dynamic_quantile", lambda x, y: eng.dynamic_quantile((x < np.quan
 _pairwise("m40_berkowitz", lambda x, y: eng.berkowitz(eng.norm_cdf((x - x.mean()) / x.std())), ["lr", "p"])
 
 
+@query("m20_dcc_books", None)
+def _(t):
+    """Each book's dynamic correlations: the last and mean one of every pair, and the criterion of the joint t."""
+    f = dep.dcc_fits(_books(t))
+    at = lambda c: F.get(c, F.col("i") * F.size("codes") + F.col("j"))
+    i = f.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("codes") - 1)))
+    pairs = i.withColumn("j", F.explode(F.sequence(F.lit(0), F.size("codes") - 1))).where("i < j")
+    return pairs.select("book", F.get("codes", F.col("i")).alias("a"), F.get("codes", F.col("j")).alias("b"), at("last").alias("last_corr"), at("mean").alias("mean_corr"), "nu", "loglik", "t_loglik", "aic")
+
+
+@query("m20_dcc_tail_loss", None)
+def _(t):
+    """The next month's tail loss of each book by 10,000 draws through its last correlations."""
+    return dep.dcc_tail_loss(dep.dcc_fits(_books(t)))
+
+
 @query("m17_copula_simulation", None)
 def _(t):
-    """Scenarios by family; each task draws its own, from a seed of its own."""
-    families = t.spark.createDataFrame([("gaussian", 0.5), ("clayton", 2.0), ("frank", 3.0), ("gumbel", 2.0), ("rotated_gumbel", 2.0), ("t", 0.5)], "family string, theta double").join(t.spark.range(4).withColumnRenamed("id", "part"), how="cross")
+    """A thousand scenarios of each book's returns from its best copula."""
+    return dep.copula_scenarios(dep.copula_fits(_books(t)).where("place = 1"), 1_000)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = cop.simulate_copula(pdf.family.iloc[0], pdf.theta.iloc[0], 2500, seed=int(pdf.part.iloc[0]), nu=4.0)
-        return pd.DataFrame({"family": pdf.family.iloc[0], "u": x[:, 0], "v": x[:, 1]})
 
-    return families.groupBy("family", "part").applyInPandas(run, "family string, u double, v double")
+@query("m19_compare_families", None)
+def _(t):
+    """Every family fitted to each book, its criterion, and the tail loss of 10,000 draws of it."""
+    return dep.copula_tail_loss(dep.copula_fits(_books(t)))
 
 
 @query("m32_reserve_bootstrap", None)
