@@ -362,56 +362,7 @@ def allocate(returns: DataFrame, group: str, solve: Callable[[np.ndarray], np.nd
     return returns.select(group, "code", "trade_date", "ret").groupBy(group).applyInPandas(run, f"{group} {kind}, code long, weight double")
 
 
-# backtests and execution
-
-
-def backtest(prices: pd.DataFrame, scores: pd.DataFrame, top: int, every: int, capital: float = 1_000_000.0, slip: float = 0.0001, commission: float = 0.0003, least: float = 5.0, stamp: float = 0.001, lot: int = 100) -> pd.DataFrame:
-    """trade_date, equity, turnover: every `every` dates all is sold and the top scores bought in equal cash, whole lots.
-
-    Signals of a date trade at its close. Codes without a price that day keep their last one.
-    """
-    close = prices.pivot_table(index="trade_date", columns="code", values="close").ffill()
-    score = scores.pivot_table(index="trade_date", columns="code", values="value").reindex(close.index)
-    cash, held, out = capital, {}, []
-    for k, day in enumerate(close.index):
-        row, moved = close.loc[day], 0.0
-        if k % every == 0:
-            ranked = score.loc[day].dropna()
-            ranked = ranked[row.reindex(ranked.index).notna()]
-            if len(ranked):
-                for c, n in held.items():
-                    v = n * row[c] * (1 - slip)
-                    cash += v - max(v * commission, least) - v * stamp
-                    moved += v
-                held = {}
-                best = sorted(ranked.items(), key=lambda p: (-p[1], p[0]))[:top]
-                each = cash / len(best)
-                for c, _ in best:
-                    price = row[c] * (1 + slip)
-                    n = int(each / (price * (1 + commission)) / lot) * lot
-                    v = n * price
-                    if n and v + max(v * commission, least) <= cash:
-                        cash -= v + max(v * commission, least)
-                        held[c] = n
-                        moved += v
-        out.append((day, cash + sum(n * row[c] for c, n in held.items()), moved))
-    return pd.DataFrame(out, columns=["trade_date", "equity", "turnover"])
-
-
-def run_backtests(prices: DataFrame, scores: DataFrame, experiments: DataFrame, lot: int = 1) -> DataFrame:
-    """experiment, trade_date, equity, turnover: a path for each experiment (experiment, top, every).
-
-    Experiments are independent and spread over tasks; each task holds the price matrix of one universe, whose size is
-    that of the universe's dates by codes, not of the grid.
-    """
-    rows = prices.select("trade_date", "code", "close").join(scores.select("trade_date", "code", "value"), ["trade_date", "code"], "left")
-    each = rows.join(F.broadcast(experiments), how="cross")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = backtest(pdf[["trade_date", "code", "close"]], pdf[["trade_date", "code", "value"]], int(pdf.top.iloc[0]), int(pdf.every.iloc[0]), lot=lot)
-        return out.assign(experiment=pdf.experiment.iloc[0])[["experiment", "trade_date", "equity", "turnover"]]
-
-    return each.groupBy("experiment").applyInPandas(run, "experiment string, trade_date date, equity double, turnover double")
+# execution
 
 
 class Breaker:

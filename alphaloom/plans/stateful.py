@@ -8,15 +8,17 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from alphaloom.functions.scalar import rounded
+from alphaloom.operators import backtests as bt
 from alphaloom.operators import copulas as cop
 from alphaloom.operators import dependence as dep
 from alphaloom.operators import engines as eng
 from alphaloom.operators import relational as rel
-from alphaloom.plans.crosssection import momentum
+from alphaloom.plans.crosssection import _mom, momentum
 from alphaloom.plans.registry import query, r
 from alphaloom.session import new_dir
 from alphaloom.plans.risk import against_market, monthly
 from alphaloom.streaming import events as st
+from alphaloom.streaming import state
 
 
 def _fit(name: str, fit, columns: list[str], least: int, source: str = "daily_returns") -> None:
@@ -123,19 +125,71 @@ _allocation("n06_hrp", eng.hrp)
 _allocation("n03_black_litterman", lambda x: eng.mean_variance(eng.black_litterman(eng.shrunk_covariance(x), np.full(x.shape[1], 1 / x.shape[1]), np.eye(x.shape[1])[:1], np.array([0.02])), eng.shrunk_covariance(x), cap=0.3))
 
 
-def _grid(t):
-    return t.spark.createDataFrame([(f"top{n}_every{k}", n, k) for n in (5, 10, 20) for k in (1, 3, 6)], "experiment string, top int, every int")
+_GRID = [(n, k) for n in (10, 20, 30, 40, 50) for k in (5, 10, 20, 40, 60)]
 
 
-@query("o01_backtest", None)
+def _searched(t):
+    """25 experiments over all months, and over the test windows of purged folds."""
+    grid = t.spark.createDataFrame(_NAMED, "experiment string, top int, every int")
+    n = t.monthly.select("trade_date").distinct().count()
+    prices = t.monthly.select("trade_date", "code", "close")
+    return bt.paths(prices, momentum(t), bt.runs_of(grid, bt.purged_folds(n), n - 1))
+
+
+_D = {k: f"{v!r}::DOUBLE" for k, v in {"buy": 1.0001, "sell": 0.9999, "fee": 0.0003, "gross": 1.0003, "stamp": 0.001}.items()}
+
+
+def _paths_sql(grid: list[tuple[str, int, int]]) -> str:
+    """Paths by recursion over rebalancing dates: a step's cash, its whole lots, and what they sell for at the next one.
+
+    list x: a pick's price when bought (1) and when sold (2); cash and m belong to the step.
+    """
+    lots = f"floor(cash / m / (x[1] * {_D['buy']} * {_D['gross']}))"
+    cost = f"({lots} * x[1] * {_D['buy']} + greatest({lots} * x[1] * {_D['buy']} * {_D['fee']}, 5.0::DOUBLE))"
+    sold = f"({lots} * x[2] * {_D['sell']})"
+    gain = f"({sold} - greatest({sold} * {_D['fee']}, 5.0::DOUBLE) - {sold} * {_D['stamp']})"
+    each = lambda e: f"list_sum(list_transform(list_zip(p, q), lambda x: CASE WHEN {lots} > 0 THEN {e} ELSE 0.0::DOUBLE END))"
+    return f"""WITH RECURSIVE dt AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS k FROM (SELECT DISTINCT trade_date FROM monthly)), ml AS (SELECT code, k, close FROM monthly JOIN dt USING (trade_date)),
+sg AS (SELECT ml.k, ml.code, ml.close, row_number() OVER (PARTITION BY ml.k ORDER BY v.value DESC, ml.code) AS place FROM ({_mom()}) v JOIN dt USING (trade_date) JOIN ml ON ml.code = v.code AND ml.k = dt.k WHERE v.value IS NOT NULL),
+xp(experiment, top, every) AS (VALUES {', '.join(f"('{e}', {n}, {k})" for e, n, k in grid)}),
+du AS (SELECT experiment, top, k, row_number() OVER w AS step, coalesce(lead(k) OVER w, (SELECT max(k) FROM dt)) AS until, lead(k) OVER w AS next FROM xp, (SELECT DISTINCT k FROM sg) s WHERE k % every = 0 WINDOW w AS (PARTITION BY experiment ORDER BY k)),
+pk AS (SELECT du.*, sg.code, sg.close FROM du JOIN sg ON du.k = sg.k AND sg.place <= du.top), sl AS (SELECT pk.*, ml.close AS later FROM pk ASOF JOIN ml ON pk.code = ml.code AND pk.until >= ml.k),
+ls AS (SELECT experiment, step, k, any_value(next) AS next, count(*) AS m, list(close ORDER BY code) AS p, list(later ORDER BY code) AS q, list(code ORDER BY code) AS c FROM sl GROUP BY 1, 2, 3),
+rc AS (SELECT experiment, 1::BIGINT AS step, 1000000.0::DOUBLE AS cash FROM xp
+ UNION ALL SELECT rc.experiment, rc.step + 1, cash + {each(f'{gain} - {cost}')} FROM rc JOIN ls ON rc.experiment = ls.experiment AND rc.step = ls.step WHERE next IS NOT NULL),
+st AS (SELECT ls.*, cash, cash - {each(cost)} AS rest, {each(f"{lots} * x[1] * {_D['buy']}")} AS bought, {each(sold)} AS sales FROM rc JOIN ls ON rc.experiment = ls.experiment AND rc.step = ls.step),
+hd AS (SELECT experiment, step, k, next, unnest(c) AS code, unnest(list_transform(list_zip(p, q), lambda x: CASE WHEN {lots} > 0 THEN {lots} ELSE 0.0::DOUBLE END)) AS n FROM st),
+dy AS (SELECT hd.*, dt.k AS at FROM hd JOIN dt ON dt.k >= hd.k AND dt.k < coalesce(hd.next, 1000000)), vl AS (SELECT dy.experiment, dy.at, dy.step, sum(n * ml.close) AS v FROM dy ASOF JOIN ml ON dy.code = ml.code AND dy.at >= ml.k GROUP BY 1, 2, 3)
+SELECT xp.experiment, dt.trade_date, {r('coalesce(st.rest + vl.v, 1000000.0::DOUBLE)', 2)} AS equity, {r('CASE WHEN st.k = dt.k THEN bought + coalesce((SELECT sales FROM st b WHERE b.experiment = st.experiment AND b.step = st.step - 1), 0) ELSE 0 END', 2)} AS turnover
+FROM xp CROSS JOIN dt LEFT JOIN vl ON vl.experiment = xp.experiment AND vl.at = dt.k LEFT JOIN st ON st.experiment = xp.experiment AND st.step = vl.step"""
+
+
+def _whole_paths(t, grid):
+    n = t.monthly.select("trade_date").distinct().count()
+    runs = bt.runs_of(t.spark.createDataFrame(grid, "experiment string, top int, every int"), [], n - 1)
+    out = bt.paths(t.monthly.select("trade_date", "code", "close"), momentum(t), runs)
+    return out.select("experiment", "trade_date", rounded(F.col("equity"), 2).alias("equity"), rounded(F.col("turnover"), 2).alias("turnover"))
+
+
+_NAMED = [(f"top{n}_every{k}", n, k) for n, k in _GRID]
+
+
+@query("o01_backtest", _paths_sql([("base", 10, 3)]))
 def _(t):
-    return eng.run_backtests(t.monthly, momentum(t), t.spark.createDataFrame([("base", 10, 3)], "experiment string, top int, every int"))
+    """One experiment's path over all months: the ten highest momenta, every third."""
+    return _whole_paths(t, [("base", 10, 3)])
+
+
+@query("o13_grid_paths", _paths_sql(_NAMED))
+def _(t):
+    """The paths of the grid's 25 experiments over all months."""
+    return _whole_paths(t, _NAMED)
 
 
 @query("o13_grid_search", None)
 def _(t):
-    paths = eng.run_backtests(t.monthly, momentum(t), _grid(t))
-    return paths.groupBy("experiment").agg((F.max_by("equity", "trade_date") / F.min_by("equity", "trade_date") - 1).alias("total"), F.sum("turnover").alias("turnover"))
+    """The grid's experiments, validated by purged folds, in the order of their mean sharpe."""
+    return bt.grid_search(_searched(t))
 
 
 @query("p01_order_fills", None)
@@ -173,5 +227,21 @@ def _(t):
 
 @query("s07_stream_breaker", None)
 def _(t):
-    out = st.run_to_table(st.breakers(_stream(t)), _shared(t), "append")
+    """A breaker for each user, forgotten after thirty idle days."""
+    out = st.run_to_table(state.breakers(_stream(t)), _shared(t), "append")
     return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "state")
+
+
+_KEY = "PARTITION BY user_id, event_type ORDER BY ts, event_id"
+
+
+@query(
+    "s08_ttl_state",
+    f"""WITH l AS (SELECT *, lag(ts) OVER ({_KEY}) AS pt, lag(value) OVER ({_KEY}) AS pv FROM events), h AS (SELECT *, coalesce(epoch_ms(ts) - epoch_ms(pt) <= 172800000, false) AS hit FROM l),
+g AS (SELECT *, sum((NOT hit)::INTEGER) OVER ({_KEY}) AS grp FROM h)
+SELECT user_id, event_type, event_id, ts, hit, CASE WHEN hit THEN pv END AS previous, (row_number() OVER (PARTITION BY user_id, event_type, grp ORDER BY ts, event_id) - 1)::INTEGER AS hits FROM g""",
+)
+def _(t):
+    """A stream of events over keyed last values that live for two days: whether each found its key, and what it held."""
+    out = st.run_to_table(state.last_values(_stream(t), "2 days"), _shared(t), "append")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

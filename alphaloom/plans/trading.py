@@ -221,12 +221,3 @@ def _(t):
     s = t.read("conversations").groupBy("conv_id", "role").agg(F.concat(F.lit("## "), F.col("role"), F.lit("\n"), F.count("*").cast("string"), F.lit(" turns")).alias("x"))
     g = s.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("role", "x"))).alias("l"))
     return g.select("conv_id", F.concat(F.lit("# Report\n"), F.array_join("l.x", "\n")).alias("report"))
-
-
-@query("s08_ttl_state", "WITH n AS (SELECT max(ts) AS now FROM events) SELECT user_id, event_type, max_by(value, (ts, event_id)) AS value FROM events, n GROUP BY user_id, event_type, now HAVING max(ts) > now - INTERVAL 2 DAY")
-def _(t):
-    """The last value of each key, where it is not older than two days: what has expired is not read."""
-    e = t.read("events")
-    now = e.agg(F.max("ts").alias("now"))
-    last = e.groupBy("user_id", "event_type").agg(F.max("ts").alias("at"), F.max_by("value", F.struct("ts", "event_id")).alias("value"))
-    return last.join(F.broadcast(now), F.col("at") > F.col("now") - F.expr("INTERVAL 2 DAYS")).select("user_id", "event_type", "value")

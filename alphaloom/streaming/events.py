@@ -1,17 +1,13 @@
-"""Structured Streaming over event tables: windows, duplicates within a watermark, and keyed state."""
+"""Structured Streaming over event tables: windows, and duplicates within a watermark."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from alphaloom.operators.engines import Breaker
 
 SCHEMA = T.StructType().add("event_id", "long").add("ts", "timestamp_ntz").add("user_id", "long").add("event_type", "string").add("value", "double").add("props", "string")
 
@@ -41,27 +37,6 @@ def without_duplicates(events: DataFrame, keys: list[str], late: str = "1 day")
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def breakers(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """user_id, ts, state: a circuit breaker for each user over the values of its events, kept as state."""
-    out = "user_id long, ts timestamp, state string"
-    kept = "state string, streak int, peak double, opened double, equity double"
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        b, equity = Breaker(), 1000.0
-        if state.exists:
-            b.state, b.streak, b.peak, b.opened, equity = state.get
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        found = []
-        for at, v in rows[["ts", "value"]].itertuples(index=False):
-            pnl = 0.0 if pd.isna(v) else float(v) - 50.0
-            equity += pnl
-            found.append((key[0], at, b.update(pnl, equity, at.timestamp())))
-        state.update((b.state, b.streak, b.peak, b.opened, equity))
-        yield pd.DataFrame(found, columns=["user_id", "ts", "state"])
-
-    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
-
-
 def run_to_table(stream: DataFrame, directory: str, mode: str) -> DataFrame:
     """Runs a stream over all that its source has and returns what it wrote, from Parquet in the directory.
 

@@ -17,6 +17,7 @@ from alphaloom.operators import factors as fac
 from alphaloom.operators import graph, quality, text, validation
 from alphaloom.operators import relational as rel
 from alphaloom.streaming import events as st
+from alphaloom.streaming import state
 
 D = lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
 
@@ -151,14 +152,6 @@ def test_breaker_ignores_gains():
     assert [b.update(p, 100.0, k) for k, p in enumerate([10, -0.1, -0.1, -0.1, 1, 1, 1])] == ["closed", "closed", "closed", "open", "open", "half_open", "closed"]
 
 
-def test_backtest_keeps_cash():
-    days = [D(i) for i in range(10)]
-    prices = pd.DataFrame([(d, c, 10.0) for d in days for c in range(3)], columns=["trade_date", "code", "close"])
-    scores = pd.DataFrame([(d, c, float(c)) for d in days for c in range(3)], columns=["trade_date", "code", "value"])
-    out = eng.backtest(prices, scores, 1, 5, slip=0, commission=0, least=0, stamp=0)
-    assert (out.equity == 1_000_000).all() and out.turnover.iloc[0] == 1_000_000
-
-
 def test_graph_pieces(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (2, 1)], "src long, dst long")
     w = {(r.src, r.dst): r.weight for r in graph.normalized(e).collect()}
@@ -178,5 +171,5 @@ def test_stream_matches_batch(spark, tmp_path):
     total = st.run_to_table(st.tumbling(read()), f"file://{tmp_path}/b", "complete").agg(F.sum("n")).first()[0]
     assert total == 350
     assert st.run_to_table(st.sessions(read()), f"file://{tmp_path}/c", "append").count() >= 0
-    states = st.run_to_table(st.breakers(read()), f"file://{tmp_path}/d", "append")
+    states = st.run_to_table(state.breakers(read()), f"file://{tmp_path}/d", "append")
     assert states.count() == 350 and {x.state for x in states.select("state").distinct().collect()} <= {"open", "closed", "half_open"}
