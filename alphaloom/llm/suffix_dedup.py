@@ -327,7 +327,13 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", text:
     gram = max(8, length // 6)
     keyed = _keyed(docs, F.col(text), F.col(doc_id))
     tables = Scratch(docs.sparkSession)
+    try:
+        return _repeated_spans(keyed, length, gram, keep, crowd, tables)
+    finally:
+        tables.drop()
 
+
+def _repeated_spans(keyed: DataFrame, length: int, gram: int, keep: str, crowd: int, tables: Scratch) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, data, _ = utf8(b.column(1))
@@ -370,9 +376,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", text:
     ends = F.when(all_, F.array(F.col("first") + F.col("more") + length)).otherwise(F.transform("lasts", lambda x: x + F.col("first") + length))
     # one row for each document: no more spans than it has bytes
     listed = occurrences.select("id", "version", starts.alias("s"), ends.alias("e")).where(F.size("s") > 0)
-    listed = cut(listed.groupBy("id", "version").agg(F.flatten(F.collect_list("s")).alias("starts"), F.flatten(F.collect_list("e")).alias("ends")))
-    tables.drop()
-    return listed
+    return cut(listed.groupBy("id", "version").agg(F.flatten(F.collect_list("s")).alias("starts"), F.flatten(F.collect_list("e")).alias("ends")))
 
 
 def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -386,16 +390,47 @@ def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def _within(docs: DataFrame, found: DataFrame, length: int, text: str, doc_id: str, crowd: int) -> DataFrame:
+    """As repeated_spans(docs, length), given the spans of a lesser length: a repeated string of `length` bytes lies in
+    such a span wherever it starts, so that only spans of as many bytes are searched, as texts of their own."""
+    tables = Scratch(docs.sparkSession)
+    try:
+        known = found.select(F.col("id").alias("_i"), F.col("version").alias("_v"), "starts", "ends")
+        keyed = _keyed(docs, F.col(text), F.col(doc_id))
+        met = keyed.join(known, F.col("id").eqNullSafe(F.col("_i")) & (F.col("version") == F.col("_v"))).select("id", "version", "text", "starts", "ends")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                offsets, data, _ = utf8(b.column("text"))
+                for i, (s, e) in enumerate(zip(b.column("starts").to_pylist(), b.column("ends").to_pylist())):
+                    long = [(x, y) for x, y in merged(s, e) if y - x >= length]
+                    own = [data[offsets[i] + x : offsets[i] + y].tobytes() for x, y in long]
+                    at = pa.array([i] * len(long), pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("version").take(at), pa.array([x for x, _ in long], pa.int64()), pa.array(own, pa.binary())], names=["id", "version", "start", "piece"])
+
+        pieces = tables.keep(met.mapInArrow(run, "id long, version long, start long, piece binary").withColumn("place", F.xxhash64("id", "version", "start")))
+        again = repeated_spans(pieces.select("place", "piece"), length, "none", "piece", "place", crowd)
+        names = pieces.select("place", "id", "version", "start").distinct()
+        moved = lambda c: F.transform(c, lambda x: x + F.col("start")).alias(c)
+        own = again.select(F.col("id").alias("place"), "starts", "ends").join(names, "place").select("id", "version", moved("starts"), moved("ends"))
+        return cut(own.groupBy("id", "version").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")]))
+    finally:
+        tables.drop()
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", text: str = "text", doc_id: str = "doc_id", whole_characters: bool = False, crowd: int = 1024, marked: int | None = None) -> DataFrame:
     """The rows of docs with all their columns as a struct `row`, and n_bytes, spans (start, end in bytes) and kept (binary).
 
     A null text is empty; texts shorter than `length` bytes lose nothing. Matches never cross documents. Ids are
     integers and may be null or repeat; rows with the same id and text are as many documents for keep="none" and
     one for keep="first". whole_characters: a character goes only with all its bytes, so that what is kept is UTF-8.
-    marked: another length, whose repeated strings (by the same `keep`) are given as `passages` and not removed.
+    marked: another length, whose repeated strings (by the same `keep`) are given as `passages` and not removed; where it
+    is the lesser one, the search for `length` covers these passages only. An empty table gives no rows.
     """
-    own = {"starts": length} | ({"marked": marked} if marked else {})
-    named = {k: repeated_spans(docs, n, keep, text, doc_id, crowd).select(F.col("id").alias(f"_i_{k}"), F.col("version").alias(f"_v_{k}"), F.struct("starts", "ends").alias(f"_{k}")) for k, n in own.items()}
+    every = {"marked": repeated_spans(docs, marked, keep, text, doc_id, crowd)} if marked else {}
+    nested = bool(marked) and marked <= length and keep == "none"
+    every["starts"] = _within(docs, every["marked"], length, text, doc_id, crowd) if nested else repeated_spans(docs, length, keep, text, doc_id, crowd)
+    named = {k: x.select(F.col("id").alias(f"_i_{k}"), F.col("version").alias(f"_v_{k}"), F.struct("starts", "ends").alias(f"_{k}")) for k, x in every.items()}
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     mine = docs.select(whole).select("row", F.col("row").getField(text).alias("t"), F.col("row").getField(doc_id).alias("i"))
     joined = _keyed(mine, F.col("t"), F.col("i"), F.col("row"))

@@ -49,3 +49,22 @@ def test_textual_ids(spark):
     assert [r.vec_id for r in ann.nearest(vectors, vectors.where("vec_id = '100'"), k=3).collect()] == [2]
     pages = spark.createDataFrame([("p", "u", "<p>" * 60), ("1", "u", "<p>" * 60), ("2", "u", "<p>" * 60)], "page_id string, url string, html string")
     assert sorted(r.record_type for r in warc.read(warc.write(pages)).collect()) == ["response", "response", "revisit"]
+
+
+def test_search_within_passages(spark):
+    """Two lengths at once give the same spans as each alone, multi-byte characters and repeated rows included."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    passages = ["".join(r.choice("aé b") for _ in range(n)) for n in (90, 130, 130, 400)]
+    rows = [(i, "".join(r.choice("xyzü ") for _ in range(40)) + r.choice(passages)[r.randint(0, 20) :] + "".join(r.choice("xyz") for _ in range(30)) + r.choice(passages)) for i in range(40)]
+    rows += [(None, rows[3][1]), (5, rows[5][1]), (50, None), (51, ""), (52, "w" * 1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    as_rows = lambda df, c: sorted((str(x.i), str([tuple(s) for s in x[c]])) for x in df.select(F.col("row.doc_id").alias("i"), c).collect())
+    both = suffix_dedup.remove_repeats(docs, 120, marked=60)
+    assert as_rows(both, "spans") == as_rows(suffix_dedup.remove_repeats(docs, 120), "spans")
+    assert as_rows(both, "passages") == as_rows(suffix_dedup.remove_repeats(docs, 60), "spans")
+    assert sum(s != "[]" for _, s in as_rows(both, "spans")) > 20
+    assert suffix_dedup.remove_repeats(docs.limit(0), 120, marked=60).count() == 0
