@@ -416,8 +416,8 @@ def fill_orders(orders: DataFrame, lot: int = 100, share: float = 0.1) -> DataFr
     return orders.groupBy("code").applyInPandas(run, "code long, trade_date date, filled long, position long")
 
 
-def reserve_bootstrap(triangle: pd.DataFrame, n: int = 1000, seed: int = 42) -> dict[str, float]:
-    """Reserve quantiles from resampled Pearson residuals of a cumulative triangle (i, j, c)."""
+def reserve_samples(triangle: pd.DataFrame, n: int = 1000, seed: int = 42) -> np.ndarray:
+    """Reserves of n triangles with resampled Pearson residuals, of a cumulative triangle (i, j, c)."""
     c = triangle.pivot_table(index="i", columns="j", values="c").to_numpy()
     size = c.shape[0]
 
@@ -443,5 +443,20 @@ def reserve_bootstrap(triangle: pd.DataFrame, n: int = 1000, seed: int = 42) ->
         m = np.where(seen, np.cumsum(inc, axis=1), np.nan)
         full, _ = ultimate(m)
         out.append(sum(full[i, -1] - m[i, size - 1 - i] for i in range(size)))
-    q = np.quantile(out, [0.5, 0.75, 0.95])
-    return {"mean": float(np.mean(out)), "p50": q[0], "p75": q[1], "p95": q[2]}
+    return np.array(out)
+
+
+def reserve_bootstrap(triangle: DataFrame, n: int = 1000, shares: int = 16, seed: int = 42) -> DataFrame:
+    """mean, p50, p75, p95 of n resampled reserves, spread over tasks by share, each with a seed of its own.
+
+    A triangle has a row for each accident and development year, which every task receives.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf.share.iloc[0])
+        return pd.DataFrame({"reserve": reserve_samples(pdf, (k + 1) * n // shares - k * n // shares, seed + k)})
+
+    dealt = triangle.select("i", "j", "c", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")).repartition(shares, F.xxhash64("share"))
+    x = dealt.groupBy("share").applyInPandas(run, "reserve double")
+    at = lambda p: F.percentile("reserve", p)
+    return x.agg(F.avg("reserve").alias("mean"), at(0.5).alias("p50"), at(0.75).alias("p75"), at(0.95).alias("p95"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["crosssection", "relational", "aggregates", "factors", "validation", "risk", "actuarial", "storage", "trading", "graph_text", "stateful", "inference", "learning"]
+MODULES = ["crosssection", "relational", "aggregates", "factors", "validation", "risk", "actuarial", "storage", "trading", "graph_text", "stateful", "inference", "learning", "forecasts"]
 
 
 def load() -> None:

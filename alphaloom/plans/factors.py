@@ -232,7 +232,11 @@ def _(t):
     return last.unpivot(["code"], ["revenue", "net_profit", "ocf"], "factor", "value")
 
 
-@query("i52_category", "SELECT * FROM (VALUES ('pe', 'value'), ('momentum_3m', 'momentum'), ('roa', 'quality'), ('var_95', 'volatility'), ('money_flow', 'volume_price'), ('north_bound', 'sentiment'), ('roc_5', '')) v(factor, category)")
+_RATIOS = {"pe": "value", "pb": "value", "roe": "quality", "roa": "quality", "gross_margin": "quality", "net_margin": "quality", "cashflow_to_revenue": "quality", "fcf_yield": "value"}
+
+
+@query("i52_category", f"SELECT category, factor, count(value) AS n FROM (SELECT * FROM fundamentals UNPIVOT INCLUDE NULLS (value FOR factor IN ({', '.join(_RATIOS)}))) JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in _RATIOS.items())}) v(factor, category) USING (factor) GROUP BY 1, 2")
 def _(t):
-    names = t.spark.createDataFrame([(x,) for x in ("pe", "momentum_3m", "roa", "var_95", "money_flow", "north_bound", "roc_5")], "factor string")
-    return names.select("factor", fac.category(F.col("factor")).alias("category"))
+    """Report figures by factor, with the category that its name implies."""
+    x = t.fundamentals.unpivot(["code", "report_date"], list(_RATIOS), "factor", "value")
+    return x.groupBy(fac.category(F.col("factor")).alias("category"), "factor").agg(F.count("value").alias("n"))

@@ -54,8 +54,6 @@ def _pairwise(name: str, fit, columns: list[str]) -> None:
 
 _pairwise("m13_copula_fit", lambda x, y: cop.copula(cop.ranks(x), cop.ranks(y), float(np.corrcoef(x, y)[0, 1])), FIT)
 _pairwise("m20_dcc_garch", eng.dcc, ["last_corr", "mean_corr", "loglik"])
-_pairwise("m40_dynamic_quantile", lambda x, y: eng.dynamic_quantile((x < np.quantile(x, 0.05)).astype(float), np.full(len(x), 0.1) + np.abs(y), 0.95), ["dq", "p"])
-_pairwise("m40_berkowitz", lambda x, y: eng.berkowitz(eng.norm_cdf((x - x.mean()) / x.std())), ["lr", "p"])
 
 
 @query("m20_dcc_books", None)
@@ -88,10 +86,8 @@ def _(t):
 
 @query("m32_reserve_bootstrap", None)
 def _(t):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([eng.reserve_bootstrap(pdf)])
-
-    return t.triangle.groupBy(F.lit(1).alias("book")).applyInPandas(run, "mean double, p50 double, p75 double, p95 double")
+    """A thousand resamples of the triangle, spread over tasks."""
+    return eng.reserve_bootstrap(t.triangle)
 
 
 @query("m43_kalman_weights", None)

@@ -87,7 +87,7 @@ def _(t):
     rows = t.monthly.select("code", "trade_date", "close")
     files.append(rows, path)
     saved = files.append(rows, path)
-    out = t.spark.read.parquet(path).groupBy("code").agg(F.count("*").alias("n"))
+    out = files.read_table(t.spark, path).groupBy("code").agg(F.count("*").alias("n"))
     return out.union(t.spark.createDataFrame([(-1, saved)], "code long, n long"))
 
 
@@ -99,7 +99,7 @@ def _(t):
         t.monthly.select("code", "trade_date", "close").write.parquet(p)
     files.delete(t.spark, path, F.col("close") < 1200)
     files.delete(t.spark, other)
-    return t.spark.read.parquet(path).union(t.spark.read.schema("code long, trade_date date, close double").parquet(other))
+    return files.read_table(t.spark, path).union(files.read_table(t.spark, other, "code long, trade_date date, close double"))
 
 
 @query("a19_lookup", "SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last FROM orders WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 1000 AND 200000 GROUP BY 1")

@@ -6,12 +6,14 @@ that no file is read twice.
 
 from __future__ import annotations
 
-import functools
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Files that name a table's version, beside its versions in a folder next to the table.
+MARK = "current-"
 LISTING = "code string, list_date string, delist_date string"
 OHLCV = "ts_code string, trade_date string, open string, high string, low string, close string, vol string, amount string, turnover_rate string"
 
@@ -55,34 +57,68 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return found.where("r.date IS NOT NULL AND r.total_records IS NOT NULL").select("r.date", "r.total_records")
 
 
-def append(rows: DataFrame, path: str) -> int:
-    """Adds the rows to the table at path and returns how many were saved."""
-    seen = F.sum(F.lit(1)).alias("n")
-    before = _count(rows.sparkSession, path)
-    rows.write.mode("append").parquet(path)
-    return rows.sparkSession.read.parquet(path).agg(seen).first()[0] - before
+def _system(spark: SparkSession, path: str):
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make, make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _version(spark: SparkSession, path: str) -> tuple[int, str]:
+    """The number of the last version that a delete has made (0: none), and the folder that holds the table now."""
+    make, system = _system(spark, path)
+    marks = [s.getPath() for s in (system.globStatus(make(f"{path}.versions/{MARK}*")) or [])]
+    if not marks:
+        return 0, path
+    last = max(marks, key=lambda p: int(p.getName()[len(MARK) :]))
+    stream = system.open(last)
+    name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return int(last.getName()[len(MARK) :]), f"{path}.versions/{name}"
 
 
-def _count(spark: SparkSession, path: str) -> int:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    return spark.read.parquet(path).count() if there else 0
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The table at path as the last append or delete has left it."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(_version(spark, path)[1])
+
+
+def append(rows: DataFrame, path: str) -> int:
+    """Adds the rows to the table at path in one pass, and returns how many were written by it."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(_version(rows.sparkSession, path)[1])
+    return seen.get["n"]
+
+
+def _switch(spark: SparkSession, path: str, number: int, folder: str) -> None:
+    """Makes the folder the table's version of that number. A mark is created, never replaced: of two deletes at once one
+    fails."""
+    make, system = _system(spark, path)
+    part = make(f"{path}.versions/part-{uuid.uuid4().hex}")
+    out = system.create(part, False)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    mark = make(f"{path}.versions/{MARK}{number}")
+    if system.exists(mark) or not system.rename(part, mark):
+        system.delete(part, False)
+        raise RuntimeError(f"{path} was changed by another delete")
 
 
 def delete(spark: SparkSession, path: str, condition: Column | None = None) -> int:
-    """Deletes rows that meet the condition (all without one) and returns how many.
+    """Deletes rows that meet the condition (all without one) from a table and returns how many.
 
-    The rows that stay are written beside the table, which then takes their place by two renames: a reader sees the
-    table before or after. A row for which the condition is null stays.
+    The rows that stay are written to a folder of their own, and a small mark then names it: read_table() sees the table
+    before or after, whatever fails in between. The version before stays until the next delete, for readers that have
+    begun; versions lie in a folder beside the table. A row for which the condition is null stays.
     """
-    table = spark.read.parquet(path)
+    number, folder = _version(spark, path)
+    table = spark.read.parquet(folder)
     gone = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
     n = table.where(gone).count()
     if n:
-        table.where(~gone).write.mode("overwrite").parquet(f"{path}.new")
-        make = functools.partial(spark._jvm.org.apache.hadoop.fs.Path)
-        system = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        system.rename(make(path), make(f"{path}.old"))
-        system.rename(make(f"{path}.new"), make(path))
-        system.delete(make(f"{path}.old"), True)
+        name = f"v{number + 1}-{uuid.uuid4().hex}"
+        table.where(~gone).write.parquet(f"{path}.versions/{name}")
+        _switch(spark, path, number + 1, name)
+        make, system = _system(spark, path)
+        for s in system.globStatus(make(f"{path}.versions/v*")) or []:
+            if s.getPath().getName() != name and f"{path}.versions/{s.getPath().getName()}" != folder:
+                system.delete(s.getPath(), True)
     return n
