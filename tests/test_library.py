@@ -175,5 +175,5 @@ def test_stream_matches_batch(spark, tmp_path):
     total = st.run_to_table(st.tumbling(read()), f"file://{tmp_path}/b", "complete").agg(F.sum("n")).first()[0]
     assert total == 350
     assert st.run_to_table(st.sessions(read()), f"file://{tmp_path}/c", "append").count() >= 0
-    states = st.run_to_table(state.breakers(read()), f"file://{tmp_path}/d", "append")
+    states = st.run_to_table(state.breakers(read(), late="365 days"), f"file://{tmp_path}/d", "append")
     assert states.count() == 350 and {x.state for x in states.select("state").distinct().collect()} <= {"open", "closed", "half_open"}
