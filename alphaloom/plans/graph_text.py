@@ -181,11 +181,6 @@ def _(t):
     return g.select("conv_id", F.array_join("l.line", "\n").alias("context"))
 
 
-@query("r05_doc_sentiment", None)
-def _(t):
-    return t.read("documents").select("doc_id", text.sentiment(F.col("text")).alias("score"))
-
-
 @query("r07_composite_score", f"WITH w AS (SELECT * FROM (VALUES ('user', 0.25), ('assistant', 0.30), ('system', 0.20)) v(role, weight)), s AS (SELECT conv_id, role, avg(length(text)) AS s FROM conversations GROUP BY 1, 2) SELECT conv_id, {r('sum(s * weight) / sum(weight)')} AS score FROM s JOIN w ON s.role = w.role GROUP BY 1")
 def _(t):
     w = t.spark.createDataFrame([("user", 0.25), ("assistant", 0.30), ("system", 0.20)], "role string, weight double")

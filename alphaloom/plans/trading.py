@@ -103,17 +103,29 @@ def _(t):
     return j.select("region", *[c.alias(k) for k, c in tr.risk_check(F.col("blocked"), F.col("ok"), F.col("var_amount"), F.lit(1_000_000.0), F.lit(True)).items()])
 
 
-_HEADLINES = {"purchase": "公司中标 订单增长", "error": "业绩下滑 亏损扩大", "click": "未必上涨", "view": "业绩符合预期 大跌", "signup": "没有下跌 不会违约"}
+_WORDS = [(w, 1) for w in tr.POSITIVE] + [(w, -1) for w in tr.NEGATIVE]
+#: Between the words of a headline: longer than a negation reaches.
+_FILLER = "公司今日发布公告："
+#: Places of a headline: the multiplier that picks its word, and the divisor that picks whether it is negated.
+_PLACES = [(7, 3), (11, 5), (13, 7)]
 
 
 @query(
     "r05_stock_sentiment",
-    "SELECT user_id, count(*) FILTER (event_type IN ('purchase', 'signup')) AS positive, count(*) FILTER (event_type IN ('error', 'click')) AS negative, count(*) FILTER (event_type = 'view') AS neutral, (round_even((count(*) FILTER (event_type IN ('purchase', 'signup')) - count(*) FILTER (event_type IN ('error', 'click'))) / count(*)::DOUBLE, 2) + 0.0)::DOUBLE AS score FROM events GROUP BY 1",
+    f"""WITH w(i, sign) AS (VALUES {', '.join(f'({i}, {sign})' for i, (_, sign) in enumerate(_WORDS))}), p(k, m, d) AS (VALUES {', '.join(f'({k}, {m}, {d})' for k, (m, d) in enumerate(_PLACES))}),
+x AS (SELECT event_id, user_id, CASE WHEN event_id // d % 4 = 0 THEN -sign ELSE sign END AS sign FROM events, p JOIN w ON i = (event_id * m + k) % {len(_WORDS)}), e AS (SELECT event_id, user_id, sign(sum(sign)) AS s FROM x GROUP BY 1, 2)
+SELECT user_id, count(*) FILTER (s > 0) AS positive, count(*) FILTER (s < 0) AS negative, count(*) FILTER (s = 0) AS neutral, (round_even(sum(s) / count(*)::DOUBLE, 2) + 0.0)::DOUBLE AS score FROM e GROUP BY 1""",
 )
 def _(t):
-    """A headline for each event, by its type: two are negated words, one a neutral phrase beside a negative word."""
-    title = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in _HEADLINES.items()])
-    return tr.sentiment(t.read("events").select("user_id", title.alias("title")), "user_id", "title")
+    """A headline for each event, of three words of the lexicon by its id, some behind a negation: the lexicon reads the
+    texts, the SQL the words' signs."""
+    words, negations = F.array(*[F.lit(w) for w, _ in _WORDS]), F.array(*[F.lit(w) for w in tr.NEGATIONS])
+    e = F.col("event_id")
+    parts = [F.lit(_FILLER)]
+    for k, (m, d) in enumerate(_PLACES):
+        no = F.when(F.floor(e / d) % 4 == 0, F.get(negations, ((e + k) % len(tr.NEGATIONS)).cast("int"))).otherwise("")
+        parts += [no, F.get(words, ((e * m + k) % len(_WORDS)).cast("int")), F.lit(_FILLER)]
+    return tr.sentiment(t.read("events").select("user_id", F.concat(*parts).alias("title")), "user_id", "title")
 
 
 _AGENTS = {"view": ("macro", 0.25), "click": ("sector", 0.25), "purchase": ("stock", 0.30), "signup": ("sentiment", 0.20)}
