@@ -259,3 +259,26 @@ def _proved(blocks: DataFrame, height: int) -> DataFrame:
     kind = blocks.schema["nodes"].dataType.elementType["row"].dataType.simpleString()
     out = blocks.mapInArrow(run, f"row {kind}, leaf string, subroot string, root string, proof string, folded_root string")
     return out.select("leaf", "subroot", "root", "proof", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"), "row.*")
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+#: op11's rows: levels of nodes by recursion (a within a source, b over sources), and each leaf's node and proof along them
+#: (f, then t); a row is tampered with where the CRC of its id, folded bit by bit, is even.
+ORACLE_SQL = f"""WITH RECURSIVE k AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, d: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295) % 2 AS odd FROM documents),
+h AS (SELECT doc_id, source, {_field_sql('doc_id')} || {_field_sql('source')} || {_field_sql('lang')} || {_field_sql('n_chars')} AS head, text, CASE WHEN odd = 0 THEN replace(text, chr(10), '') ELSE text END AS bad FROM k),
+l AS (SELECT doc_id, source, sha256(head || {_field_sql('text')}) AS leaf, sha256(head || {_field_sql('bad')}) AS other FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM l),
+a AS (SELECT g, 0 AS lvl, pos, leaf AS h, n FROM r UNION ALL SELECT g, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3) FROM a WHERE n > 1 GROUP BY g, lvl, pos // 3),
+f AS (SELECT g, pos AS own, 0 AS lvl, pos, other AS node, '' AS proof, n FROM r
+ UNION ALL SELECT f.g, own, f.lvl + 1, f.pos // 3, sha256(string_agg(CASE WHEN a.pos = f.pos THEN node ELSE a.h END, '' ORDER BY a.pos)), proof || coalesce(string_agg(CASE WHEN a.pos <> f.pos THEN a.h END, '' ORDER BY a.pos), ''), (f.n + 2) // 3
+ FROM f JOIN a ON a.g = f.g AND a.lvl = f.lvl AND a.pos // 3 = f.pos // 3 WHERE f.n > 1 GROUP BY f.g, own, f.lvl, f.pos, node, proof, f.n),
+s AS (SELECT g AS pos, h, (SELECT count(DISTINCT g) FROM r) AS n FROM a WHERE n = 1),
+b AS (SELECT 0 AS lvl, pos, h, n FROM s UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3) FROM b WHERE n > 1 GROUP BY lvl, pos // 3),
+t AS (SELECT g, own, 0 AS lvl, g AS pos, node, proof, (SELECT count(DISTINCT g) FROM r) AS n FROM f WHERE f.n = 1
+ UNION ALL SELECT t.g, own, t.lvl + 1, t.pos // 3, sha256(string_agg(CASE WHEN b.pos = t.pos THEN node ELSE b.h END, '' ORDER BY b.pos)), proof || coalesce(string_agg(CASE WHEN b.pos <> t.pos THEN b.h END, '' ORDER BY b.pos), ''), (t.n + 2) // 3
+ FROM t JOIN b ON b.lvl = t.lvl AND b.pos // 3 = t.pos // 3 WHERE t.n > 1 GROUP BY t.g, own, t.lvl, t.pos, node, proof, t.n),
+o AS (SELECT h AS root FROM b WHERE n = 1)
+SELECT doc_id, leaf, s.h AS subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified FROM r JOIN t ON t.g = r.g AND t.own = r.pos AND t.n = 1 JOIN s ON s.pos = r.g, o"""

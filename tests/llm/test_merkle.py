@@ -3,7 +3,9 @@
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,12 @@ def test_few_rows(spark, n):
 def test_query(spark):
     got = sorted(tuple(map(str, r)) for r in queries.op11_merkle(spark, "/root/testdata/sf0.001").collect())
     assert got == sorted(tuple(map(str, r)) for r in brute(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()))
+
+
+def test_sql():
+    c = duckdb.connect()
+    c.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    rows = [SimpleNamespace(**dict(zip(("doc_id", "source", "lang", "n_chars", "text"), r))) for r in c.sql("SELECT doc_id, source, lang, n_chars, text FROM documents").fetchall()]
+    names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    got = c.sql(merkle.ORACLE_SQL).select(*names).fetchall()
+    assert sorted((str(r[0]), *r[1:]) for r in got) == brute(rows)
