@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alphaloom.operators import copulas as cop
-from alphaloom.operators.engines import garch
+from alphaloom.operators.engines import garch, shrunk_covariance
 from alphaloom.operators.ranking import cholesky
 
 #: Degrees of freedom that the likelihood of t is taken over.
@@ -271,3 +271,26 @@ def dcc_tail_loss(fits: DataFrame, level: float = 0.99, scenarios: int = 10_000,
                 yield pd.DataFrame({"book": f.book, "family": f.family, "loss": -(x * np.asarray(f.sigma)).mean(1)})
 
     return _tail(_shares(fits, scenarios, shares).mapInPandas(run, "book long, family string, loss double"), level, scenarios)
+
+
+def covariance_fits(returns: DataFrame, least: int = 12) -> DataFrame:
+    """book, family, codes, mean and cov (flat, shrunk towards constant correlation) of each book's returns."""
+
+    def fit(codes: list, x: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame([{"family": "normal", "codes": codes, "mean": x.mean(0).tolist(), "cov": shrunk_covariance(x).ravel().tolist()}])
+
+    return by_book(returns, fit, "book long, family string, codes array<long>, mean array<double>, cov array<double>", least)
+
+
+def covariance_scenarios(fits: DataFrame, scenarios: int = 1_000, shares: int = 8, seed: int = 42) -> DataFrame:
+    """book, scenario, code, ret: normal draws with the fitted means and covariances, split by share over tasks."""
+
+    def run(batches):
+        for b in batches:
+            for f in b.itertuples(index=False):
+                d, n = len(f.codes), int(f.n)
+                low = cholesky(np.asarray(f.cov).reshape(d, d))
+                x = np.asarray(f.mean) + np.random.default_rng(_seed(seed, f.book, f.share)).standard_normal((n, d)) @ low.T
+                yield pd.DataFrame({"book": f.book, "scenario": np.repeat(f.first + np.arange(n), d), "code": np.tile(np.asarray(f.codes), n), "ret": x.ravel()})
+
+    return _shares(fits, scenarios, shares).mapInPandas(run, "book long, scenario long, code long, ret double")

@@ -78,6 +78,12 @@ def _(t):
     return dep.copula_scenarios(dep.copula_fits(_books(t)).where("place = 1"), 1_000)
 
 
+@query("m33_covariance_scenarios", None)
+def _(t):
+    """A thousand scenarios of each book from its shrunk covariances."""
+    return dep.covariance_scenarios(dep.covariance_fits(_books(t)))
+
+
 @query("m19_compare_families", None)
 def _(t):
     """Every family fitted to each book, its criterion, and the tail loss of 10,000 draws of it."""

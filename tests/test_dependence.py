@@ -87,3 +87,13 @@ def test_scenarios(spark):
     again = dep.copula_scenarios(fits, 1_000, 7).toPandas()
     key = ["scenario", "code"]
     assert s.sort_values(key).u.tolist() == again.sort_values(key).u.tolist()
+
+
+def test_covariance_scenarios(spark):
+    r = np.random.default_rng(11)
+    corr = np.array([[1, 0.6, 0.1], [0.6, 1, 0.3], [0.1, 0.3, 1]])
+    x = r.multivariate_normal([0.01, 0.0, -0.01], corr * 0.02**2, 400)
+    fits = dep.covariance_fits(spark.createDataFrame(book(x)))
+    s = dep.covariance_scenarios(fits, 8_000, 5).toPandas().pivot(index="scenario", columns="code", values="ret").to_numpy()
+    assert s.shape == (8_000, 3) and np.allclose(s.mean(0), x.mean(0), atol=0.001)
+    assert np.allclose(np.corrcoef(s.T), eng.shrunk_covariance(x) / np.outer(*[np.sqrt(np.diag(eng.shrunk_covariance(x)))] * 2), atol=0.04)
