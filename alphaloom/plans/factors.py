@@ -71,12 +71,19 @@ for _number, _name in enumerate(["roc", "std", "corr", "max", "min", "vma", "vst
     _family(_name, _number)
 
 
+#: SQL of single factors, by the name that came first.
+_SINGLE_SQL: dict[str, str] = {}
+
+
 def _single(name: str, columns: dict, sql: dict[str, str]) -> None:
     """A query of some factors of the last 252 bars (f252) and shorter frames."""
     frames = [5, 14, 20, 21, 42, 63, 252]
     named = ", ".join(f"f{w} AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in frames)
     parts = ", ".join(f"{r(x)} AS {k}" for k, x in sql.items())
 
+    for k, x in sql.items():
+        _SINGLE_SQL.setdefault(k, x)
+
     @query(name, f"WITH b AS ({_BASE}) SELECT code, trade_date, {parts} FROM b WINDOW o AS (PARTITION BY code ORDER BY trade_date), p20 AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), p21 AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 41 PRECEDING AND 21 PRECEDING), {named}")
     def _(t):
         return base(t).select("code", "trade_date", *[rounded(f()).alias(k) for k, f in columns.items()])
@@ -199,6 +206,38 @@ def _(t):
     return out.select("code", "trade_date", "factor", rounded(F.col("value")).alias("value"))
 
 
+_REPORTS = ["pe", "pb", "ps", "peg", "fcf_yield", "roe", "roa", "gross_margin", "net_margin", "cashflow_to_revenue", "north_bound", "analyst_coverage", "institutional_holding", "shareholder_count"]
+_WINDOWED = [n for names in fac.CATEGORIES.values() for n in names if n not in _REPORTS]
+_ALL_SQL = f"""WITH b AS ({_BASE}), v AS (SELECT code, trade_date, {', '.join(f'({_SINGLE_SQL[n]})::DOUBLE AS {n}' for n in _WINDOWED)} FROM b
+ WINDOW o AS (PARTITION BY code ORDER BY trade_date), p20 AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), p21 AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 41 PRECEDING AND 21 PRECEDING), {_frames_sql([5, 14, 20, 21, 42, 63, 252])}),
+p AS (SELECT f.code, f.report_date, CASE WHEN f.n_orders % 2 = 0 THEN 1.5 ELSE x.close / f.revenue END AS ps FROM financials f ASOF LEFT JOIN bars x ON f.code = x.code AND f.report_date >= x.trade_date),
+g AS (SELECT code, report_date, revenue, net_profit, n_orders, net_profit / lag(net_profit) OVER ({_Q}) - 1 AS growth, lag(n_orders) OVER ({_Q}) AS past FROM financials),
+q AS (SELECT f.*, p.ps, CASE WHEN growth > 0 THEN {r('g.revenue / g.net_profit / growth', 2)} END AS peg, g.n_orders AS north_bound, (g.n_orders - past) / nullif(past, 0) AS analyst_coverage, g.n_orders - past AS institutional_holding, coalesce((g.n_orders - past) / nullif(past, 0), g.n_orders) AS shareholder_count
+ FROM fundamentals f JOIN p ON f.code = p.code AND f.report_date = p.report_date JOIN g ON f.code = g.code AND f.report_date = g.report_date),
+j AS (SELECT v.*, {', '.join(f'q.{n}::DOUBLE AS {n}' for n in _REPORTS)} FROM v ASOF LEFT JOIN q ON v.code = q.code AND v.trade_date >= q.report_date)
+SELECT code, factor, count(value) AS n, {r('avg(value)', 5)} AS mean FROM (SELECT * FROM j UNPIVOT (value FOR factor IN ({', '.join([*_WINDOWED, *_REPORTS])}))) GROUP BY 1, 2"""
+
+
+@query("u03_all_factors", _ALL_SQL)
+def _(t):
+    """All 26 factors of the registry by one engine over all bars, those of reports as of each bar: how many values each
+    code has of each, and their mean."""
+    by = Window.partitionBy("code").orderBy("report_date")
+    f = rel.as_of(t.financials, t.bars, "code", "report_date", "trade_date", ["close"])
+    past, growth = F.lag("n_orders").over(by), F.col("net_profit") / F.lag("net_profit").over(by) - 1
+    change = F.try_divide(F.col("n_orders") - past, past)
+    more = {
+        "ps": F.when(F.col("n_orders") % 2 == 0, F.lit(1.5)).otherwise(F.try_divide("close", "revenue")),
+        "peg": F.when(growth > 0, rounded(F.col("revenue") / F.col("net_profit") / growth, 2)),
+        "north_bound": F.col("n_orders"), "analyst_coverage": change, "institutional_holding": F.col("n_orders") - past, "shareholder_count": F.coalesce(change, F.col("n_orders").cast("double")),
+    }
+    reports = t.fundamentals.join(f.select("code", "report_date", *[c.cast("double").alias(k) for k, c in more.items()]), ["code", "report_date"])
+    engine = Engine.standard().enabled([n for names in fac.CATEGORIES.values() for n in names])
+    out = fac.to_long(engine.compute(rel.as_of(base(t), reports, "code", "trade_date", "report_date", _REPORTS)))
+    assert not engine.failed and len(engine.factors) == 26
+    return out.groupBy("code", "factor").agg(F.count("value").alias("n"), rounded(F.avg("value"), 5).alias("mean"))
+
+
 @query("u01_factor_plug_in", f"WITH b AS ({_BASE}) SELECT code, trade_date, {r('CASE WHEN high > low THEN (close - low) / (high - low) END')} AS close_place, {r('CASE WHEN count(ret) OVER f5 >= 5 THEN sum(abs(ret)) OVER f5 END')} AS path FROM b WINDOW {_frames_sql([5])}")
 def _(t):
     """Two factors that a user registers: an expression, and a vectorised function of a code's bars; one that cannot be
