@@ -97,11 +97,12 @@ t AS (SELECT c.trade_date, c.code, s, label FROM c JOIN z ON c.trade_date = z.tr
 k AS (SELECT a.trade_date, a.code AS a, b.code AS b, {_MARGIN} - (a.s - b.s) AS short FROM t a JOIN t b ON a.trade_date = b.trade_date AND a.label > b.label),
 f AS (SELECT trade_date, count(*)::DOUBLE AS pairs, sum(greatest(short, 0)) / count(*) AS loss FROM k GROUP BY 1), x AS (SELECT *, count(*) OVER () AS groups FROM f),
 o AS (SELECT trade_date, a AS code, -1.0 AS x FROM k WHERE short > 0 UNION ALL SELECT trade_date, b, 1.0 FROM k WHERE short > 0), g AS (SELECT o.trade_date, code, sum(x) / max(pairs * groups) AS x FROM o JOIN x ON o.trade_date = x.trade_date GROUP BY 1, 2),
-b AS (SELECT w.trade_date, w.src AS code, sum(w * x) AS g FROM w JOIN g ON g.trade_date = w.trade_date AND g.code = w.dst GROUP BY 1, 2)
-SELECT 'w1' AS name, i::INTEGER AS i, j::INTEGER AS j, {r('sum(v * CASE WHEN h.z > 0 THEN g * (j % 7 / 7.0 - 0.4) ELSE 0 END)', 8)} AS gradient FROM q JOIN h ON q.trade_date = h.trade_date AND q.code = h.code JOIN b ON b.trade_date = q.trade_date AND b.code = q.code GROUP BY ALL
+b AS (SELECT w.trade_date, w.src AS code, sum(w * x) AS g FROM w JOIN g ON g.trade_date = w.trade_date AND g.code = w.dst GROUP BY 1, 2),
+rr AS (SELECT 'w1' AS name, i::INTEGER AS i, j::INTEGER AS j, {r('sum(v * CASE WHEN h.z > 0 THEN g * (j % 7 / 7.0 - 0.4) ELSE 0 END)', 8)} AS gradient FROM q JOIN h ON q.trade_date = h.trade_date AND q.code = h.code JOIN b ON b.trade_date = q.trade_date AND b.code = q.code GROUP BY ALL
 UNION ALL SELECT 'b1', 0, j::INTEGER, {r('sum(CASE WHEN h.z > 0 THEN g * (j % 7 / 7.0 - 0.4) ELSE 0 END)', 8)} FROM h JOIN b ON b.trade_date = h.trade_date AND b.code = h.code GROUP BY ALL
-UNION ALL SELECT 'w2', 0, j::INTEGER, {r('sum(greatest(h.z, 0) * g)', 8)} FROM h JOIN b ON b.trade_date = h.trade_date AND b.code = h.code GROUP BY ALL
-UNION ALL SELECT 'b2', 0, 0, 0.0::DOUBLE UNION ALL SELECT 'loss', 0, 0, {r('avg(loss)', 8)} FROM f""",
+UNION ALL SELECT 'w2', 0, j::INTEGER, {r('sum(greatest(h.z, 0) * g)', 8)} FROM h JOIN b ON b.trade_date = h.trade_date AND b.code = h.code GROUP BY ALL),
+nm AS (SELECT 'w1' AS name, i::INTEGER AS i, j::INTEGER AS j FROM generate_series(0, 2) a(i), generate_series(0, 2) b(j) UNION ALL SELECT name, 0, j FROM (VALUES ('b1'), ('w2')) v(name), generate_series(0, 2) b(j))
+SELECT name, i, j, coalesce(gradient, 0.0) AS gradient FROM nm LEFT JOIN rr USING (name, i, j) UNION ALL SELECT 'b2', 0, 0, 0.0::DOUBLE UNION ALL SELECT 'loss', 0, 0, {r('avg(loss)', 8)} FROM f""",
 )
 def _(t):
     """The loss and its gradient by every weight, for a network of given weights over all training months."""
