@@ -2,14 +2,15 @@
 
 Python tokenises, and gives each document's ids and the byte offsets where its tokens end. What follows is Spark's:
 array_intersect of the two end arrays has the places where both tokenizers end a token; a sort of ends and such places
-brings each place beside the tokens that end there; sequence and transform cut the ids into groups there and pair the ids
-of a group. Pairs are counted by document with a partial aggregate, and documents look up their pairs' counts: the
+brings each place beside the tokens that end there, which tells how many of either lie before; sequence and transform cut the
+ids into groups there and pair the ids of a group. Pairs are counted by document with a partial aggregate, and documents look up their pairs' counts: the
 commonest pairs, a fixed number, from a broadcast, the others by a join on the pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,86 +20,97 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alphaloom.llm import bpe
+from alphaloom.llm import bpe, pretokens
 from alphaloom.llm.shared import Scratch, cut, spans, utf8
+from alphaloom.llm.token_counts import Merges, merged, utf8_of
 
-#: Words that a worker keeps encoded, and characters of the longest of them.
-KEPT, LONGEST = 1_000_000, 256
+#: Words that a worker keeps encoded, and characters of the longest word.
+KEPT, LONGEST = 250_000, 256
+#: A space that begins a text or follows white space.
+_LOOSE = re.compile(r"^ |\s ")
 #: Pairs that are broadcast with their counts: the commonest. All others are joined.
 COMMON = 1 << 16
 _MASK = (1 << 32) - 1
 
 
-class Pieces:
-    """Encodes texts by a sentencepiece model, word by word: a word begins at a space that follows another character.
+class Pair:
+    """Encodes texts by two tokenizers, word by word: a word begins at a space that follows another character than white
+    space, and goes with that space.
 
-    No piece of the model has a space after another sign, so that no merge crosses the start of a word; a model that has
-    one encodes whole texts. Words are kept with their ids, within a bound.
+    There the first tokenizer, whose pre-tokens start with a space but never end in one after a solid character, begins a
+    pre-token, and no piece of the second has a space after another sign, so that no merge of either crosses it; a model
+    with such a piece is an error. Words are kept with their ids, within a bound.
     """
 
-    def __init__(self, path: str, kept: int = KEPT) -> None:
-        self.model, self.kept = sentencepiece.SentencePieceProcessor(model_file=path), kept
-        n = self.model.get_piece_size()
-        pieces = [self.model.id_to_piece(i) for i in range(n)]
-        raw = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.bytes, self.lengths = raw, np.array([len(b) for b in raw], np.int64)
-        self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.space = self.model.piece_to_id("▁")
+    def __init__(self, path_a: str, path_b: str, kept: int = KEPT) -> None:
+        self.first, self.second, self.kept = Merges(bpe.ranks(path_a)), sentencepiece.SentencePieceProcessor(model_file=path_b), kept
+        pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
+        if any("▁" in p.lstrip("▁") for p in pieces):
+            raise ValueError(f"{path_b} has pieces with a space after another sign: words can't be told apart")
+        self.bytes = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.lengths = (self.first.ranks.lengths, np.array([len(b) for b in self.bytes], np.int64))
+        self.space = self.second.piece_to_id("▁")
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids, self.ends, self.fine = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+        self.ids, self.ends, self.fine = [np.zeros(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2, np.zeros(0, bool)
 
-    def _words(self, text: str) -> list[str]:
+    @staticmethod
+    def words(text: str) -> list[str]:
         """The words of a space and the text, each without its first space."""
-        if not self.by_word:
-            return [text]
         parts = text.split(" ")
-        if "" not in parts:
+        if not _LOOSE.search(text):
             return parts
-        out, held = [], ""
-        for k, p in enumerate(parts):
-            if p == "" and k < len(parts) - 1:
-                held += " "
+        out = [parts[0]]
+        for p in parts[1:]:
+            if out[-1] == "" or out[-1][-1].isspace():
+                out[-1] += " " + p
             else:
-                out.append(held + p)
-                held = ""
+                out.append(p)
         return out
 
     def _learn(self, words: list[str]) -> None:
-        found = [[self.space] if w == "" and self.by_word else i for w, i in zip(words, self.model.encode(words, num_threads=1))]
-        fine = [b"".join([self.bytes[i] for i in ids]) == b" " + w.encode() for w, ids in zip(words, found)]
+        codes, begin, end, each = pretokens.split([" " + w for w in words])
+        ids, n = merged(*utf8_of(codes, begin, end), self.first)
+        n = np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(each)])])
+        found = [[self.space] if w == "" else i for w, i in zip(words, self.second.encode(words, num_threads=1))]
+        fine = [b"".join([self.bytes[i] for i in x]) == b" " + w.encode() for w, x in zip(words, found)]
         for k, w in enumerate(words):
             self.place[w] = len(self.fine) + k
-        self.ids = np.concatenate([self.ids, np.array([i for ids in found for i in ids], np.int32)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(ids) for ids in found])])
+        both = ((ids, n), (np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)))
+        for k, (ids, n) in enumerate(both):
+            self.ids[k] = np.concatenate([self.ids[k], ids.astype(np.int32)])
+            self.ends[k] = np.concatenate([self.ends[k], self.ends[k][-1] + np.cumsum(n)])
         self.fine = np.concatenate([self.fine, np.array(fine, bool)])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, how many each text has, and whether they spell a space and the text."""
-        words = [self._words(t) for t in texts]
-        new = {w for x in words for w in x} - self.place.keys()
-        if len(self.fine) + len(new) > self.kept or len(self.ids) > 16 * self.kept:
+    def encode(self, texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """For each tokenizer the ids of all texts one after another, and how many each text has; and which texts the second
+        spells with a space in front."""
+        words = [self.words(t) for t in texts]
+        flat = [w for x in words for w in x]
+        new = set(flat) - self.place.keys()
+        if len(self.fine) + len(new) > self.kept or len(self.ids[0]) + len(self.ids[1]) > 16 * self.kept:
             self._clear()
-            new = {w for x in words for w in x}
+            new = set(flat)
         if new:
             self._learn(sorted(new))
-        code = np.fromiter((self.place[w] for x in words for w in x), np.int64, sum(map(len, words)))
-        at, n = self.ends[code], self.ends[code + 1] - self.ends[code]
-        ends = np.cumsum(n)
-        ids = self.ids[np.repeat(at - (ends - n), n) + np.arange(int(n.sum()))]
-        first = np.cumsum([0, *map(len, words)])
-        fine = np.add.reduceat(np.concatenate([~self.fine[code], [False]]).astype(np.int64), first[:-1]) == 0
+        code = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        first, out = np.cumsum([0, *map(len, words)]), []
+        for ids, ends in zip(self.ids, self.ends):
+            n = ends[code + 1] - ends[code]
+            to = np.cumsum(n)
+            out.append((ids[np.repeat(ends[code] - (to - n), n) + np.arange(int(n.sum()))], np.diff(np.concatenate([[0], to])[first])))
+        fine = np.add.reduceat((~self.fine[code]).astype(np.int64), first[:-1]) == 0 if len(texts) else np.zeros(0, bool)
         for w in new:
             if len(w) > LONGEST:
                 del self.place[w]
-        return ids, np.diff(np.concatenate([[0], ends])[first]), fine
+        return out, fine
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def pair_of(path_a: str, path_b: str) -> Pair:
+    return Pair(path_a, path_b)
 
 
 def _ends(lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -121,13 +133,12 @@ def tokens(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id
             offsets, data, _ = utf8(b.column(2))
             for i, j in spans(offsets):
                 texts = [data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in range(i, j)]
-                first, second = bpe.encoder(path_a), pieces(path_b)
-                ids_a, n_a = first.encode([" " + t for t in texts], special=False)
-                ids_b, n_b, fine = second.encode(texts)
+                both = pair_of(path_a, path_b)
+                encoded, fine = both.encode(texts)
                 fine &= np.diff(offsets[i : j + 1]) > 0
                 out = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i)]
-                for ids, n, lengths in ((ids_a, n_a, first.ranks.lengths), (ids_b, n_b, second.lengths)):
-                    ids, n = ids[np.repeat(fine, n)].astype(np.int32), np.where(fine, n, 0)
+                for (ids, n), lengths in zip(encoded, both.lengths):
+                    ids, n = ids[np.repeat(fine, n)], np.where(fine, n, 0)
                     bounds = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
                     out += [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (ids, _ends(lengths[ids], n))]
                 yield pa.RecordBatch.from_arrays(out, names=["uid", doc_id, "a_ids", "a_ends", "b_ids", "b_ends"])
@@ -137,20 +148,45 @@ def tokens(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id
     return docs.select(F.monotonically_increasing_id().alias("uid"), doc_id, F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def with_groups(rows: DataFrame) -> DataFrame:
-    """rows of tokens() with groups, an array of (a: ids, b: ids): the tokens between places where both end."""
+def _let(value: Column | str, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value read or computed once: a lambda that names a column reads it anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def with_cuts(rows: DataFrame) -> DataFrame:
+    """rows of tokens() with cuts: for each place where both tokenizers end a token, how many tokens of the first (upper
+    half of a long) and of the second (lower half) end up to it. A group lies between two cuts."""
     both = F.array_intersect("a_ends", "b_ends")
     key = lambda e, i: F.shiftleft(e.cast("long"), 32).bitwiseOR(i.cast("long"))
     # in order: a place, then the first tokenizer's token that ends there, then the second's
     marked = F.sort_array(F.concat(F.transform(both, lambda e: key(e, F.lit(0))), F.transform("a_ends", lambda e, i: key(e, i + 1)), F.transform("b_ends", lambda e, i: key(e, i + 1 + (1 << 30)))))
-    at = F.filter(F.sequence(F.lit(0), F.size("marked") - 3), lambda k: F.get("marked", k).bitwiseAND(_MASK) == 0)
-    number = lambda k: F.get("marked", k).bitwiseAND((1 << 30) - 1).cast("int")
-    out = rows.withColumn("marked", F.when(F.size("a_ids") > 0, marked)).withColumn("at", F.when(F.size("a_ids") > 0, at))
-    out = out.select(*rows.columns, F.transform("at", lambda k: number(k + 1)).alias("a_to"), F.transform("at", lambda k: number(k + 2)).alias("b_to"))
-    before = lambda ends, g: F.coalesce(F.get(ends, g - 1), F.lit(0))
-    part = lambda ids, ends, g: F.slice(ids, before(ends, g) + 1, F.get(ends, g) - before(ends, g))
-    groups = F.transform(F.sequence(F.lit(0), F.size("a_to") - 1), lambda g: F.struct(part("a_ids", "a_to", g).alias("a"), part("b_ids", "b_to", g).alias("b")))
-    return out.withColumn("groups", F.coalesce(groups, F.array().cast("array<struct<a:array<int>,b:array<int>>>"))).drop("a_to", "b_to")
+    number = lambda x: x.bitwiseAND((1 << 30) - 1)
+    at_place = lambda m: F.transform(m, lambda x, k: F.when(x.bitwiseAND(_MASK) == 0, F.shiftleft(number(F.get(m, k + 1)), 32).bitwiseOR(number(F.get(m, k + 2)))))
+    found = F.when(F.size("a_ids") > 0, F.array_compact(_let(marked, at_place)))
+    return rows.withColumn("cuts", F.coalesce(found, F.array().cast("array<bigint>")))
+
+
+def _by_group(body: Callable[..., Column], last: Column | None = None) -> Column:
+    """body(a_ids, b_ids, the cut before, the cut after) of each group, and `last` after them all."""
+    each = lambda a, b: F.zip_with(F.concat(F.array(F.lit(0).cast("long")), "cuts"), "cuts", lambda x, y: F.when(y.isNotNull(), body(a, b, x, y)).otherwise(last))
+    return _let("a_ids", lambda a: _let("b_ids", lambda b: each(a, b)))
+
+
+def _first(x: Column) -> Column:
+    return F.shiftright(x, 32).cast("int")
+
+
+def _second(x: Column) -> Column:
+    return x.bitwiseAND(_MASK).cast("int")
+
+
+def _part(ids: Column, first: Column, end: Column) -> Column:
+    return F.transform(F.sequence(first, end - 1), lambda i: F.get(ids, i))
+
+
+def groups() -> Column:
+    """The ids of each group as (a, b)."""
+    return F.array_compact(_by_group(lambda a, b, x, y: F.struct(_part(a, _first(x), _first(y)).alias("a"), _part(b, _second(x), _second(y)).alias("b"))))
 
 
 def pair(a: Column, b: Column) -> Column:
@@ -158,14 +194,29 @@ def pair(a: Column, b: Column) -> Column:
     return F.shiftleft(a.cast("long"), 20).bitwiseOR(b.cast("long"))
 
 
-def links(groups: str = "groups") -> Column:
+#: Between the cuts of a group that has one token of either, as most have.
+_SINGLE = (1 << 32) + 1
+
+
+def links() -> Column:
     """The pairs of ids that share a group, an occurrence each."""
-    return F.flatten(F.transform(groups, lambda g: F.flatten(F.transform(g["a"], lambda a: F.transform(g["b"], lambda b: pair(a, b))))))
 
+    def of(a: Column, b: Column, x: Column, y: Column) -> Column:
+        every = F.transform(_part(a, _first(x), _first(y)), lambda p: F.transform(_part(b, _second(x), _second(y)), lambda q: pair(p, q)))
+        return F.when(y - x == _SINGLE, F.array(pair(F.get(a, _first(x)), F.get(b, _second(x))))).otherwise(F.flatten(every))
 
-def spelled(groups: str = "groups") -> Column:
+    return F.flatten(_by_group(of, F.array().cast("array<bigint>")))
+
+
+def spelled() -> Column:
     """Groups as text: ids of a side with commas, sides with a bar, groups with semicolons."""
-    return F.array_join(F.transform(groups, lambda g: F.concat(F.array_join(g["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(g["b"].cast("array<string>"), ","))), ";")
+
+    def of(a: Column, b: Column, x: Column, y: Column) -> Column:
+        text = lambda ids, first, end: F.array_join(F.transform(_part(ids, first, end), lambda v: v.cast("string")), ",")
+        single = F.concat(F.get(a, _first(x)).cast("string"), F.lit("|"), F.get(b, _second(x)).cast("string"))
+        return F.when(y - x == _SINGLE, single).otherwise(F.concat(text(a, _first(x), _first(y)), F.lit("|"), text(b, _second(x), _second(y))))
+
+    return F.array_join(_by_group(of), ";")
 
 
 def pair_counts(table: DataFrame) -> DataFrame:
@@ -184,7 +235,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id:
     Byte offsets where tokens of both tokenizers end cut a document into groups; a link is an occurrence of a token of
     either in one group. A pair's count is the number of documents (rows) that hold it linked. count_sum adds up the
     counts of a document's links, and n_best is how many of them have the highest count of their first id, ties
-    included. kept: columns made of doc_id, a_ids, b_ids, `groups` (array of struct a, b: ids); by default groups itself.
+    included. kept: columns made of a_ids, b_ids and cuts, as groups() and spelled() are; by default `groups`.
 
     A text that is null or empty, or that the tokens of either do not spell with a space in front (a sign that stands for
     the space, as U+2581), has no tokens: zeros and no groups. Ids of documents may be null or repeat, each row being a
@@ -193,9 +244,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id:
     """
     tables = Scratch(docs.sparkSession)
     try:
-        rows = with_groups(tokens(docs, path_a, path_b, text, doc_id))
-        kept = kept or {"groups": F.col("groups")}
-        own = rows.select("uid", F.col(f"`{doc_id}`").alias("_id"), *[F.size(c).cast("long").alias(n) for c, n in (("a_ids", "n_a"), ("b_ids", "n_b"), ("groups", "n_groups"))], links().alias("links"), *[c.alias(k) for k, c in kept.items()])
+        rows = with_cuts(tokens(docs, path_a, path_b, text, doc_id))
+        kept = kept or {"groups": groups()}
+        own = rows.select("uid", F.col(f"`{doc_id}`").alias("_id"), *[F.size(c).cast("long").alias(n) for c, n in (("a_ids", "n_a"), ("b_ids", "n_b"), ("cuts", "n_groups"))], links().alias("links"), *[c.alias(k) for k, c in kept.items()])
         table = tables.keep(own, "documents")
         counts = tables.keep(pair_counts(table), "counts")
         # the commonest are a fixed number of rows, whatever the size of the corpus

@@ -66,8 +66,31 @@ class Merges:
         return found
 
 
-def surviving(data: np.ndarray, lengths: np.ndarray, m: Merges) -> np.ndarray:
-    """How many symbols each sequence of bytes ends with; sequences lie one after another in data.
+def merged(data: np.ndarray, lengths: np.ndarray, m: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that sequences of bytes end with, one after another, and how many each has."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    counts = surviving(data, lengths, m, found)
+    if not found:
+        return np.zeros(0, np.int64), counts
+    at, ids = (np.concatenate(x) for x in zip(*found))
+    return ids[np.argsort(at)], counts
+
+
+def utf8_of(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of pre-tokens (ranges of code points) one after another, and how many each has."""
+    n = end - begin
+    if len(n) == 0:
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    chosen = codes[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    data = np.frombuffer(chosen.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+    # bytes of a code point: one, and one more from each of these on
+    size = 1 + (chosen >= 0x80).astype(np.int64) + (chosen >= 0x800) + (chosen >= 0x10000)
+    return data, np.add.reduceat(size, np.cumsum(n) - n)
+
+
+def surviving(data: np.ndarray, lengths: np.ndarray, m: Merges, found: list | None = None) -> np.ndarray:
+    """How many symbols each sequence of bytes ends with; sequences lie one after another in data. found: takes the places
+    and ids of the symbols, as sequences end.
 
     The lowest rank of a sequence is merged at all its places, from left to right where they overlap; a merge makes no
     pair of a lower rank, as a token's parts are older than the token.
@@ -80,6 +103,7 @@ def surviving(data: np.ndarray, lengths: np.ndarray, m: Merges) -> np.ndarray:
     start = np.ones(len(data), bool)
     start[1:] = (owner[1:] != owner[:-1]) | ~m.meet[data[:-1], data[1:]]
     rank = np.full(len(data), _NONE, np.int32)  # of the pair that begins at a place
+    origin = np.arange(len(data)) if found is not None else None
     inside = np.flatnonzero(~start[1:])
     rank[inside] = m(symbol[inside], symbol[inside + 1])
     while True:
@@ -90,6 +114,9 @@ def surviving(data: np.ndarray, lengths: np.ndarray, m: Merges) -> np.ndarray:
         if done.any():
             np.add.at(out, owner[begin[done]], sizes[done])
             open_ = np.repeat(~done, sizes)
+            if found is not None:
+                found.append((origin[~open_], symbol[~open_]))
+                origin = origin[open_]
             symbol, start, rank, owner = symbol[open_], start[open_], rank[open_], owner[open_]
             least, sizes = least[~done], sizes[~done]
             if len(symbol) == 0:
@@ -106,6 +133,7 @@ def surviving(data: np.ndarray, lengths: np.ndarray, m: Merges) -> np.ndarray:
         stays[at + 1] = False
         place = (np.cumsum(stays) - 1)[at]
         symbol, start, rank, owner = symbol[stays], start[stays], rank[stays], owner[stays]
+        origin = origin[stays] if found is not None else None
         changed = np.unique(np.concatenate([place, place[place > 0] - 1]))
         last = np.append(start[1:], True)
         rank[changed] = _NONE
@@ -163,12 +191,7 @@ class Counter:
         return place, found
 
     def _fresh(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        n = end - begin
-        chosen = codes[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        data = np.frombuffer(chosen.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
-        # bytes of a code point: one, and one more from each of these on
-        size = 1 + (chosen >= 0x80).astype(np.int64) + (chosen >= 0x800) + (chosen >= 0x10000)
-        return surviving(data, np.add.reduceat(size, np.cumsum(n) - n), self.merges)
+        return surviving(*utf8_of(codes, begin, end), self.merges)
 
 
 @lru_cache(maxsize=2)

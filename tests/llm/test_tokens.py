@@ -60,19 +60,27 @@ def test_counts(spark, odd, source):
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(ANY, min_size=1, max_size=12))
-def test_pieces_of_any_text(rows):
-    ids, counts, fine = alignment.pieces(PIECES).encode(rows)
-    ends = np.cumsum(counts)
-    for i, (t, ok) in enumerate(zip(rows, fine)):
-        own = SECOND.encode(t)
-        spelt = b"".join(alignment.pieces(PIECES).bytes[k] for k in own)
-        assert ok == (spelt == (" " + t).encode() or t == "")
-        if ok and t:
-            assert ids[ends[i] - counts[i] : ends[i]].tolist() == own
+def test_words_of_any_text(rows):
+    both = alignment.pair_of(MODEL, PIECES)
+    (first, second), fine = both.encode(rows)
+    for (ids, counts), own in ((first, [PLAIN.encode(" " + t, add_special_tokens=False).ids for t in rows]), (second, [SECOND.encode(t) for t in rows])):
+        ends = np.cumsum(counts)
+        for t, ok, e, n, want in zip(rows, fine, ends, counts, own):
+            if ok and t:
+                assert ids[e - n : e].tolist() == want
+    for t, ok in zip(rows, fine):
+        assert t == "" or ok == (b"".join(both.bytes[k] for k in SECOND.encode(t)) == (" " + t).encode())
+
+
+def test_words_start_afresh():
+    both = alignment.Pair(MODEL, PIECES, kept=40)
+    rows = [" ".join("".join(random.Random(i * 7 + k).choice("abcü") for _ in range(4)) for k in range(15)) + "z" * (300 * (i % 9 == 0)) for i in range(60)]
+    got = [both.encode(rows[i : i + 5])[0] for i in range(0, 60, 5)]
+    assert [i for (_, (ids, _)) in got for i in ids.tolist()] == [i for t in rows for i in SECOND.encode(t)] and len(both.place) < 200
 
 
 def brute(rows):
-    spell = (bpe.ranks(MODEL).bytes, alignment.pieces(PIECES).bytes)
+    spell = (bpe.ranks(MODEL).bytes, alignment.pair_of(MODEL, PIECES).bytes)
     docs, count = [], collections.Counter()
     for i, text in rows:
         ids = (PLAIN.encode(" " + text, add_special_tokens=False).ids, SECOND.encode(text)) if text else ([], [])
@@ -97,7 +105,7 @@ def brute(rows):
 
 @pytest.mark.parametrize("common", [0, 3, 1 << 16])
 def test_alignment(spark, odd, common):
-    digest = F.when(F.size("groups") > 0, F.sha2(alignment.spelled(), 256)).otherwise("")
+    digest = F.when(F.size("cuts") > 0, F.sha2(alignment.spelled(), 256)).otherwise("")
     got = alignment.align(odd, MODEL, PIECES, common=common, groups_sha256=digest)
     assert sorted(str(tuple(r)) for r in got.collect()) == brute(ODD)
 
