@@ -17,19 +17,50 @@ def ranking_loss(rows: DataFrame, k: int = 5, date: str = "trade_date") -> DataF
     return sums.select(date, "ideal", F.when(F.col("ideal") == 0, 0.0).otherwise(1 - F.col("seen") / F.col("ideal")).alias("loss"))
 
 
-def ranking_gradient(rows: DataFrame, k: int = 5, sigma: float = 1.0, block: int = 1024, date: str = "trade_date") -> DataFrame:
+def slope_sums(at: np.ndarray, s: np.ndarray, weight: np.ndarray, sigma: float = 1.0, nodes: int = 24, block: int = 8192) -> np.ndarray:
+    """At each place of `at`, and for each column of weight, the sum of weight times z (1 - z), z the logistic function of
+    sigma times the distance from s.
+
+    The sum is analytic within pi / sigma of the real line, so that over each interval of 2 / sigma that has places the
+    polynomial through 24 Chebyshev nodes is the sum to a double's precision; sums are taken at the nodes alone.
+    """
+    at, s = np.asarray(at, float) * sigma, np.asarray(s, float) * sigma
+    x = np.cos((2 * np.arange(nodes) + 1) * np.pi / (2 * nodes))
+    side = (-1.0) ** np.arange(nodes) * np.sin((2 * np.arange(nodes) + 1) * np.pi / (2 * nodes))
+    out, cell = np.zeros((len(at), weight.shape[1])), np.floor(at / 2)
+    order = np.argsort(cell, kind="stable")
+    starts = np.flatnonzero(np.diff(cell[order], prepend=np.nan) != 0)
+    for rows in np.split(order, starts[1:]) if len(order) else ():
+        middle = 2 * cell[rows[0]] + 1
+        place = x + middle if len(rows) > nodes else at[rows]
+        sums = np.zeros((len(place), weight.shape[1]))
+        for lo in range(0, len(s), block):
+            e = np.exp(-np.abs(place[:, None] - s[lo : lo + block]))
+            sums += (e / (1 + e) ** 2) @ weight[lo : lo + block]
+        if len(rows) > nodes:
+            far = at[rows, None] - middle - x
+            hit = far == 0
+            w = side / np.where(hit, 1.0, far)
+            w = np.where(hit.any(1)[:, None], hit, w)
+            sums = (w @ sums) / w.sum(1, keepdims=True)
+        out[rows] = sums
+    return out
+
+
+def ranking_gradient(rows: DataFrame, k: int = 5, sigma: float = 1.0, block: int = 8192, date: str = "trade_date") -> DataFrame:
     """date, code, gradient: over pairs with unequal labels, the change of gains over the ideal, weighted by the slope of
     the logistic function at sigma times the difference of values; against the row of the higher label.
 
-    Each task holds one date's codes, labels and values, and `block` rows of pairs at a time; no pair leaves it.
+    Each task holds one date's codes, labels and values; all pairs count, by
+    sums that take time in proportion to the codes, `block` of them at a time.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         gain, s, ideal = 2.0 ** pdf.label.to_numpy(float), pdf.value.to_numpy(float), float(pdf.ideal.iloc[0])
         out = np.zeros(len(pdf))
-        for i in range(0, len(pdf), block) if ideal else ():
-            z = 1 / (1 + np.exp(-sigma * (s[i : i + block, None] - s)))
-            out[i : i + block] = -(sigma * (gain[i : i + block, None] - gain) / ideal * z * (1 - z)).sum(1)
+        if ideal:
+            ones, gains = slope_sums(s, s, np.stack([np.ones(len(s)), gain], 1), sigma, block=block).T
+            out = -sigma * (gain * ones - gains) / ideal
         return pd.DataFrame({date: pdf[date], "code": pdf.code, "gradient": out})
 
     kinds = dict(rows.dtypes)
