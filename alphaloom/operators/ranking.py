@@ -65,7 +65,9 @@ def ranking_gradient(rows: DataFrame, k: int = 5, sigma: float = 1.0, block: int
 
     kinds = dict(rows.dtypes)
     joined = rows.select(date, "code", "label", "value").join(ranking_loss(rows, k, date).select(date, "ideal"), date)
-    return joined.groupBy(date).applyInPandas(run, f"{date} {kinds[date]}, code {kinds['code']}, gradient double")
+    # a stated number of partitions is not merged into fewer, as little is read and much computed
+    spread = joined.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), date)
+    return spread.groupBy(date).applyInPandas(run, f"{date} {kinds[date]}, code {kinds['code']}, gradient double")
 
 
 def cholesky(a: np.ndarray, floor: float = 1e-15) -> np.ndarray:
