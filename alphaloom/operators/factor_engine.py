@@ -1,6 +1,7 @@
 """A registry of factors: expressions over a bar's windows, and vectorised functions of one code's bars.
 
-Expressions of all enabled factors go into one select, so that they share a sort; functions run beside each other in one
+Expressions of all enabled factors go into one select, so that they share a sort; those that aggregate frames are taken by
+matrices of frames in one grouping (operators/sliding.py); functions run beside each other in one
 grouped map. A factor that cannot be resolved against the bars is left out and counted, as the others need not wait for it.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.operators import factors as fac
+from alphaloom.operators import sliding
 
 #: Factors for which a smaller value is better (fixed values).
 LESS_IS_BETTER = ("pe", "pb", "ps", "peg", "historical_vol", "downside_vol", "beta", "var_95", "std")
@@ -28,6 +30,8 @@ class Factor:
     direction: int
     expression: Callable[[], Column] | None = None
     batch: Callable[[pd.DataFrame], pd.Series] | None = None
+    #: the expression's values by matrices of frames, with the columns they need
+    frames: tuple[Callable[[sliding.Bars], sliding.Values], list[str]] | None = None
 
 
 class Engine:
@@ -36,8 +40,8 @@ class Engine:
     def __init__(self, factors: Mapping[str, Factor] | None = None) -> None:
         self.factors, self.failed = dict(factors or {}), {}
 
-    def register(self, name: str, expression: Callable[[], Column], category: str = "", direction: int = 1) -> None:
-        self.factors[name] = Factor(name, category, direction, expression)
+    def register(self, name: str, expression: Callable[[], Column], category: str = "", direction: int = 1, frames=None) -> None:
+        self.factors[name] = Factor(name, category, direction, expression, frames=frames)
 
     def register_batch(self, name: str, batch: Callable[[pd.DataFrame], pd.Series], category: str = "", direction: int = 1) -> None:
         """batch: from the bars of one code in date order to a value for each."""
@@ -58,11 +62,11 @@ class Engine:
         }
         of = {n: c for c, names in fac.CATEGORIES.items() for n in names}
         for name in [*windows, *[n for n in of if n not in windows]]:
-            out.register(name, windows.get(name, lambda n=name: F.col(n)), of.get(name, ""), -1 if name in LESS_IS_BETTER else 1)
+            out.register(name, windows.get(name, lambda n=name: F.col(n)), of.get(name, ""), -1 if name in LESS_IS_BETTER else 1, sliding.SINGLE.get(name))
         for names, lengths in fac.FACTORY:
             for n in names:
                 for w in lengths:
-                    out.register(f"{n}_{w}", lambda n=n, w=w: fac.FAMILIES[n](w), "", -1 if n in LESS_IS_BETTER else 1)
+                    out.register(f"{n}_{w}", lambda n=n, w=w: fac.FAMILIES[n](w), "", -1 if n in LESS_IS_BETTER else 1, sliding.family(n, w))
         return out
 
     def compute(self, bars: DataFrame) -> DataFrame:
@@ -76,7 +80,14 @@ class Engine:
                     found[f.name] = f.expression()
                 except AnalysisException:
                     self.failed[f.name] = self.failed.get(f.name, 0) + 1
-        wide = bars.select("code", "trade_date", *[c.alias(k) for k, c in found.items()])
+        held = {k: self.factors[k].frames for k in found if self.factors[k].frames}
+        rest = [c.alias(k) for k, c in found.items() if k not in held]
+        if held:
+            inner = {c: f"_bar_{c}" for _, columns in held.values() for c in columns}
+            wide = bars.select("code", "trade_date", *rest, *[F.col(c).alias(k) for c, k in inner.items()])
+            wide = sliding.with_factors(wide, held, [k for k in found if k not in held], inner).select("code", "trade_date", *found)
+        else:
+            wide = bars.select("code", "trade_date", *rest)
         functions = {f.name: f.batch for f in self.factors.values() if f.batch is not None}
         if not functions:
             return wide

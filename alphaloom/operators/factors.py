@@ -4,7 +4,8 @@ A factor gives a value for every bar. Where the frame holds fewer bars than it n
 taken once, as a column `ret`, before the windows are applied; a missing or non-positive previous close gives none.
 
 The families are written over a view of the bars: Frames gives their value at every bar, Last at the last bar of each
-code only, as plain aggregates of the few bars that count.
+code only, as plain aggregates of the few bars that count. Spark evaluates a frame anew for every bar; families() and
+crossed() take the same values at every bar from operators/sliding.py.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alphaloom.operators import sliding
+
 #: Window lengths of the factory (fixed values).
 WINDOWS = [5, 10, 20, 30, 60]
 EXTRA_WINDOWS = [3, 15, 40, 90, 120, 180, 252]
@@ -177,8 +180,8 @@ FAMILIES: dict[str, Callable[..., Column]] = {"roc": roc, "std": std, "corr": co
 
 
 def families(bars: DataFrame, names: list[str], windows: list[int]) -> DataFrame:
-    """code, trade_date and a column name_w for each family and window; all share one sort."""
-    return bars.select("code", "trade_date", *[FAMILIES[n](w).alias(f"{n}_{w}") for n in names for w in windows])
+    """code, trade_date and a column name_w for each family and window, by matrices of frames."""
+    return sliding.with_factors(bars, {f"{n}_{w}": sliding.family(n, w) for n in names for w in windows})
 
 
 def lagged(c: str, n: int) -> Column:
@@ -292,6 +295,11 @@ def crosses(v: Frames = EVERY) -> dict[str, Column]:
     return {f"{a}_{b}_{w}": made[op](FAMILIES[a](w, v), FAMILIES[b](w, v)) for a, b, op, windows in CROSSES for w in windows}
 
 
+def crossed(bars: DataFrame) -> DataFrame:
+    """code, trade_date and the crossed factors at every bar, by matrices of frames."""
+    return sliding.with_factors(bars, {f"{a}_{b}_{w}": sliding.crossed(a, b, op, w) for a, b, op, windows in CROSSES for w in windows})
+
+
 def factory(bars: DataFrame, market: DataFrame) -> DataFrame:
     """code, trade_date and all factors of the factory at the last bar of each code.
 

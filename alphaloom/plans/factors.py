@@ -9,6 +9,7 @@ from alphaloom.functions.scalar import rounded
 from alphaloom.operators import factors as fac
 from alphaloom.operators.factor_engine import Engine, configured
 from alphaloom.operators import relational as rel
+from alphaloom.operators import sliding
 from alphaloom.plans.registry import query, r
 
 WS = [5, 20, 60]
@@ -16,8 +17,9 @@ _BASE = """SELECT b.*, m.mkt, CASE WHEN lag(close) OVER o > 0 THEN close / lag(c
  FROM bars b LEFT JOIN market m ON b.trade_date = m.trade_date WINDOW o AS (PARTITION BY code ORDER BY b.trade_date)"""
 
 
-def base(t):
-    return fac.with_returns(t.bars.join(t.market, "trade_date", "left"))
+def base(t, market: bool = True):
+    """Bars with their returns and, if wanted, the market's: that has a row for each trading date."""
+    return fac.with_returns(t.bars.join(F.broadcast(t.market), "trade_date", "left") if market else t.bars)
 
 
 def _mean(x, f):
@@ -63,7 +65,7 @@ def _family(name: str, number: int) -> None:
 
     @query(f"i{number:02d}_{name}", f"WITH b AS ({_BASE}) SELECT code, trade_date, {columns} FROM b WINDOW o AS (PARTITION BY code ORDER BY trade_date), {frames}")
     def _(t):
-        out = fac.families(base(t), [name], WS)
+        out = fac.families(base(t, "mkt" in sliding.FAMILIES[name][1]), [name], WS)
         return out.select("code", "trade_date", *[rounded(F.col(f"{name}_{w}")).alias(f"{name}_{w}") for w in WS])
 
 
@@ -86,7 +88,11 @@ def _single(name: str, columns: dict, sql: dict[str, str]) -> None:
 
     @query(name, f"WITH b AS ({_BASE}) SELECT code, trade_date, {parts} FROM b WINDOW o AS (PARTITION BY code ORDER BY trade_date), p20 AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), p21 AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 41 PRECEDING AND 21 PRECEDING), {named}")
     def _(t):
-        return base(t).select("code", "trade_date", *[rounded(f()).alias(k) for k, f in columns.items()])
+        if all(k in sliding.SINGLE for k in columns):
+            made = {k: sliding.SINGLE[k] for k in columns}
+            out = sliding.with_factors(base(t, any("mkt" in c for _, c in made.values())), made)
+            return out.select("code", "trade_date", *[rounded(F.col(k)).alias(k) for k in columns])
+        return base(t, False).select("code", "trade_date", *[rounded(f()).alias(k) for k, f in columns.items()])
 
 
 def _lagged(n: int, top: str = "close") -> str:
@@ -128,7 +134,8 @@ def _frames_sql(windows) -> str:
 
 @query("i19_cross_factor", f"WITH b AS ({_BASE}) SELECT code, trade_date, {', '.join(f'{r(x)} AS {k}' for k, x in _crosses_sql().items())} FROM b WINDOW o AS (PARTITION BY code ORDER BY trade_date), {_frames_sql([10, 20, 60])}")
 def _(t):
-    return base(t).select("code", "trade_date", *[rounded(c).alias(k) for k, c in fac.crosses().items()])
+    out = fac.crossed(base(t))
+    return out.select("code", "trade_date", *[rounded(F.col(k)).alias(k) for k in out.columns[2:]])
 
 
 def _factory_sql() -> str:
