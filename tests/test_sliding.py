@@ -63,3 +63,46 @@ def test_no_frames_in_plans(bars):
     for df in (fac.crossed(bars), fac.families(bars, ["kurt"], [60]), Engine.standard().enabled(["beta", "var_95"]).compute(bars)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "RowFrame, -59" not in plan and "RowFrame, -251" not in plan
+
+
+def test_profile_likelihood():
+    """Logarithms of products of factors: the likelihood by a logarithm for each excess."""
+    from alphaloom.operators import tails
+
+    rng = np.random.default_rng(5)
+    e = rng.exponential(0.02, 47)
+    xi, beta = rng.uniform(-0.99, 0.95, (40, 1)), rng.uniform(0.002, 0.1, (40, 31))
+    with np.errstate(all="ignore"):
+        z = 1 + xi[..., None] * e / beta[..., None]
+        want = np.where((z > 0).all(-1), -len(e) * np.log(beta) - (1 + 1 / xi) * np.log(z).sum(-1), -np.inf)
+    calls, log = [], np.log
+    try:
+        np.log = lambda x, *a, **k: calls.append(np.size(x)) or log(x, *a, **k)
+        got = tails.gpd_loglik(xi, beta, e)
+    finally:
+        np.log = log
+    assert np.allclose(got, want, rtol=1e-12) and sum(calls) <= (len(e) // 8 + 2) * beta.size
+
+
+def test_orders_are_drawn_once_a_length():
+    """Series of one length share their random orders."""
+    from alphaloom.operators import forecasts as fc
+
+    assert fc._kept_draw(50, 5000, 8, 42, 0) is fc._kept_draw(50, 5000, 8, 42, 0)
+    days = fc._draw(50, 5000, 8, 42, 4864)
+    assert days.shape == (50, 136) and (np.sort(days, axis=0) == np.arange(50)[:, None]).all()
+
+
+def test_frames_together(spark):
+    """A function of many frames is called for many at once, and alone for those where it raises."""
+    from alphaloom.operators import forecasts as fc
+
+    def spread(x):
+        if (x == 13.0).any():
+            raise ValueError
+        return x.max(axis=1) - x.min(axis=1) + (1000 if len(x) > 1 else 0)
+
+    rows = spark.createDataFrame([(c, k, float(k * c)) for c in (1, 2) for k in range(20)], "code long, trade_date int, close double")
+    got = {(r.code, r.trade_date): r.v for r in fc.rolling(rows, "close", spread, 4, "v", many=True).collect()}
+    assert got[2, 19] == 1006.0 and got[2, 2] is None  # no 13 among the even numbers: all frames at once
+    assert got[1, 5] == 3.0 and all((got[1, k] is None) == (k < 3 or 13 <= k <= 16) for k in range(20))
