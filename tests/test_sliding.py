@@ -106,3 +106,33 @@ def test_frames_together(spark):
     got = {(r.code, r.trade_date): r.v for r in fc.rolling(rows, "close", spread, 4, "v", many=True).collect()}
     assert got[2, 19] == 1006.0 and got[2, 2] is None  # no 13 among the even numbers: all frames at once
     assert got[1, 5] == 3.0 and all((got[1, k] is None) == (k < 3 or 13 <= k <= 16) for k in range(20))
+
+
+def test_state_round_trips():
+    """A key whose state is known costs one read, one write and one timer moved; none is looked for."""
+    import pandas as pd
+
+    from alphaloom.streaming.state import LastValue
+
+    calls = []
+
+    class Fake:
+        held = None
+
+        def __getattr__(self, name):
+            def call(*a):
+                calls.append(name)
+                if name == "update":
+                    Fake.held = a[0]
+                return Fake.held if name == "get" else None
+
+            return call
+
+    p = LastValue(1000)
+    p.handle = p.state = Fake()
+    at = pd.Timestamp("2024-01-01")
+    rows = lambda *x: iter([pd.DataFrame([{"event_id": i, "ts": at + pd.Timedelta(ms, "ms"), "value": 1.0 * i} for i, ms in x])])
+    first = next(p.handleInputRows((1, "a"), rows((2, 500), (1, 0)), None))
+    assert list(first.event_id) == [1, 2] and list(first.hit) == [False, True] and calls == ["get", "update", "registerTimer"]
+    calls.clear()
+    assert list(next(p.handleInputRows((1, "a"), rows((3, 1400)), None)).previous) == [2.0] and calls == ["get", "update", "deleteTimer", "registerTimer"]
