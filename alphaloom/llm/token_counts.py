@@ -134,7 +134,10 @@ def surviving(data: np.ndarray, lengths: np.ndarray, m: Merges, found: list | No
         place = (np.cumsum(stays) - 1)[at]
         symbol, start, rank, owner = symbol[stays], start[stays], rank[stays], owner[stays]
         origin = origin[stays] if found is not None else None
-        changed = np.unique(np.concatenate([place, place[place > 0] - 1]))
+        mark = np.zeros(len(symbol), bool)
+        mark[place] = True
+        mark[place[place > 0] - 1] = True
+        changed = np.flatnonzero(mark)
         last = np.append(start[1:], True)
         rank[changed] = _NONE
         changed = changed[~last[changed]]

@@ -119,3 +119,22 @@ def test_alignment_gives_groups(spark, odd):
     rows = alignment.align(odd, MODEL, PIECES).where("doc_id = 15").collect()
     assert len(rows) == 2 and [list(g.a) for g in rows[0].groups] and sum(len(g.b) for g in rows[0].groups) == rows[0].n_b
     assert alignment.align(odd.limit(0), MODEL, PIECES).count() == 0
+
+
+def test_alignment_takes_a_word_once(spark):
+    rows = spark.createDataFrame([(i, "some words, words some.") for i in range(50)], "doc_id long, text string").coalesce(1)
+    (chunk,) = alignment.tokens(rows, MODEL, PIECES).collect()
+    assert len(chunk.docs) == 50 and all(len(d.words) == 6 for d in chunk.docs) and len(chunk.words) == 4
+
+
+def test_words_that_come_again_stay():
+    both = alignment.Pair(MODEL, PIECES, kept=60)
+    often = ["again,", "often", "word.", "dogs'", "don't"]
+    for i in range(30):
+        texts = [" ".join([*often, *("".join(random.Random(i * 50 + k).choice("abcü") for _ in range(5)) for k in range(20))])]
+        numbers, each, totals, words, *_ = both.dictionary(texts)
+        (a, n), (b, m) = words
+        ids = [np.split(x, np.cumsum(c)[:-1]) for x, c in ((a, n), (b, m))]
+        for side, want in enumerate((PLAIN.encode(" " + texts[0], add_special_tokens=False).ids, SECOND.encode(texts[0]))):
+            assert np.concatenate([ids[side][k] for k in numbers]).tolist() == want and totals[side].tolist() == [len(want)]
+    assert "often" in both.place and len(both.fine) < 130
