@@ -77,8 +77,9 @@ for _number, _name in enumerate(["roc", "std", "corr", "max", "min", "vma", "vst
 _SINGLE_SQL: dict[str, str] = {}
 
 
-def _single(name: str, columns: dict, sql: dict[str, str]) -> None:
-    """A query of some factors of the last 252 bars (f252) and shorter frames."""
+def _single(name: str, columns: dict, sql: dict[str, str], made: dict | None = None) -> None:
+    """A query of some factors of the last 252 bars (f252) and shorter frames. made: the factors as matrices, where they
+    are others than the library's of the same names."""
     frames = [5, 14, 20, 21, 42, 63, 252]
     named = ", ".join(f"f{w} AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in frames)
     parts = ", ".join(f"{r(x)} AS {k}" for k, x in sql.items())
@@ -88,9 +89,9 @@ def _single(name: str, columns: dict, sql: dict[str, str]) -> None:
 
     @query(name, f"WITH b AS ({_BASE}) SELECT code, trade_date, {parts} FROM b WINDOW o AS (PARTITION BY code ORDER BY trade_date), p20 AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), p21 AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 41 PRECEDING AND 21 PRECEDING), {named}")
     def _(t):
-        if all(k in sliding.SINGLE for k in columns):
-            made = {k: sliding.SINGLE[k] for k in columns}
-            out = sliding.with_factors(base(t, any("mkt" in c for _, c in made.values())), made)
+        own = made or {k: sliding.SINGLE[k] for k in columns if k in sliding.SINGLE}
+        if len(own) == len(columns):
+            out = sliding.with_factors(base(t, any("mkt" in c for _, c in own.values())), own)
             return out.select("code", "trade_date", *[rounded(F.col(k)).alias(k) for k in columns])
         return base(t, False).select("code", "trade_date", *[rounded(f()).alias(k) for k, f in columns.items()])
 
@@ -112,7 +113,7 @@ _single("i40_turnover_anomaly", {"turnover_anomaly": fac.turnover_anomaly}, {"tu
 _single("i45_step_momentum", {f"momentum_{k}": (lambda n=n: fac.momentum(n)) for k, n in (("1m", 22), ("3m", 64), ("6m", 126))}, {"momentum_1m": _lagged(21), "momentum_3m": _lagged(63), "momentum_6m": _lagged(125)})
 _single("i46_step_vol", {f"vol_{k}": (lambda w=w, n=n: F.when(F.count("ret").over(fac.frame(w)) >= n, F.stddev_pop("ret").over(fac.frame(w)))) for k, w, n in (("1m", 21, 15), ("3m", 63, 40))}, {"vol_1m": "CASE WHEN count(ret) OVER f21 >= 15 THEN stddev_pop(ret) OVER f21 END", "vol_3m": "CASE WHEN count(ret) OVER f63 >= 40 THEN stddev_pop(ret) OVER f63 END"})
 _single("i47_turnover_1m", {"turnover_1m": lambda: F.when(F.count("turnover_rate").over(fac.frame(21)) >= 15, F.avg("turnover_rate").over(fac.frame(21)))}, {"turnover_1m": "CASE WHEN count(turnover_rate) OVER f21 >= 15 THEN avg(turnover_rate) OVER f21 END"})
-_single("i48_volume_ratio_loose", {"volume_ratio": lambda: F.avg("volume").over(fac.frame(5)) / F.avg("volume").over(fac.frame(20))}, {"volume_ratio": "avg(volume) OVER f5 / avg(volume) OVER f20"})
+_single("i48_volume_ratio_loose", {"volume_ratio": lambda: F.avg("volume").over(fac.frame(5)) / F.avg("volume").over(fac.frame(20))}, {"volume_ratio": "avg(volume) OVER f5 / avg(volume) OVER f20"}, {"volume_ratio": (sliding.mean_ratio, ["volume"])})
 _single("i49_rsi", {"rsi_14": fac.rsi}, {"rsi_14": "CASE WHEN count(diff) OVER f14 >= 14 THEN CASE WHEN avg(greatest(-diff, 0)) OVER f14 = 0 THEN 100 ELSE 100 - 100 / (1 + avg(greatest(diff, 0)) OVER f14 / avg(greatest(-diff, 0)) OVER f14) END END"})
 _single("i50_ma_gap", {"ma5_gap": fac.ma_gap}, {"ma5_gap": "CASE WHEN count(close) OVER f5 >= 5 THEN (close - avg(close) OVER f5) / (avg(close) OVER f5) END"})
 def _full_sql(name: str, w: int, f: str) -> str:
