@@ -48,3 +48,21 @@ def test_arrays_round_as_columns(spark):
         got = rounded_array(x, digits)
         assert np.array_equal(got, want, equal_nan=True) and not np.signbit(got[got == 0]).any()
     assert rounded_array(x, None) is x
+
+
+def test_shrunk_deals_once(spark, wide, monkeypatch):
+    """One writing of blocks serves the sums and the pairs."""
+    dealt, real = [], gram.deal
+    monkeypatch.setattr(gram, "deal", lambda *a, **k: dealt.append(real(*a, **k)) or dealt[-1], raising=False)
+    got = gram.shrunk(table(spark, wide), width=8, digits=9)
+    assert len(dealt) == 1 and dealt[0].n > 3 and "Exchange" not in plan(got)
+    got = got.toPandas().set_index(["a", "b"]).sort_index()
+    order = sorted(wide.columns)
+    s, dev = wide[order].cov().to_numpy(), (wide[order] - wide[order].mean()).to_numpy()
+    v, t, off = np.diag(s), (~np.isnan(dev)).sum(0), ~np.eye(len(order), dtype=bool)
+    target = np.where(off, v.mean() * (s / np.sqrt(np.outer(v, v)))[off].mean(), v.mean())
+    gap, noise = ((s - target) ** 2).mean(), (np.nansum((dev**2 - v) ** 2, 0) / (t * (t - 1))).mean()
+    share = gap / (gap + noise)
+    upper = np.triu_indices(len(order))
+    assert list(got.index) == [(order[i], order[j]) for i, j in zip(*upper)]
+    assert np.allclose(got.shrinkage, share) and np.abs(got["cov"] - ((1 - share) * s + share * target)[upper]).max() < 6e-10
